@@ -1,4 +1,4 @@
 """All named queries; importing the modules registers them."""
 
-from corridorwatch.plans import queries_build, queries_dispatch  # noqa: F401
+from corridorwatch.plans import queries_build, queries_dispatch, queries_metrics, queries_review  # noqa: F401
 from corridorwatch.plans.registry import ORACLE, QUERIES  # noqa: F401
