@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +57,9 @@ def fit_teacher(
         featureSubsetStrategy="0.82",
         minInstancesPerNode=min_rows,
         seed=seed,
-        probabilityCol="__probability",
-        rawPredictionCol="__raw",
         predictionCol="__prediction",
     )
+    gbt.setProbabilityCol("__probability").setRawPredictionCol("__raw")
     return Pipeline(stages=[_assembler(features), gbt]).fit(add_weight(add_inputs(train, features), 25.0))
 
 
@@ -121,16 +120,15 @@ def training_history(model: PipelineModel, datasets: dict[str, DataFrame], featu
     gbt = model.stages[-1]
     curves = {}
     for label, df in datasets.items():
-        vectors = model.stages[0].transform(add_inputs(df, features)).withColumn(target, F.col(target).cast("double"))
-        curves[label] = {"loss": [float(x) for x in gbt.evaluateEachIteration(vectors, *(["squared"] if isinstance_regression(gbt) else []))]}
+        inputs = add_inputs(df, features).withColumns(
+            {target: F.col(target).cast("double"), "__weight": F.lit(1.0), "sample_weight": F.lit(1.0)}
+        )
+        extra = ["squared"] if isinstance(gbt, GBTRegressionModel) else []
+        curves[label] = {"loss": [float(x) for x in gbt.evaluateEachIteration(model.stages[0].transform(inputs), *extra)]}
     schema = "model string, history map<string, map<string, array<double>>>"
     return next(iter(datasets.values())).sparkSession.createDataFrame([(name, curves)], schema)
 
 
-def isinstance_regression(model) -> bool:
-    return type(model).__name__.startswith("GBTRegression")
-
-
 def feature_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
     """Importance per feature (value and missing flag together), its share, largest first."""
     values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
