@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch.config import DispatchConfig
+from corridorwatch.functions.rows import with_row
 from corridorwatch.operators.costs import ACTIONS, scenario_array
 
 DEFAULT = DispatchConfig()
@@ -29,7 +30,7 @@ def _totals(sites: DataFrame) -> DataFrame:
         F.count_distinct(F.to_date("decision_window")).alias("days"),
     )
     events = sites.where("actual_positive = 1").select(F.explode("event_ids").alias("event_id"))
-    return counts.crossJoin(events.agg(F.count_distinct("event_id").alias("event_count")))
+    return with_row(counts, events.agg(F.count_distinct("event_id").alias("event_count")))
 
 
 def dispatch_evaluate(decisions: DataFrame, sites: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def dispatch_evaluate(decisions: DataFrame, sites: DataFrame) -> DataFrame:
         .groupBy(*STUDY)
         .agg(F.avg("lead").alias("mean_maximum_lead_time_min"))
     )
-    joined = base.join(detected, STUDY, "left").join(leads, STUDY, "left").crossJoin(_totals(sites))
+    joined = with_row(base.join(detected, STUDY, "left").join(leads, STUDY, "left"), _totals(sites))
     found = F.coalesce("detected_event_count", F.lit(0))
     precise = F.col("true_patrol_actions") / F.greatest(F.col("true_patrol_actions") + F.col("false_patrol_actions"), F.lit(1))
     return joined.select(

@@ -32,7 +32,7 @@ def _buckets(config: BuildConfig) -> dict[str, Column]:
     }
 
 
-def _event_points(panel: DataFrame, config: BuildConfig) -> DataFrame:
+def event_points(panel: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
     """Per bucket of (corridor, day, radius, horizon): the event points around it.
 
     Events at the same place and time differ in their id only and the smallest
@@ -69,16 +69,20 @@ def _event_points(panel: DataFrame, config: BuildConfig) -> DataFrame:
     )
 
 
-def label_future_events(panel: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
+def label_future_events(
+    panel: DataFrame, config: BuildConfig = DEFAULT, points: DataFrame | None = None
+) -> DataFrame:
     """Nearest accident in (t, t + horizon] within the radius, and the guard flag.
 
     Same road, direction and calendar day. Every panel row has exactly one
     bucket, so the join neither multiplies rows nor needs a second pass over
-    the panel, and a hot bucket can be split freely.
+    the panel, and a hot bucket can be split freely. ``points`` is the written
+    result of ``event_points`` with the same settings: Spark then knows its size
+    and broadcasts it below the threshold, or else shuffles both sides.
     """
     keys = ["road_code", "direction_code", "__day", "__cell", "__slot"]
     rows = panel.withColumns(_buckets(config))
-    joined = rows.join(_event_points(panel, config), keys, "left")
+    joined = rows.join(event_points(panel, config) if points is None else points, keys, "left")
     horizon = float(config.horizon_minutes)
 
     def lead(p: Column) -> Column:
@@ -132,7 +136,8 @@ def nearest_context(
     edges = context.groupBy("direction_code", "slot").agg(
         F.max_by("ctx", "at").alias("last"), F.min_by("ctx", "at").alias("first")
     )
-    asked = queries.withColumn("slot", slot)
+    # Equal questions are answered once.
+    asked = queries.select("direction_code", "at").distinct().withColumn("slot", slot)
     # Edge table: one row per direction and slot (a day by default), queries' slots included.
     slots = edges.unionByName(asked.select("direction_code", "slot").distinct(), allowMissingColumns=True)
     slots = slots.groupBy("direction_code", "slot").agg(
@@ -166,9 +171,9 @@ def nearest_context(
         F.col("past").isNull() | (F.coalesce(gap_next, F.lit(math.inf)) < gap_past)
     )
     picked = F.when(use_next, F.col("next")).otherwise(F.col("past"))
-    kept = [c for c in queries.columns]
-    return (
+    answers = (
         placed.withColumn("picked", picked)
-        .select(*kept, F.col("picked.at").alias("context_at"), *[F.col(f"picked.{c}").alias(c) for c in other if c != "at"])
+        .select("direction_code", "at", F.col("picked.at").alias("context_at"), *[F.col(f"picked.{c}").alias(c) for c in other if c != "at"])
         .withColumn("time_distance_min", F.abs(minutes_between(F.col("at"), F.col("context_at"))))
     )
+    return queries.join(answers, ["direction_code", "at"], "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corridorwatch.functions.columns import clip
 from corridorwatch.functions.ranking import running_totals
+from corridorwatch.functions.rows import with_row
 
 COARSE, FINE = 2**15, 2**30
 
@@ -179,8 +180,7 @@ def false_alarm_reduction(metrics: DataFrame, baseline: str = "stage1_risk") ->
     """Fewer false positives than the baseline model, as a share of the baseline's."""
     base = metrics.where(F.col("model") == baseline).agg(F.max("false_positive_count").alias("__base"))
     saved = (F.col("__base") - F.col("false_positive_count")) / F.greatest(F.col("__base"), F.lit(1))
-    # The baseline is a single row.
-    return metrics.crossJoin(base).withColumn("false_alarm_reduction_vs_stage1", saved).drop("__base")
+    return with_row(metrics, base).withColumn("false_alarm_reduction_vs_stage1", saved).drop("__base")
 
 
 def split_summary(df: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def day_draws(days: DataFrame, iterations: int, seed: int) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     numbered = days.withColumn("day", F.row_number().over(w) - 1)
     total = numbered.agg(F.count(F.lit(1)).alias("n"))
-    slots = numbered.select(F.col("day").alias("draw")).crossJoin(total)
+    slots = with_row(numbered.select(F.col("day").alias("draw")), total)
     draws = slots.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("draw").cast("string"))
     number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
@@ -218,29 +218,77 @@ def day_draws(days: DataFrame, iterations: int, seed: int) -> DataFrame:
     return weights.join(numbered, "day").select("iteration", "date", "weight")
 
 
+def positive_steps(daily: DataFrame) -> DataFrame:
+    """Counts per day and *step*: one step per distinct score of a positive.
+
+    Both areas change only where positives are, so all negatives between two such
+    scores may be added up per day. ``tie`` are the negatives at the step's own
+    score, ``above`` those between it and the next higher step. The last step has
+    no positives and holds the negatives below all of them.
+    """
+    scores = daily.groupBy("score").agg((F.sum("pos") > 0).cast("long").alias("marked"))
+    ranged = scores.withColumns(
+        {"__coarse": F.floor(F.col("score") * COARSE), "__fine": F.floor(F.col("score") * FINE)}
+    )
+    stepped = running_totals(
+        ranged, [], ["__coarse", "__fine"], [F.col("score").desc()], {"marked": "seen"}, descending=True
+    ).select("score", "marked", (F.col("seen") + 1 - F.col("marked")).alias("step"))
+    at_step = F.col("marked") == 1
+    return (
+        daily.join(stepped, "score")
+        .groupBy("date", "step")
+        .agg(
+            F.sum("pos").alias("pos"),
+            F.sum(F.when(at_step, F.col("neg")).otherwise(0)).alias("tie"),
+            F.sum(F.when(at_step, 0).otherwise(F.col("neg"))).alias("above"),
+        )
+    )
+
+
 def bootstrap_samples(df: DataFrame, threshold: float, iterations: int, seed: int) -> DataFrame:
     """PR area, ROC area and F1 of every resample of whole days; one-class draws drop out.
 
     ``df`` has (date, y, score). Rows are first reduced to counts per day and
-    score, and the draws enter as weights.
+    score, then to the steps of the positives; only those are repeated per draw,
+    with the draws as weights.
     """
     daily = score_counts(df, ["date"])
     draws = day_draws(df.select("date").distinct(), iterations, seed)
-    weighted = daily.join(draws, "date")
-    per_score = weighted.groupBy("iteration", "score").agg(
-        F.sum(F.col("weight") * F.col("pos")).alias("pos"), F.sum(F.col("weight") * F.col("neg")).alias("neg")
+    weighted = {c: F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("pos", "tie", "above")}
+    per_step = positive_steps(daily).join(draws, "date").groupBy("iteration", "step").agg(*weighted.values())
+    block = F.floor(F.col("step") / COARSE)
+    steps = running_totals(
+        per_step.withColumns({"__block": block, "neg": F.col("tie") + F.col("above")}),
+        ["iteration"],
+        ["__block"],
+        [F.col("step")],
+        {"pos": "tp", "neg": "fp"},
+    )
+    pos, tp, fp = F.col("pos"), F.col("tp"), F.col("fp")
+    sums = steps.groupBy("iteration").agg(
+        F.sum(pos).alias("p"),
+        F.sum("neg").alias("q"),
+        F.sum(pos * (fp - F.col("tie") / 2.0)).alias("lost"),
+        F.sum(F.when(pos > 0, pos * tp / (tp + fp)).otherwise(0.0)).alias("steps"),
     )
     alert = F.col("score") >= threshold
-    marks = per_score.groupBy("iteration").agg(
+    marks = daily.groupBy("date").agg(
         F.sum("pos").alias("p"),
         F.sum(F.when(alert, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(alert, F.col("neg")).otherwise(0)).alias("fp"),
     )
+    drawn = marks.join(draws, "date").groupBy("iteration").agg(
+        *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("p", "tp", "fp")]
+    )
     f1 = _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p"))
     return (
-        areas_from_counts(per_score, ["iteration"])
-        .where("roc_auc IS NOT NULL")
-        .join(marks.select("iteration", f1.alias("f1")), "iteration")
+        sums.where("p > 0 AND q > 0")
+        .select(
+            "iteration",
+            (1.0 - F.col("lost") / (F.col("p") * F.col("q"))).alias("roc_auc"),
+            (F.col("steps") / F.col("p")).alias("pr_auc"),
+        )
+        .join(drawn.select("iteration", f1.alias("f1")), "iteration")
     )
 
 

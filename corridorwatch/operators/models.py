@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch.functions.columns import clip, logit
+from corridorwatch.functions.rows import with_row
 
 MISSING = "__missing_"
 
@@ -39,7 +40,7 @@ def class_ratio(train: DataFrame, cap: float) -> DataFrame:
 
 def add_weight(train: DataFrame, cap: float) -> DataFrame:
     weight = F.when(F.col("target_event_30m") == 1, F.col("__ratio")).otherwise(1.0)
-    return train.crossJoin(F.broadcast(class_ratio(train, cap))).withColumn("__weight", weight).drop("__ratio")
+    return with_row(train, class_ratio(train, cap)).withColumn("__weight", weight).drop("__ratio")
 
 
 def fit_teacher(
@@ -136,7 +137,7 @@ def feature_importance(model: PipelineModel, features: list[str], spark) -> Data
     df = spark.createDataFrame(rows, "feature string, gain_importance double")
     total = df.agg(F.greatest(F.sum("gain_importance"), F.lit(1e-12)).alias("total"))
     return (
-        df.crossJoin(total)
+        with_row(df, total)
         .select("feature", "gain_importance", (F.col("gain_importance") / F.col("total")).alias("gain_share"))
         .orderBy(F.col("gain_importance").desc(), "feature")
     )
@@ -170,7 +171,7 @@ def type_inputs(df: DataFrame, numeric: list[str], categorical: list[str], stats
 
     ``stats`` is the single row of ``type_statistics``.
     """
-    df = df.crossJoin(F.broadcast(stats))
+    df = with_row(df, stats)
     columns = {f"{MISSING}{c}": F.col(c).isNull().cast("double") for c in numeric}
     columns |= {f"__x_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}"), F.lit(0.0)) for c in numeric}
     for c in categorical:
@@ -187,7 +188,7 @@ def type_statistics(train: DataFrame, numeric: list[str], categorical: list[str]
     )
     for c in categorical:
         common = train.groupBy(F.col(c).cast("string").alias("v")).count().where("count >= 2 AND v IS NOT NULL")
-        row = row.crossJoin(common.agg(F.array_sort(F.collect_set("v")).alias(f"__common_{c}")))
+        row = with_row(row, common.agg(F.array_sort(F.collect_set("v")).alias(f"__common_{c}")))
     return row
 
 
@@ -204,7 +205,7 @@ def fit_type(
     stats = type_statistics(train, numeric, categorical)
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     totals = counts.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__k"))
-    weights = counts.crossJoin(totals).select(label, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("__weight"))
+    weights = with_row(counts, totals).select(label, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("__weight"))
     data = type_inputs(train, numeric, categorical, stats).join(F.broadcast(weights), label)
     label_index = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc").fit(data)
     stages = [label_index]

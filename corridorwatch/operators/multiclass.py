@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
 from corridorwatch.functions.columns import literal_map, lookup
+from corridorwatch.functions.rows import with_row
 
 
 def response_family(accident_type: Column) -> Column:
@@ -126,7 +127,7 @@ def family_summary(predictions: DataFrame) -> DataFrame:
         F.col("balanced_accuracy").alias("operational_family_balanced_accuracy"),
         F.col("macro_f1").alias("operational_family_macro_f1"),
     )
-    return plain.crossJoin(named)  # two single-row aggregates
+    return with_row(plain, named)
 
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
+from corridorwatch.functions.rows import with_row
 from corridorwatch.operators.cleaning import invalid_event, off_month
 
 NULL_RATE_COLUMNS = [V.RISK, "upstream_mean_300m", "downstream_mean_300m", "risk_lag_30m", "target_event_30m"]
@@ -26,7 +27,7 @@ def panel_profile(candidates: DataFrame) -> DataFrame:
         F.count_distinct("segment_id").alias("segment_count"),
         *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_rate_{c}") for c in NULL_RATE_COLUMNS],
     )
-    return facts.crossJoin(duplicates)  # two single-row aggregates
+    return with_row(facts, duplicates)
 
 
 def month_summary(raw: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:

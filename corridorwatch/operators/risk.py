@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
 from corridorwatch.functions.columns import clip, to_double
+from corridorwatch.functions.rows import with_row
 
 
 def risk_level(score: Column, high: float = 0.8, mid: float = 0.6) -> Column:
@@ -30,7 +31,7 @@ def normalize_features(payload: DataFrame, defaults: DataFrame) -> DataFrame:
     ``defaults`` is a single row of the student inputs.
     """
     base = defaults.select([F.col(c).alias(f"__d_{c}") for c in V.STUDENT]).limit(1)
-    df = payload.crossJoin(F.broadcast(base))
+    df = with_row(payload, base)
     values = {
         c: F.coalesce(to_double(c) if c in payload.columns else F.lit(None).cast("double"), F.col(f"__d_{c}"))
         for c in V.STUDENT

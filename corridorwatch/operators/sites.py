@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corridorwatch.config import DispatchConfig
 from corridorwatch.functions.ranking import running_ids
+from corridorwatch.functions.rows import with_row
 
 DEFAULT = DispatchConfig()
 KEYS = ["decision_window", "road_code", "direction_code", "spatial_zone"]
@@ -98,5 +99,4 @@ def optimization_summary(sites: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("watchlist_site_count"),
         F.count_distinct("decision_window").alias("decision_window_count"),
     )
-    # Both sides are single-row aggregates.
-    return totals.crossJoin(events.agg(F.count_distinct("event_id").alias("formal_event_count")))
+    return with_row(totals, events.agg(F.count_distinct("event_id").alias("formal_event_count")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from corridorwatch.functions.positional import positional_window
 from corridorwatch.operators.features import CORRIDOR, add_travel_stake
 
 COLUMNS = ["road_code", "direction_code", "road_direction", "stake", "travel_stake"]
@@ -17,14 +18,22 @@ def topology(panel: DataFrame) -> DataFrame:
     return panel.groupBy("segment_id").agg(first).select("segment_id", *[f"r.{c}" for c in COLUMNS])
 
 
-def segment_adjacency(segments: DataFrame) -> DataFrame:
+def _neighbours(w: WindowSpec) -> dict:
+    return {
+        "upstream_segment_id": F.lag("segment_id").over(w),
+        "downstream_segment_id": F.lead("segment_id").over(w),
+        "upstream_stake": F.lag("stake").over(w),
+        "downstream_stake": F.lead("stake").over(w),
+    }
+
+
+def segment_adjacency(segments: DataFrame, chunk_m: float = 1_000_000.0) -> DataFrame:
     """Previous and next segment along the direction of travel (one row per segment)."""
-    w = Window.partitionBy(*CORRIDOR).orderBy("travel_stake", "segment_id")
-    return segments.withColumns(
-        {
-            "upstream_segment_id": F.lag("segment_id").over(w),
-            "downstream_segment_id": F.lead("segment_id").over(w),
-            "upstream_stake": F.lag("stake").over(w),
-            "downstream_stake": F.lead("stake").over(w),
-        }
+    return positional_window(
+        segments,
+        group=CORRIDOR,
+        order=["travel_stake", "segment_id"],
+        chunk=F.floor(F.col("travel_stake") / chunk_m),
+        reach=1,
+        build=_neighbours,
     )

@@ -11,13 +11,15 @@ from corridorwatch.operators import candidates, cleaning, features, labels
 DEFAULT = BuildConfig()
 
 
-def context_panel(panel: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
+def context_panel(
+    panel: DataFrame, config: BuildConfig = DEFAULT, points: DataFrame | None = None
+) -> DataFrame:
     """Labels and all context features on a clean, deduplicated panel.
 
     Labels come first, while rows are narrow. Two more shuffles follow: by
     (time, corridor, range) and by (segment, day).
     """
-    labelled = labels.label_future_events(panel, config)
+    labelled = labels.label_future_events(panel, config, points)
     return features.add_context_features(
         features.add_temporal_features(features.add_spatial_features(labelled))
     )

@@ -200,7 +200,7 @@ def out_of_order_chunks(spark, sf):
 
 @query("travel_stake", "SELECT segment_id, bin5, travel_stake FROM panel", doubles="travel_stake")
 def travel_stake(spark, sf):
-    return features.add_travel_stake(testbed.panel(spark, sf)).select(*KEY, "travel_stake")
+    return features.add_travel_stake(staging.panel(spark, sf)).select(*KEY, "travel_stake")
 
 
 _CELLS = ["up_100", "up_200", "up_300", "up_400", "up_500", "down_100", "down_200", "down_300", "down_400", "down_500"]
@@ -208,7 +208,7 @@ _CELLS = ["up_100", "up_200", "up_300", "up_400", "up_500", "down_100", "down_20
 
 @query("spatial_shift", f"SELECT segment_id, bin5, {', '.join(_CELLS)} FROM spatial", doubles=" ".join(_CELLS))
 def spatial_shift(spark, sf):
-    df = features.add_spatial_features(testbed.panel(spark, sf))
+    df = features.add_spatial_features(staging.panel(spark, sf))
     return df.select(*KEY, *[F.col(c).alias(a) for c, a in zip(V.NEIGHBOUR_CELLS, _CELLS)])
 
 
@@ -225,7 +225,7 @@ _SPATIAL = "upstream_mean_300m upstream_max_300m downstream_mean_300m downstream
     integers="high_risk_cells_500m",
 )
 def spatial_context(spark, sf):
-    return features.add_spatial_features(testbed.panel(spark, sf)).select(*KEY, *V.SPATIAL_SUMMARY)
+    return features.add_spatial_features(staging.panel(spark, sf)).select(*KEY, *V.SPATIAL_SUMMARY)
 
 
 @query(
@@ -234,7 +234,7 @@ def spatial_context(spark, sf):
     doubles="risk_lag_5m risk_lag_10m risk_lag_20m risk_lag_30m",
 )
 def temporal_lags(spark, sf):
-    return features.add_temporal_features(testbed.panel(spark, sf)).select(*KEY, *V.TEMPORAL[:4])
+    return features.add_temporal_features(staging.panel(spark, sf)).select(*KEY, *V.TEMPORAL[:4])
 
 
 @query(
@@ -243,7 +243,7 @@ def temporal_lags(spark, sf):
     doubles="risk_mean_past_30m risk_max_past_30m risk_std_past_30m",
 )
 def temporal_rolling(spark, sf):
-    return features.add_temporal_features(testbed.panel(spark, sf)).select(*KEY, *V.TEMPORAL[4:7])
+    return features.add_temporal_features(staging.panel(spark, sf)).select(*KEY, *V.TEMPORAL[4:7])
 
 
 @query(
@@ -252,7 +252,7 @@ def temporal_rolling(spark, sf):
     doubles="risk_change_5m risk_change_30m risk_acceleration",
 )
 def temporal_change(spark, sf):
-    return features.add_temporal_features(testbed.panel(spark, sf)).select(*KEY, *V.TEMPORAL[7:])
+    return features.add_temporal_features(staging.panel(spark, sf)).select(*KEY, *V.TEMPORAL[7:])
 
 
 @query(
@@ -265,7 +265,7 @@ def temporal_change(spark, sf):
     integers="road_is_s5",
 )
 def context_features(spark, sf):
-    df = features.add_context_features(testbed.panel(spark, sf))
+    df = features.add_context_features(staging.panel(spark, sf))
     return df.select(*KEY, "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "road_is_s5", "stake_scaled")
 
 
@@ -289,7 +289,7 @@ def feature_sets(spark, sf):
     integers="direction_code",
 )
 def topology_query(spark, sf):
-    return topology.topology(testbed.panel(spark, sf))
+    return topology.topology(staging.panel(spark, sf))
 
 
 @query(
@@ -301,7 +301,7 @@ def topology_query(spark, sf):
     doubles="upstream_stake downstream_stake",
 )
 def segment_adjacency(spark, sf):
-    return topology.segment_adjacency(topology.topology(testbed.panel(spark, sf))).select(
+    return topology.segment_adjacency(topology.topology(staging.panel(spark, sf))).select(
         "segment_id", "upstream_segment_id", "downstream_segment_id", "upstream_stake", "downstream_stake"
     )
 
@@ -309,6 +309,10 @@ def segment_adjacency(spark, sf):
 # --- labels and candidates -----------------------------------------------------------------
 
 
+def _labelled(spark, sf):
+    return labels.label_future_events(staging.panel(spark, sf), testbed.SPLITS, staging.points(spark, sf))
+
+
 @query(
     "event_dedup",
     "SELECT accident_id, bin5, segment_id, stake, accident_level FROM accidents",
@@ -316,7 +320,7 @@ def segment_adjacency(spark, sf):
     integers="accident_level",
 )
 def event_dedup(spark, sf):
-    return labels.accident_events(testbed.panel(spark, sf)).select("accident_id", "bin5", "segment_id", "stake", "accident_level")
+    return labels.accident_events(staging.panel(spark, sf)).select("accident_id", "bin5", "segment_id", "stake", "accident_level")
 
 
 @query(
@@ -326,13 +330,13 @@ def event_dedup(spark, sf):
     integers="target_event_30m target_event_level",
 )
 def label_future_events(spark, sf):
-    df = labels.label_future_events(testbed.panel(spark, sf))
+    df = _labelled(spark, sf)
     return df.select(*KEY, "target_event_30m", "target_event_id", "target_event_level", "lead_time_min")
 
 
 @query("event_guard", "SELECT segment_id, bin5 FROM labelled WHERE event_guard = 1")
 def event_guard(spark, sf):
-    return labels.label_future_events(testbed.panel(spark, sf)).where("event_guard = 1").select(*KEY)
+    return _labelled(spark, sf).where("event_guard = 1").select(*KEY)
 
 
 @query(
@@ -341,13 +345,13 @@ def event_guard(spark, sf):
     doubles="risk",
 )
 def eligible_negatives(spark, sf):
-    df = labels.label_future_events(testbed.panel(spark, sf))
+    df = _labelled(spark, sf)
     return df.where(candidates.eligible_negative()).select(*KEY, _risk())
 
 
 @query("candidate_source", "SELECT segment_id, bin5, candidate_source FROM context")
 def candidate_source(spark, sf):
-    df = labels.label_future_events(testbed.panel(spark, sf))
+    df = _labelled(spark, sf)
     return df.select(*KEY, candidates.candidate_source().alias("candidate_source"))
 
 
@@ -363,14 +367,14 @@ WHERE rn <= CASE candidate_source WHEN 'hard_negative' THEN {0} ELSE {1} END"""
 
 @query("stratified_sample", _SAMPLE.format(600, 200))
 def stratified_sample(spark, sf):
-    df = labels.label_future_events(testbed.panel(spark, sf))
+    df = _labelled(spark, sf)
     return candidates.stratified_sample(df).select(*KEY, "candidate_source")
 
 
 @query("stratified_sample_small", _SAMPLE.format(50, 20))
 def stratified_sample_small(spark, sf):
     """The same with quotas that bind in every stratum."""
-    df = labels.label_future_events(testbed.panel(spark, sf))
+    df = _labelled(spark, sf)
     return candidates.stratified_sample(df, testbed.SMALL_SAMPLE).select(*KEY, "candidate_source")
 
 
@@ -386,7 +390,7 @@ def negative_sample(spark, sf):
 
 @query("temporal_split", "SELECT segment_id, bin5, split FROM context")
 def temporal_split(spark, sf):
-    df = testbed.panel(spark, sf)
+    df = staging.panel(spark, sf)
     return df.select(*KEY, candidates.split_name(testbed.SPLITS).alias("split"))
 
 
@@ -428,7 +432,7 @@ def nearest_context_backward(spark, sf):
 
 
 def _as_of(spark, sf, direction):
-    asked = labels.accident_events(testbed.panel(spark, sf)).select("accident_id", F.col("bin5").alias("at"), "direction_code")
+    asked = labels.accident_events(staging.panel(spark, sf)).select("accident_id", F.col("bin5").alias("at"), "direction_code")
     known = testbed.registry(spark, sf).withColumnRenamed("occurred_at", "at")
     return labels.nearest_context(asked, known, direction)
 
@@ -477,13 +481,13 @@ def panel_profile(spark, sf):
     integers="positive_candidate_rows",
 )
 def month_summary(spark, sf):
-    events = labels.accident_events(testbed.panel(spark, sf))
+    events = labels.accident_events(staging.panel(spark, sf))
     return profiling.month_summary(testbed.raw_panel(spark, sf), staging.context(spark, sf), events)
 
 
 @query("distinct_rows", "SELECT DISTINCT road_code, direction_code FROM panel", integers="direction_code")
 def distinct_rows(spark, sf):
-    return testbed.panel(spark, sf).select("road_code", "direction_code").dropDuplicates(["road_code", "direction_code"])
+    return staging.panel(spark, sf).select("road_code", "direction_code").dropDuplicates(["road_code", "direction_code"])
 
 
 @query(
@@ -503,8 +507,8 @@ def union_parts(spark, sf):
 @query("sink_tables")
 def sink_tables(spark, sf):
     """Rows read back per written table and month."""
-    panel = testbed.panel(spark, sf)
-    labelled = labels.label_future_events(panel, testbed.SPLITS)
+    panel = staging.panel(spark, sf)
+    labelled = _labelled(spark, sf)
     segments = topology.topology(panel)
     tables = {
         "candidates": candidates.stratified_sample(labelled, testbed.SPLITS),

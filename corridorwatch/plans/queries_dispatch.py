@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridorwatch.config import DispatchConfig
+from corridorwatch.functions.rows import with_row
 from corridorwatch.operators import costs, dispatch, sites
 from corridorwatch.operators import dispatch_evaluation as evaluation
 from corridorwatch.plans import staging
@@ -28,7 +29,7 @@ def candidate_min_score(spark, sf):
     integers="spatial_zone",
 )
 def site_keys(spark, sf):
-    return sites.site_keys(testbed.panel(spark, sf)).select("segment_id", "bin5", "decision_window", "spatial_zone")
+    return sites.site_keys(staging.panel(spark, sf)).select("segment_id", "bin5", "decision_window", "spatial_zone")
 
 
 _SITE_COLUMNS = "decision_window, road_code, direction_code, spatial_zone, segment_count, representative_segment, stake_m, stage1_score, student_score, actual_positive, maximum_lead_time_min, event_ids"
@@ -54,12 +55,12 @@ def aggregate_sites(spark, sf):
 def event_id_union(spark, sf):
     table = staging.site_table(spark, sf)
     total = sites.site_events(table).agg(F.count_distinct("event_id").alias("total_events"))
-    return (
+    counts = (
         sites.event_id_text(table)
         .groupBy(F.col("event_ids_text").alias("event_ids"))
         .agg(F.count(F.lit(1)).alias("site_count"), F.max(F.size("event_ids")).alias("ids"))
-        .crossJoin(total)
     )
+    return with_row(counts, total)
 
 
 @query("site_ids", "SELECT site_id, decision_window, road_code, direction_code, spatial_zone FROM sites", integers="direction_code spatial_zone")
@@ -292,7 +293,8 @@ def sites_decisions(spark, sf):
     decided = staging.decision_table(spark, sf)
     merged = evaluation.sites_decisions(staging.site_table(spark, sf), decided).where("patrol = 1")
     duplicates = evaluation.duplicate_decisions(decided).agg(F.count(F.lit(1)).alias("duplicate_keys"))
-    return merged.select("site_id", "scenario", "strategy", "patrol", "actual_positive", "student_score").crossJoin(duplicates)
+    columns = ["site_id", "scenario", "strategy", "patrol", "actual_positive", "student_score"]
+    return with_row(merged.select(*columns), duplicates)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
+from corridorwatch.functions.rows import with_row
 from corridorwatch.operators import candidates, labels, packets, policy, risk, watchlist
 from corridorwatch.plans import staging
 from corridorwatch.plans.registry import query
@@ -431,7 +432,7 @@ def best_replay_case(spark, sf):
 )
 def event_lookup(spark, sf):
     rows = watchlist.best_replay_row(staging.context(spark, sf)).select("target_event_id", "segment_id")
-    return watchlist.event_lookup(rows, labels.accident_events(testbed.panel(spark, sf), per=None))
+    return watchlist.event_lookup(rows, labels.accident_events(staging.panel(spark, sf), per=None))
 
 
 def _cases(spark, sf):
@@ -565,7 +566,7 @@ def benchmark_rank(spark, sf):
 )
 def history_long(spark, sf):
     """Daily curves per corridor, nested like a training history and flattened again."""
-    daily = testbed.panel(spark, sf).groupBy("road_code", "direction_code", F.to_date("bin5").alias("d")).agg(F.avg(V.RISK).alias("mean"), F.max(V.RISK).alias("max"))
+    daily = staging.panel(spark, sf).groupBy("road_code", "direction_code", F.to_date("bin5").alias("d")).agg(F.avg(V.RISK).alias("mean"), F.max(V.RISK).alias("max"))
     ordered = F.array_sort(F.collect_list(F.struct("d", "mean", "max")))
     curves = daily.groupBy("road_code", "direction_code").agg(ordered.alias("c")).select(
         "road_code",
@@ -589,7 +590,7 @@ def _document(spark, sf) -> str:
     examples = policy.policy_library(testbed.registry(spark, sf))
     library = examples.agg(F.map_from_entries(F.collect_list(F.struct("accident_type", "management_measures"))).alias("examples"))
     counts = testbed.raw_panel(spark, sf).agg(F.count(F.lit(1)).alias("records"))
-    doc = listed.crossJoin(models).crossJoin(library).crossJoin(counts).select(
+    doc = with_row(with_row(with_row(listed, models), library), counts).select(
         F.struct(F.lit("road risk").alias("name"), F.lit("1").alias("version"), F.lit("replay").alias("mode")).alias("system"),
         F.struct("time", F.lit(10).alias("update_minutes"), F.lit(30).alias("prediction_horizon_minutes")).alias("snapshot"),
         F.array(F.struct(F.lit("raw_5min_100m_rows").alias("stage"), F.lit("whole_panel").alias("scope"), "records")).alias("pipeline"),
@@ -612,12 +613,11 @@ def _document(spark, sf) -> str:
 )
 def scan_document(spark, sf):
     tables = files.scan_document(spark, _document(spark, sf))
-    facts = (
-        tables["pipeline"].agg(F.max("records").alias("raw_rows"))
-        .crossJoin(tables["models"].agg(F.count(F.lit(1)).alias("models")))
-        .crossJoin(tables["policies"].agg(F.count(F.lit(1)).alias("policies")))
-    )
-    return tables["watchlist"].select("time", "segment_id", "score").crossJoin(facts)
+    facts = with_row(
+        tables["pipeline"].agg(F.max("records").alias("raw_rows")), tables["models"].agg(F.count(F.lit(1)).alias("models"))
+    )
+    facts = with_row(facts, tables["policies"].agg(F.count(F.lit(1)).alias("policies")))
+    return with_row(tables["watchlist"].select("time", "segment_id", "score"), facts)
 
 
 # --- audit ------------------------------------------------------------------------------------------------------

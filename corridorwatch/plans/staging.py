@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridorwatch.session import new_path
-from corridorwatch.operators import costs, dispatch, dispatch_evaluation, sites
+from corridorwatch.operators import costs, dispatch, dispatch_evaluation, labels, sites
 from corridorwatch.plans import build
 from corridorwatch.sources import testbed
 
@@ -41,13 +41,26 @@ def written_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     return _WRITTEN[(spark.sparkContext.applicationId, sf_dir, name)]
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("panel_date", F.date_format("bin5", "yyyy-MM-dd"))
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, deduplicated panel, laid out by day."""
+    return staged(spark, sf_dir, "panel", lambda: _dated(testbed.panel(spark, sf_dir)), by="panel_date").drop("panel_date")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucketed event points; the panel scan behind it reads the accident rows only."""
+    return staged(spark, sf_dir, "points", lambda: labels.event_points(panel(spark, sf_dir), testbed.SPLITS))
+
+
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled panel with all features, stand-in scores, class and split."""
 
     def make() -> DataFrame:
-        panel = build.context_panel(testbed.panel(spark, sf_dir), testbed.SPLITS)
-        scored = build.add_strata(testbed.with_scores(panel), testbed.SPLITS)
-        return scored.withColumn("panel_date", F.date_format("bin5", "yyyy-MM-dd"))
+        built = build.context_panel(panel(spark, sf_dir), testbed.SPLITS, points(spark, sf_dir))
+        return _dated(build.add_strata(testbed.with_scores(built), testbed.SPLITS))
 
     return staged(spark, sf_dir, "context", make, by="panel_date").drop("panel_date")
 
