@@ -48,8 +48,10 @@ def running_totals(
     order, coarse to fine. Totals are summed per range, prefixed range by range
     inside the parent range, and added to the sums inside the finest range, so
     no window sees more than one range of rows. Ranges are columns of the data,
-    hence stable when a lost task is computed again.
+    hence stable when a lost task is computed again. Rows without a complete key
+    are dropped.
     """
+    df = df.dropna(subset=[*keys, *levels])
     prefix = {m: f"__before_{m}" for m in measures}
     parent_offsets = None
     tables = []

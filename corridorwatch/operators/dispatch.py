@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridorwatch import vocabulary as V
 from corridorwatch.config import DispatchConfig
+from corridorwatch.functions.columns import lookup
 from corridorwatch.functions.ranking import top_n_per_group
 from corridorwatch.operators.costs import ACTIONS, coefficient, incremental_cost, scenario_array, scenario_strategy_cross
 
@@ -365,10 +367,17 @@ def dispatch_snapshot(
         rows.where(F.col("score") >= config.emergency_threshold), keys, order, config.emergency_capacity, ["segment_id"]
     ).drop("rank")
     parts = {"warning": best, "patrol": patrols, "emergency": urgent}
-    return reduce(
+    actions = reduce(
         DataFrame.unionByName,
         [part.select(*columns).withColumn("kind", F.lit(kind)) for kind, part in parts.items()],
     )
+    return actions.withColumns(
+        {
+            "label": lookup(V.DISPATCH_LABELS, F.col("kind")),
+            "stake_km": F.bround(F.col("stake_m") / 1000.0, 3),
+            "status": F.lit(V.ACTION_PENDING),
+        }
+    )
 
 
 def snapshot_counts(rows: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:

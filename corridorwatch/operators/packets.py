@@ -80,7 +80,7 @@ def teacher_packets(registry: DataFrame, source: str = "registry") -> DataFrame:
             confidence_policy=F.lit(V.CONFIDENCE_POLICY),
             evidence=text_array(V.EVIDENCE_SOURCES),
             management_measures=F.col("management_measures"),
-            human_review_required=F.col("severity") != V.SEVERITY_MINOR,
+            human_review_required=F.coalesce(F.col("severity") != V.SEVERITY_MINOR, F.lit(True)),
         ),
         provenance=_struct(
             source=F.lit(source), row_id=F.col("registry_id"), generation=F.lit(V.TEACHER_GENERATION)
@@ -121,7 +121,11 @@ def negative_packets(negatives: DataFrame, source: str = "candidates") -> DataFr
 
 
 def replay_packet(rows: DataFrame) -> DataFrame:
-    """One decision packet per replayed event (best row, event, nearest context)."""
+    """One decision packet per replayed event.
+
+    Rows are featured panel rows with the event's time, the nearest historical
+    context (registry columns), its severity gate and measures; see ``plans.replay``.
+    """
     packet = _struct(
         mode=F.lit("historical_causal_replay"),
         decision=_struct(
@@ -139,6 +143,19 @@ def replay_packet(rows: DataFrame) -> DataFrame:
             stake_m=F.col("stake"),
         ),
         compressed_long_term_memory=memory_struct(),
-        audit=_struct(target_event_id=F.col("target_event_id"), operator_confirmation_required=F.lit(True)),
+        memory_packet_bytes_utf8=F.octet_length(F.to_json(memory_struct(), KEEP_NULLS)),
+        type_hypotheses=F.col("type_hypotheses"),
+        severity_gate=_struct(
+            predicted_severity_band=F.col("predicted_severity_band"),
+            serious_flags=F.col("serious_flags"),
+            human_review_required=F.lit(True),
+        ),
+        management_measures=F.col("management_measures"),
+        audit=_struct(
+            target_event_id=F.col("target_event_id"),
+            recorded_event_time=_time_text("event_time"),
+            historical_context_time_distance_min=F.col("time_distance_min"),
+            operator_confirmation_required=F.lit(True),
+        ),
     )
     return rows.select("target_event_id", F.to_json(packet, KEEP_NULLS).alias("packet"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
-from corridorwatch.functions.columns import lookup, text_array
+from corridorwatch.functions.columns import literal_map, lookup, text_array
 
 
 def _if(condition: Column, values) -> Column:
@@ -54,6 +54,19 @@ def policy_library(registry: DataFrame) -> DataFrame:
     return registry_measures(rows.select("accident_type", "r.*"))
 
 
+def policy_document(registry: DataFrame) -> DataFrame:
+    """The policy library as one row: version, principles, examples per type, severity gate."""
+    examples = policy_library(registry).agg(
+        F.map_from_entries(F.collect_list(F.struct("accident_type", "management_measures"))).alias("type_specific_examples")
+    )  # one entry per accident type
+    return examples.select(
+        F.lit(V.POLICY_VERSION).alias("policy_version"),
+        text_array(V.POLICY_PRINCIPLES).alias("principles"),
+        "type_specific_examples",
+        literal_map(V.SEVERITY_REVIEW).alias("severity_gate"),
+    )
+
+
 def policy_review(packets: DataFrame) -> DataFrame:
     """Operational state, authorised actions and reasoning of every packet.
 

@@ -52,17 +52,15 @@ def aggregate_sites(df: DataFrame, config: DispatchConfig = DEFAULT) -> DataFram
 
 def add_site_ids(sites: DataFrame) -> DataFrame:
     """``SITE_000001`` ... in key order, numbered range by range."""
-    block = F.floor(F.col("spatial_zone") / BLOCK_M)
+    block = F.floor(F.col("spatial_zone") / BLOCK_M).alias("block")
+    stretch = F.struct("road_code", "direction_code", block)
     numbered = running_ids(
-        sites.withColumn("__block", block),
-        ["decision_window", "road_code", "direction_code", "__block"],
-        [F.col("spatial_zone")],
-        "__id",
+        sites.withColumn("__stretch", stretch), ["decision_window", "__stretch"], [F.col("spatial_zone")], "__id"
     )
     # Zero padded to six digits; longer numbers keep all their digits.
     text = F.col("__id").cast("string")
     padded = F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
-    return numbered.withColumn("site_id", F.concat(F.lit("SITE_"), padded)).drop("__block", "__id")
+    return numbered.withColumn("site_id", F.concat(F.lit("SITE_"), padded)).drop("__stretch", "__id")
 
 
 def add_robust_probability(sites: DataFrame, config: DispatchConfig = DEFAULT) -> DataFrame:

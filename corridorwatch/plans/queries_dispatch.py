@@ -189,7 +189,7 @@ def patrol_subset_join(spark, sf):
 
 @query(
     "dispatch_snapshot_capacity",
-    """SELECT time, segment_id, kind FROM (
+    """SELECT time, segment_id, kind, CASE kind WHEN 'warning' THEN '发布上游预警' ELSE '预备应急资源' END AS label, '待确认' AS status FROM (
          SELECT time, segment_id, 'warning' AS kind, row_number() OVER (PARTITION BY time ORDER BY score DESC, segment_id) AS rn, 8 AS cap FROM watchlist
          UNION ALL
          SELECT time, segment_id, 'emergency', row_number() OVER (PARTITION BY time ORDER BY score DESC, segment_id), 1 FROM watchlist WHERE score >= 0.8)
@@ -198,7 +198,7 @@ def patrol_subset_join(spark, sf):
 def dispatch_snapshot_capacity(spark, sf):
     """Warnings and emergencies of the snapshot allocation."""
     actions = dispatch.dispatch_snapshot(_watch_rows(spark, sf), ["time"])
-    return actions.where("kind <> 'patrol'").select("time", "segment_id", "kind")
+    return actions.where("kind <> 'patrol'").select("time", "segment_id", "kind", "label", "status")
 
 
 # Third greedy pick by position: picks one and two are found first, then the best row apart from both.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corridorwatch import vocabulary as V
 from corridorwatch.functions.rows import with_row
 from corridorwatch.operators import candidates, labels, packets, policy, risk, watchlist
-from corridorwatch.plans import staging
+from corridorwatch.plans import replay, staging
 from corridorwatch.plans.registry import query
 from corridorwatch.session import new_path
 from corridorwatch.sources import audit as audit_log
@@ -254,6 +254,53 @@ def sink_jsonl_teacher(spark, sf):
     return back.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("records"))
 
 
+@query(
+    "replay_packet",
+    f"""SELECT target_event_id, segment_id, strftime(bin5, '%Y-%m-%d %H:%M:%S') AS decision_time, student AS score, lead_time_min, gap AS context_distance,
+               array_to_string(flags, '|') AS serious_flags, array_to_string({_MEASURES}, '|') AS measures, up3 AS upstream_mean_300m
+        FROM (SELECT b.*, p.gap, r.predicted_type AS accident_type, r.weather, r.traffic, r.median_speed, r.upstream_traffic, r.downstream_traffic,
+                     list_filter([CASE WHEN r.predicted_type IN ('翻车', '失火') THEN {_q(V.FLAG_TYPE)} END, CASE WHEN serious_injured > 0 THEN {_q(V.FLAG_INJURY)} END,
+                                  CASE WHEN deaths > 0 THEN {_q(V.FLAG_FATAL)} END, CASE WHEN key_vehicle = '属于' THEN {_q(V.FLAG_VEHICLE)} END], lambda x: x IS NOT NULL) AS flags
+              FROM best_case b
+              JOIN (SELECT * FROM asof_pairs QUALIFY row_number() OVER (PARTITION BY accident_id ORDER BY gap, occurred_at, registry_id) = 1) p
+                ON p.accident_id = b.target_event_id
+              JOIN registry r ON r.registry_id = p.registry_id)""",
+    doubles="score lead_time_min context_distance upstream_mean_300m",
+)
+def replay_packet(spark, sf):
+    events = labels.accident_events(staging.panel(spark, sf), per=None)
+    df = replay.replay(staging.context(spark, sf), events, testbed.registry(spark, sf))
+
+    def text(path: str):
+        return F.get_json_object("packet", path)
+
+    def listed(path: str):
+        return F.array_join(F.from_json(text(path), "array<string>"), "|")
+
+    return df.select(
+        "target_event_id",
+        text("$.location.segment_id").alias("segment_id"),
+        text("$.decision.decision_time").alias("decision_time"),
+        text("$.decision.supervisory_score").cast("double").alias("score"),
+        text("$.decision.lead_time_to_recorded_event_min").cast("double").alias("lead_time_min"),
+        text("$.audit.historical_context_time_distance_min").cast("double").alias("context_distance"),
+        listed("$.severity_gate.serious_flags").alias("serious_flags"),
+        listed("$.management_measures").alias("measures"),
+        text("$.compressed_long_term_memory.directed_spatial_context.upstream_mean_300m").cast("double").alias("upstream_mean_300m"),
+    )
+
+
+@query(
+    "policy_document",
+    f"""SELECT '1.0' AS policy_version, {len(V.POLICY_PRINCIPLES)} AS principles, count(DISTINCT accident_type) AS example_types, {len(V.SEVERITY_REVIEW)} AS severity_levels FROM registry""",
+    integers="principles severity_levels",
+)
+def policy_document(spark, sf):
+    doc = policy.policy_document(testbed.registry(spark, sf))
+    sizes = {"principles": "principles", "example_types": "type_specific_examples", "severity_levels": "severity_gate"}
+    return doc.select("policy_version", *[F.size(c).alias(a) for a, c in sizes.items()])
+
+
 # --- risk requests ---------------------------------------------------------------------------------
 
 

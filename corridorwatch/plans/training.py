@@ -111,5 +111,6 @@ def evaluate_study(scores: DataFrame, config: BuildConfig = BuildConfig()) -> Da
     keys = ["model", "threshold"]
     binary = metrics.threshold_metrics(test, keys, F.col("threshold"))
     events = metrics.event_level_metrics(test, keys, F.col("threshold"))
-    joined = binary.join(metrics.areas(test, keys), keys).join(events, keys, "left")
+    counts = ["event_count", "detected_event_count"]
+    joined = binary.join(metrics.areas(test, keys), keys).join(events, keys, "left").na.fill(0, counts)
     return metrics.false_alarm_reduction(joined)

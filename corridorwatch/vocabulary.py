@@ -193,6 +193,20 @@ FLAG_FATAL = "reported fatality"
 FLAG_VEHICLE = "key passenger or hazardous vehicle"
 BAND_HIGH, BAND_LOW = "potentially_general_or_higher", "minor_or_uncertain"
 
+# --- fixed values: policy library ---------------------------------------------------
+POLICY_VERSION = "1.0"
+POLICY_PRINCIPLES = [
+    "Verify by CCTV or patrol before irreversible control.",
+    "Protect the upstream queue tail before optimizing throughput.",
+    "Escalate weather, fire, rollover, injury, and hazardous-material scenarios.",
+    "Every recommendation includes location, direction, trigger evidence, and review status.",
+]
+SEVERITY_REVIEW = {
+    "轻微事故": "operator confirmation",
+    "一般事故": "mandatory supervisor review",
+    "重大事故": "mandatory emergency-command review",
+}
+
 # --- fixed values: packets ---------------------------------------------------------
 CONFIRM_INSTRUCTION = (
     "Using only the supplied current-and-past evidence, confirm the suspected road event, "
