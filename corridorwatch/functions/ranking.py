@@ -48,44 +48,47 @@ def running_totals(
     order, coarse to fine. Totals are summed per range, prefixed range by range
     inside the parent range, and added to the sums inside the finest range, so
     no window sees more than one range of rows. Ranges are columns of the data,
-    hence stable when a lost task is computed again. Rows without a complete key
-    are dropped.
+    hence stable when a lost task is computed again.
+
+    A range is named by the struct of its keys and levels. A struct is never
+    NULL, so joining on it adds no filters, rows with NULL keys stay, and the
+    totals reuse the shuffle of the rows they are added to.
     """
-    df = df.dropna(subset=[*keys, *levels])
-    prefix = {m: f"__before_{m}" for m in measures}
-    parent_offsets = None
-    tables = []
-    source = df
-    for depth in range(len(levels), 0, -1):
-        by = keys + levels[:depth]
-        source = source.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
-        tables.append((depth, source))
-    for depth, table in reversed(tables):
-        level = F.col(levels[depth - 1])
-        within = keys + levels[: depth - 1]
+    names = [*keys, *levels]
+    rid = "__range"
+
+    def named(source: str | None, depth: int) -> Column:
+        parts = names[: len(keys) + depth]
+        return F.struct(*[F.col(p if source is None else f"{source}.{p}").alias(p) for p in parts]) if parts else F.lit(0)
+
+    ranged = df.withColumn(rid, named(None, len(levels)))
+    sums = [F.sum(m).alias(m) for m in measures]
+    tables = [ranged.groupBy(rid).agg(*sums)]
+    for depth in range(len(levels) - 1, 0, -1):
+        tables.append(tables[-1].groupBy(named(rid, depth).alias(rid)).agg(*sums))
+    offsets = None
+    for depth, table in enumerate(reversed(tables), start=1):
+        level = F.col(f"{rid}.{levels[depth - 1]}")
         w = (
-            Window.partitionBy(*(within or [F.lit(0)]))
+            Window.partitionBy(named(rid, depth - 1))
             .orderBy(level.desc() if descending else level.asc())
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        table = table.select(
-            *keys,
-            *levels[:depth],
-            *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(prefix[m]) for m in measures],
-        )
-        if parent_offsets is not None:
-            renamed = parent_offsets.withColumnsRenamed({p: p + "_up" for p in prefix.values()})
-            table = table.join(renamed, within).select(
-                *keys,
-                *levels[:depth],
-                *[(F.col(p) + F.col(p + "_up")).alias(p) for p in prefix.values()],
+        before = {m: F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures}
+        table = table.select(rid, *[c.alias(f"__before_{m}") for m, c in before.items()])
+        if offsets is not None:
+            up = offsets.select(F.col(rid).alias("__parent"), *[F.col(f"__before_{m}").alias(f"__up_{m}") for m in measures])
+            table = (
+                table.withColumn("__parent", named(rid, depth - 1))
+                .join(up, "__parent")
+                .select(rid, *[(F.col(f"__before_{m}") + F.col(f"__up_{m}")).alias(f"__before_{m}") for m in measures])
             )
-        parent_offsets = table
-    leaf = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        offsets = table
+    leaf = Window.partitionBy(rid).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(parent_offsets, keys + levels)
-        .withColumns({out: F.sum(m).over(leaf) + F.col(prefix[m]) for m, out in measures.items()})
-        .drop(*prefix.values())
+        ranged.join(offsets, rid)
+        .withColumns({out: F.sum(m).over(leaf) + F.col(f"__before_{m}") for m, out in measures.items()})
+        .drop(rid, *[f"__before_{m}" for m in measures])
     )
 
 
