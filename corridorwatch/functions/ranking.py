@@ -68,22 +68,19 @@ def running_totals(
         tables.append(tables[-1].groupBy(named(rid, depth).alias(rid)).agg(*sums))
     offsets = None
     for depth, table in enumerate(reversed(tables), start=1):
-        level = F.col(f"{rid}.{levels[depth - 1]}")
-        w = (
-            Window.partitionBy(named(rid, depth - 1))
-            .orderBy(level.desc() if descending else level.asc())
-            .rowsBetween(Window.unboundedPreceding, -1)
+        table = table.withColumns(
+            {"__parent": named(rid, depth - 1), "__level": F.col(f"{rid}.{levels[depth - 1]}")}
+        )
+        step = F.col("__level").desc() if descending else F.col("__level").asc()
+        w = Window.partitionBy("__parent").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        table = table.select(
+            rid, "__parent", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"__before_{m}") for m in measures]
         )
-        before = {m: F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures}
-        table = table.select(rid, *[c.alias(f"__before_{m}") for m, c in before.items()])
         if offsets is not None:
             up = offsets.select(F.col(rid).alias("__parent"), *[F.col(f"__before_{m}").alias(f"__up_{m}") for m in measures])
-            table = (
-                table.withColumn("__parent", named(rid, depth - 1))
-                .join(up, "__parent")
-                .select(rid, *[(F.col(f"__before_{m}") + F.col(f"__up_{m}")).alias(f"__before_{m}") for m in measures])
-            )
-        offsets = table
+            total = {m: (F.col(f"__before_{m}") + F.col(f"__up_{m}")).alias(f"__before_{m}") for m in measures}
+            table = table.join(up, "__parent").select(rid, *total.values())
+        offsets = table.select(rid, *[f"__before_{m}" for m in measures])
     leaf = Window.partitionBy(rid).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.join(offsets, rid)
