@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corridorwatch import schemas
 from corridorwatch import vocabulary as V
 from corridorwatch.functions import columns as C
 from corridorwatch.operators import candidates, cleaning, features, labels, profiling, topology
@@ -37,6 +38,23 @@ def scan_panel_months(spark, sf):
     return files.scan_panel_months(spark, path, [8]).select(*KEY, _risk(), "source_row")
 
 
+@query(
+    "scan_panel_csv",
+    """SELECT source_row, segment_id, bin5, road_code, CASE WHEN source_row % 50 = 13 THEN NULL ELSE stake END AS stake,
+              CASE WHEN source_row % 50 IN (3, 7, 11) THEN NULL ELSE risk END AS risk, accident_label
+       FROM raw WHERE month(bin5) = 9 AND source_row % 50 NOT IN (17, 19)""",
+    doubles="stake risk",
+    integers="accident_label",
+)
+def scan_panel_csv(spark, sf):
+    """One month of a CSV panel whose cells may be malformed."""
+    path = new_path(spark, "panel-csv")
+    text = testbed.panel_text(spark, sf).withColumn("month", F.coalesce(F.substring("bin5", 6, 2).try_cast("int"), F.lit(9)))
+    text.select(*schemas.PANEL_TEXT.names, "month").write.partitionBy("month").option("header", True).csv(path)
+    df = cleaning.typed_panel(files.scan_panel_months(spark, path, [9], "csv"))
+    return df.select("source_row", "segment_id", "bin5", "road_code", "stake", _risk(), "accident_label")
+
+
 @query(
     "scan_registry",
     """SELECT row_number() OVER (ORDER BY occurred_at, registry_id) - 1 AS registry_row, registry_id, occurred_at, direction_code,
@@ -378,6 +396,21 @@ def stratified_sample_small(spark, sf):
     return candidates.stratified_sample(df, testbed.SMALL_SAMPLE).select(*KEY, "candidate_source")
 
 
+@query(
+    "candidate_build",
+    f"""SELECT c.segment_id, c.bin5, c.candidate_source, c.split, c.up3 AS upstream_mean_300m, c.past_mean AS risk_mean_past_30m,
+               c.lead_time_min, c.coherence AS spatial_coherence_500m
+        FROM context c JOIN ({_SAMPLE.format(50, 20)}) s ON c.segment_id = s.segment_id AND c.bin5 = s.bin5""",
+    doubles="upstream_mean_300m risk_mean_past_30m lead_time_min spatial_coherence_500m",
+)
+def candidate_build(spark, sf):
+    """The whole build in one plan, from raw rows to candidates with their split."""
+    df = build.build_candidates(testbed.raw_panel(spark, sf), testbed.SMALL_SAMPLE)
+    return df.select(
+        *KEY, "candidate_source", "split", "upstream_mean_300m", "risk_mean_past_30m", "lead_time_min", "spatial_coherence_500m"
+    )
+
+
 @query(
     "negative_sample",
     """SELECT segment_id, bin5, candidate_source FROM context
@@ -504,7 +537,14 @@ def union_parts(spark, sf):
 # --- sinks -----------------------------------------------------------------------------------
 
 
-@query("sink_tables")
+@query(
+    "sink_tables",
+    f"""SELECT 'candidates' AS "table", month(bin5) AS month, count(*) AS "rows" FROM ({_SAMPLE.format(600, 200)}) GROUP BY ALL
+        UNION ALL SELECT 'events', month(bin5), count(*) FROM accidents GROUP BY ALL
+        UNION ALL SELECT 'topology', NULL, count(DISTINCT segment_id) FROM panel
+        UNION ALL SELECT 'adjacency', NULL, count(DISTINCT segment_id) FROM panel""",
+    integers="month",
+)
 def sink_tables(spark, sf):
     """Rows read back per written table and month."""
     panel = staging.panel(spark, sf)
@@ -528,7 +568,12 @@ def sink_tables(spark, sf):
     return total
 
 
-@query("sink_summary_json")
+@query(
+    "sink_summary_json",
+    """SELECT count(*) AS candidate_rows, avg(target_event_30m) AS candidate_positive_rate,
+              count(DISTINCT CASE WHEN target_event_30m = 1 THEN target_event_id END) AS target_event_count FROM context""",
+    doubles="candidate_positive_rate",
+)
 def sink_summary_json(spark, sf):
     path = sinks.write_summary_json(profiling.panel_profile(staging.context(spark, sf)), new_path(spark, "summary"))
     return spark.read.schema("candidate_rows long, candidate_positive_rate double, target_event_count long").json(path)

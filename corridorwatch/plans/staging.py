@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridorwatch.session import new_path
-from corridorwatch.operators import costs, dispatch, dispatch_evaluation, labels, sites
+from corridorwatch.operators import dispatch, dispatch_evaluation, labels, sites
 from corridorwatch.plans import build
 from corridorwatch.sources import testbed
 
@@ -88,7 +88,3 @@ def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch_evaluation.realized_cost(decision_table(spark, sf_dir), site_table(spark, sf_dir))
-
-
-def cost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return costs.incremental_cost(site_table(spark, sf_dir))

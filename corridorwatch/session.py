@@ -1,4 +1,4 @@
-"""The shared folder of the cluster, for written tables and checkpoints."""
+"""The shared folder of the cluster, for written stage tables."""
 
 from __future__ import annotations
 
@@ -26,11 +26,3 @@ def shared_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def checkpointed(df):
-    """Reliable checkpoint in the shared folder (cuts the lineage, survives lost executors)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint()
