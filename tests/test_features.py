@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corridorwatch import schemas
 from corridorwatch import vocabulary as V
 from corridorwatch.config import BuildConfig
-from corridorwatch.operators import candidates, cleaning, features, labels
+from corridorwatch.operators import candidates, cleaning, features, labels, topology
 
 T0 = dt.datetime(2025, 3, 10, 0, 0)
 
@@ -155,3 +155,15 @@ def test_as_of_join_equals_brute_force(spark, direction, slot_minutes):
     for i, at, d in asked:
         gaps = [abs((t - at).total_seconds()) / 60 for _, t, k in known if k == d and (direction == "nearest" or t <= at)]
         assert got[i] == (min(gaps) if gaps else None), (i, at, d)
+
+
+@pytest.mark.parametrize("chunk_m", [100.0, 450.0])
+def test_chunked_adjacency_equals_whole_adjacency(spark, chunk_m):
+    rng = random.Random(23)
+    rows = [row(f"{d}-{s}", 0, 0.5, stake=100 * s, direction=d) for d in (0, 1) for s in rng.sample(range(60), 30)]
+    segments = topology.topology(frame(spark, rows))
+
+    def table(m):
+        return sorted(map(str, topology.segment_adjacency(segments, m).collect()))
+
+    assert table(chunk_m) == table(1e9)
