@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridorwatch.llm import language
+from corridorwatch.llm import chat, language, quality, secrets
 from corridorwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_line_rules": op2_line_rules,
+    "op6_chat_format": chat.op6_chat_format,
+    "op7_secret_scan": op7_secret_scan,
+}
+ORACLE: dict[str, str] = {
+    "op2_line_rules": quality.SQL,
+    "op6_chat_format": chat.SQL,
 }
-ORACLE: dict[str, str] = {}
