@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from corridorwatch.session import new_path
 
@@ -42,3 +43,33 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def ranked(rows: DataFrame, keys: list[str], size: str, spread: list[str], order: list[str], rank: str, per_range: int = 20_000) -> DataFrame:
+    """Numbers 0, 1, 2 ... inside each group of ``keys``; ``size`` holds the rows of the group.
+
+    A group is cut into hash ranges of about ``per_range`` rows. Ranges are counted, their
+    starts are running sums of the counts, and only one range is sorted at a time. Null keys
+    are a group.
+    """
+    part, inner = "__part", "__inner"
+    cut = rows.withColumn(part, F.pmod(F.xxhash64(*spread), F.greatest(F.ceil(F.col(size) / per_range), F.lit(1))))
+    counts = cut.groupBy(*keys, part).agg(F.count("*").alias("__m"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, part, F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.xxhash64(*spread), *order)) - 1
+    return (
+        cut.withColumn(inner, inside)
+        .alias("a")
+        .join(starts.alias("b"), same("a", "b", *keys, part))
+        .select("a.*", (F.col(inner) + F.col("b.__start")).alias(rank))
+        .drop(part, inner)
+    )
+
+
+def same(left: str, right: str, *names: str) -> Column:
+    """Equality of the named columns of two aliases that holds between nulls."""
+    match = F.lit(True)
+    for n in names:
+        match = match & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
+    return match

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridorwatch.llm import chat, language, quality, secrets
+from corridorwatch.llm import chat, language, mixing, packing, quality, secrets
 from corridorwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
 
+def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_line_rules": op2_line_rules,
+    "op4_sequence_packing": op4_sequence_packing,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
+    "op10_source_mix": op10_source_mix,
 }
 ORACLE: dict[str, str] = {
     "op2_line_rules": quality.SQL,
