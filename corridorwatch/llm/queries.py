@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridorwatch.llm import chat, language, mixing, packing, quality, secrets
+from corridorwatch.llm import chat, language, mixing, neardup, packing, quality, secrets
 from corridorwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op4_sequence_packing": op4_sequence_packing,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_source_mix": op10_source_mix,
 }
 ORACLE: dict[str, str] = {
