@@ -25,7 +25,10 @@ rows; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,8 @@ _SHORT = np.array([(0x9E3779B97F4A7C15 * n) % (1 << 64) for n in range(WIDTH)],
 _BLOCK = 1 << 14
 #: Words of 64 bits in the bit map of a set.
 MAP_WORDS = 32
+#: Rows of a posting list that meet those of another block in one group.
+BLOCK_ROWS = 1024
 
 _HASHES: dict[bytes, int] = {}
 
@@ -118,11 +123,72 @@ def _compatible(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _possible(bits_a: Column, n_a: Column, bits_b: Column, n_b: Column) -> Column:
-    """Whether the bit maps leave room for the similarity; written out word by word, so it stays compiled code."""
-    lacks = lambda x, y: sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(MAP_WORDS)), F.lit(0))
-    most = F.least(n_a - lacks(bits_a, bits_b), n_b - lacks(bits_b, bits_a))
-    return most * (100 + PERCENT) >= (n_a + n_b) * PERCENT
+def _possible() -> Column:
+    """Whether the bit maps of u and v leave room for the similarity."""
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    most = F.least(F.col("n_u") - lacks("bits_u", "bits_v"), F.col("n_v") - lacks("bits_v", "bits_u"))
+    return most * (100 + PERCENT) >= (F.col("n_u") + F.col("n_v")) * PERCENT
+
+
+def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of different components that the bit maps allow, list by list; rows come sorted by list."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "block", "node", "n", "component")}
+        cols["bits"] = batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, MAP_WORDS)
+        if held is not None:
+            cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
+        changed = (np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
+        starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield from _pairs_of_list({c: x[a:b] for c, x in cols.items()})
+        held = {c: x[starts[-1] :] for c, x in cols.items()}
+    if held is not None:
+        yield from _pairs_of_list(held)
+
+
+def _pairs_of_list(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if (rows["component"] == rows["component"][0]).all():
+        return
+    one_block = rows["i"][0] == rows["j"][0]
+    left = np.flatnonzero(rows["block"] == rows["i"][0])
+    right = left if one_block else np.flatnonzero(rows["block"] == rows["j"][0])
+    if not len(left) or not len(right):
+        return
+    n, bits, component, node = rows["n"], rows["bits"], rows["component"], rows["node"]
+    nb, bb = n[right][None, :], bits[right][None, :, :]
+    for start in range(0, len(left), 32):
+        at = left[start : start + 32]
+        na, ba = n[at][:, None], bits[at][:, None, :]
+        most = np.minimum(na - np.bitwise_count(ba & ~bb).sum(-1, dtype=np.int64), nb - np.bitwise_count(bb & ~ba).sum(-1, dtype=np.int64))
+        ok = (most * (100 + PERCENT) >= (na + nb) * PERCENT) & (component[at][:, None] != component[right][None, :])
+        if one_block:
+            ok &= node[at][:, None] < node[right][None, :]
+        x, y = np.nonzero(ok)
+        if len(x):
+            yield pa.RecordBatch.from_pydict({"u": node[at[x]], "v": node[right[y]]})
+
+
+def lists_of_components(labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) that share a posting list and not a component.
+
+    A long list is cut into blocks, and every two blocks meet in a group of their own, so no
+    task holds a whole list; only pairs that the bit maps allow come out.
+    """
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where(F.col("lo") != F.col("hi"))
+        .select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
+    )
+    rows = labelled.join(mixed, "key").join(classes.select("node", "bits"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "bits")
+    in_order = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return in_order.mapInArrow(_pairs_of_lists, "u bigint, v bigint")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -148,8 +214,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
     side = lambda c: classes.select(*[F.col(x).alias(y) for x, y in (("node", c), ("sig", f"sig_{c}"), ("bits", f"bits_{c}"), ("n", f"n_{c}"))])
     equal = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     likely = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
-    possible = _possible(F.col("bits_u"), F.col("n_u"), F.col("bits_v"), F.col("n_v"))
-    likely = likely.where((equal >= LEAST_MATCHES) & possible).select("u", "v")
+    likely = likely.where((equal >= LEAST_MATCHES) & _possible()).select("u", "v")
     likely = written(likely, f"{name}-likely")
     needed = likely.select(F.col("u").alias("node")).union(likely.select(F.col("v").alias("node"))).distinct()
     wanted = needed.join(classes.select("node", "label", "h1", "h2"), "node")
@@ -193,20 +258,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     labelled = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "n", "score", "component")
     labelled = written(labelled, "near-labelled")
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.max(F.struct("score", "node", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where(F.col("lo") != F.col("hi"))
-        .select("key", F.col("hub.component").alias("main"))
-    )
-    open_rows = written(labelled.join(mixed, "key").join(classes.select("node", "bits"), "node"), "near-open")
-    strays = open_rows.where(F.col("component") != F.col("main")).select("key", *[F.col(c).alias(f"s_{c}") for c in ("node", "n", "component", "bits")])
-    # two strays meet once, a stray and a member of the main component once
-    once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("s_node"))
-    # the bound is part of the join, which therefore gives out likely pairs only
-    near = _compatible(F.col("n"), F.col("s_n")) & _possible(F.col("bits"), F.col("n"), F.col("s_bits"), F.col("s_n"))
-    met = strays.join(open_rows, "key").where(once & (F.col("component") != F.col("s_component")) & near)
-    more = confirm(met.select(F.col("s_node").alias("u"), F.col("node").alias("v")), classes, docs, "near-strays")
+    more = confirm(lists_of_components(labelled, classes), classes, docs, "near-strays")
 
     links = links.unionByName(more)
     final = written(components(links, "near-components"), "near-components")
