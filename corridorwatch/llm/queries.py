@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridorwatch.llm import chat, language, mixing, neardup, packing, quality, secrets
+from corridorwatch.llm import chat, chunks, language, mixing, neardup, neighbours, packing, quality, secrets
 from corridorwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(documents(spark, sf_dir))
+
+
+def op9_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -41,10 +49,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_line_rules": op2_line_rules,
+    "op3_chunk_dedup": op3_chunk_dedup,
     "op4_sequence_packing": op4_sequence_packing,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_small_world_search": op9_small_world_search,
     "op10_source_mix": op10_source_mix,
 }
 ORACLE: dict[str, str] = {
