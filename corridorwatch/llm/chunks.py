@@ -99,7 +99,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_bytes, n_repeated (chunks that occur elsewhere too), n_removed (bytes), spans (byte ranges to remove)."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    chunks = written(map_rows(rows, _chunks, "row bigint, doc_id bigint, digest bigint, span bigint"), "chunk-rows")
+    chunks = written(map_rows(rows, _chunks, "row bigint, doc_id bigint, digest bigint, span bigint"), "chunk-rows", free=True)
     shared = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where(F.col("n") > 1)
     marks = chunks.join(shared, "digest").select("row", "digest", "span", F.col("doc_id").eqNullSafe(F.col("least")).alias("first"))
     lists = marks.groupBy("row").agg(F.collect_set(F.struct("span", "digest", "first")).alias("marks"))

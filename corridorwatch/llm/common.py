@@ -18,11 +18,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the cluster's shared folder and read back: cuts the lineage."""
-    path = new_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` written to the cluster's shared folder and read back: cuts the lineage.
+
+    With ``free`` the driver collects its garbage, upon which Spark deletes the shuffle files
+    of finished steps at once rather than at the next periodic collection.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    del df
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
 
 
 def map_rows(df: DataFrame, make: Callable[[dict], dict], schema: str) -> DataFrame:

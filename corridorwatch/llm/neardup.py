@@ -215,7 +215,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
     equal = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     likely = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
     likely = likely.where((equal >= LEAST_MATCHES) & _possible()).select("u", "v")
-    likely = written(likely, f"{name}-likely")
+    likely = written(likely, f"{name}-likely", free=True)
     needed = likely.select(F.col("u").alias("node")).union(likely.select(F.col("v").alias("node"))).distinct()
     wanted = needed.join(classes.select("node", "label", "h1", "h2"), "node")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["label"])).select("node", "h1", "h2", "text")
@@ -237,19 +237,19 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
         return out
 
     checked = map_rows(likely.join(side("u"), "u").join(side("v"), "v"), links, "u bigint, v bigint")
-    return written(checked, f"{name}-links")
+    return written(checked, f"{name}-links", free=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(map_rows(docs, _sketch, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>, bits array<bigint>"), "near-rows")
+    rows = written(map_rows(docs, _sketch, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>, bits array<bigint>"), "near-rows", free=True)
     grouped = rows.where(F.col("n_shingles") > 0).groupBy("h1", "h2").agg(
         F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")
     )
     # the numbers are read back from the written table, so they stay the same
-    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    posts = written(postings(classes), "near-posts")
+    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes", free=True)
+    posts = written(postings(classes), "near-posts", free=True)
 
     hub = posts.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
     stars = posts.join(hub, "key").where((F.col("node") != F.col("hub.node")) & _compatible(F.col("n"), F.col("hub.n")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridorwatch.llm import chat, chunks, language, mixing, neardup, neighbours, packing, quality, secrets
+from corridorwatch.llm import chat, chunks, language, mixing, neardup, neighbours, packing, quality, secrets, substrings
 from corridorwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_spans(documents(spark, sf_dir))
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op9_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_rules": op2_line_rules,
     "op3_chunk_dedup": op3_chunk_dedup,
     "op4_sequence_packing": op4_sequence_packing,
+    "op5_repeated_substrings": op5_repeated_substrings,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,

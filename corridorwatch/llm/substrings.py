@@ -12,8 +12,9 @@ Corpus order: the suffix order of dictionary and parse is only needed as far as
 bytes, and only to tell which windows stand beside an equal one; digests stand for ranks.
 * A core that occurs once leaves all windows of its phrase unique; most text ends here.
 * A body that occurs again repeats all windows of its phrase at once; repetitive text ends here.
-* What is left, phrases with a shared core at the ends of repetitions, is ordered window by
-  window: each distinct body once, with the windows that begin in it.
+* What is left, phrases with a shared core at the ends of repetitions, each distinct body
+  once, is cut into phrases of at most ``FINE`` windows and told apart likewise, and what is
+  still left then window by window.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH bytes lose nothing;
 matches never cross documents; repeated rows repeat each other and so lose all windows;
@@ -38,7 +39,8 @@ SEED_BYTES = 16
 REACH = LENGTH - SEED_BYTES + 1
 #: Distances to the trigger that share a group.
 GROUP = (REACH + 1) // 2
-CORE = LENGTH - GROUP + 1
+#: The same for the second cut.
+FINE = 8
 
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _COUNT = 1 << 12
@@ -69,32 +71,53 @@ def triggers(data: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def phrases(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, core start) of every phrase."""
-    trigger = triggers(np.frombuffer(raw, dtype=np.uint8))
-    start = np.arange(len(trigger))
-    group = (trigger - start) // GROUP
+def phrases(trigger: np.ndarray, start: np.ndarray, width: int) -> tuple[list, list, list]:
+    """(first window, number of windows, core start) of the phrases of consecutive windows ``start``."""
+    group = (trigger - start) // width
     first = np.concatenate([[0], np.flatnonzero((np.diff(trigger) != 0) | (np.diff(group) != 0)) + 1])
-    count = np.diff(np.append(first, len(trigger)))
-    return first, count, trigger[first] - GROUP * group[first]
+    count = np.diff(np.append(first, len(start)))
+    return start[first].tolist(), count.tolist(), (trigger[first] - width * group[first]).tolist()
+
+
+def _digests(raw: bytes, found: tuple[list, list, list], trigger: np.ndarray, width: int) -> tuple[list, list, list]:
+    """Cores, bodies and spans. The distance to the trigger is part of either digest."""
+    digest, length = xxhash.xxh3_64_intdigest, LENGTH - width + 1
+    cores, bodies, spans = [], [], []
+    for first, n, core in zip(*found):
+        lead = int(trigger[first]) - first
+        cores.append(_signed(digest(raw[core : core + length], seed=lead // width)))
+        bodies.append(_signed(digest(raw[first : first + n - 1 + LENGTH], seed=lead)))
+        spans.append(first * _COUNT + n)
+    return cores, bodies, spans
 
 
 def _parse(batch: dict) -> dict:
     out: dict[str, list] = {"row": [], "core": [], "body": [], "span": []}
-    digest = xxhash.xxh3_64_intdigest
     for row, text in zip(batch["row"], batch["text"]):
         raw = text.encode("utf-8", "surrogatepass")
         if len(raw) < LENGTH:
             continue
-        first, count, core = (x.tolist() for x in phrases(raw))
-        at, size = [], []
-        for f, c in zip(first, count):  # a span holds at most 4095 windows, and a phrase at most GROUP
-            at.append(f)
-            size.append(c)
-        out["row"] += [row] * len(first)
-        out["core"] += [_signed(digest(raw[c : c + CORE], seed=int(c < f))) for f, c in zip(first, core)]
-        out["body"] += [_signed(digest(raw[f : f + n - 1 + LENGTH], seed=c - f + GROUP)) for f, n, c in zip(first, count, core)]
-        out["span"] += [f * _COUNT + n for f, n in zip(at, size)]
+        trigger = triggers(np.frombuffer(raw, dtype=np.uint8))
+        made = _digests(raw, phrases(trigger, np.arange(len(trigger)), GROUP), trigger, GROUP)
+        out["row"] += [row] * len(made[0])
+        for name, values in zip(("core", "body", "span"), made):
+            out[name] += values
+    return out
+
+
+def _split(batch: dict) -> dict:
+    """The listed phrases cut finer."""
+    out: dict[str, list] = {"row": [], "core": [], "body": [], "span": [], "alone": []}
+    for row, text, spans in zip(batch["row"], batch["text"], batch["spans"]):
+        raw = text.encode("utf-8", "surrogatepass")
+        trigger = triggers(np.frombuffer(raw, dtype=np.uint8))
+        for s in spans:
+            first, n = divmod(s["span"], _COUNT)
+            made = _digests(raw, phrases(trigger[first : first + n], np.arange(first, first + n), FINE), trigger, FINE)
+            out["row"] += [row] * len(made[0])
+            out["alone"] += [s["alone"]] * len(made[0])
+            for name, values in zip(("core", "body", "span"), made):
+                out[name] += values
     return out
 
 
@@ -138,24 +161,39 @@ def _remove(batch: dict) -> dict:
     return out
 
 
+def _told_apart(parse: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(row, span) of phrases that repeat whole, and (row, spans) of one phrase for each body that stays open.
+
+    Only phrases that stand ``alone`` are to be marked; the others are there to be met. An
+    open phrase is alone if its body occurs once.
+    """
+    seen = F.count("*").alias("n"), F.max("alone").alias("any_alone")
+    cores = parse.groupBy("core").agg(*seen, F.min("body").alias("lo"), F.max("body").alias("hi")).where((F.col("n") > 1) & F.col("any_alone"))
+    shared = written(parse.join(cores.select("core", (F.col("lo") == F.col("hi")).alias("alike")), "core"), f"{name}-shared", free=True)
+    mixed = shared.where(~F.col("alike"))
+    bodies = mixed.groupBy("core", "body").agg(*seen, F.first(F.struct("row", "span")).alias("at"))
+    bodies = written(bodies, f"{name}-bodies")
+    again = mixed.where("alone").join(bodies.where(F.col("n") > 1).select("core", "body"), ["core", "body"])
+    whole = shared.where(F.col("alike") & F.col("alone")).select("row", "span").unionByName(again.select("row", "span"))
+    alone = ((F.col("n") == 1) & F.col("any_alone")).alias("alone")
+    return whole, bodies.groupBy("at.row").agg(F.collect_list(F.struct("at.span", alone)).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) of every row."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    parse = written(map_rows(rows, _parse, "row bigint, core bigint, body bigint, span bigint"), "pfp-parse")
-
-    cores = parse.groupBy("core").agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi")).where(F.col("n") > 1)
-    shared = written(parse.join(cores.select("core", (F.col("lo") == F.col("hi")).alias("alike")), "core"), "pfp-shared")
-    alike, mixed = shared.where("alike"), shared.where(~F.col("alike"))
-    bodies = mixed.groupBy("core", "body").agg(F.count("*").alias("n"), F.first(F.struct("row", "span")).alias("at"))
-    bodies = written(bodies, "pfp-bodies")
-    again = mixed.join(bodies.where(F.col("n") > 1).select("core", "body"), ["core", "body"])
-    whole = alike.select("row", "span").unionByName(again.select("row", "span"))
-
-    open_spans = bodies.groupBy("at.row").agg(F.collect_list(F.struct("at.span", (F.col("n") == 1).alias("alone"))).alias("spans"))
-    windows = written(map_rows(rows.dropDuplicates(["row"]).join(open_spans, "row").select("row", "text", "spans"), _windows, "digest bigint, row bigint, start int, alone boolean"), "pfp-windows")
+    parse = map_rows(rows, _parse, "row bigint, core bigint, body bigint, span bigint").withColumn("alone", F.lit(True))
+    whole, left = _told_apart(written(parse, "pfp-parse", free=True), "pfp")
+    texts = written(rows.dropDuplicates(["row"]).join(left, "row").select("row", "text", "spans"), "pfp-texts", free=True)
+    fine = map_rows(texts, _split, "row bigint, core bigint, body bigint, span bigint, alone boolean")
+    whole_fine, left = _told_apart(written(fine, "pfp-fine", free=True), "pfp-fine")
+
+    listed = texts.select("row", "text").join(left, "row").select("row", "text", "spans")
+    windows = written(map_rows(listed, _windows, "digest bigint, row bigint, start int, alone boolean"), "pfp-windows", free=True)
     equal = windows.groupBy("digest").agg(F.count("*").alias("n"), F.max("alone").alias("any_alone")).where((F.col("n") > 1) & F.col("any_alone"))
     single = windows.where("alone").join(equal.select("digest"), "digest").select("row", "start")
+    whole = whole.unionByName(whole_fine)
 
     marks = whole.select("row", "span", F.lit(None).cast("int").alias("start")).unionByName(single.select("row", F.lit(None).cast("bigint").alias("span"), "start"))
     lists = marks.groupBy("row").agg(F.collect_list("span").alias("whole"), F.collect_list("start").alias("single"))
