@@ -40,7 +40,7 @@ class LanguageConfig:
 
     max_train_docs: int = 6000
     calibration_share: float = 0.2
-    epochs: int = 4
+    steps: int = 800
     batch: int = 32
     alpha: float = 0.5
     beta: float = 1.0
@@ -176,11 +176,12 @@ def _train(rows: dict, languages: tuple[str, ...], idf: np.ndarray, config: Lang
         z[at] += grad - sigma * w
         acc[at] += grad * grad
 
-    rng = np.random.default_rng(config.seed + 1)
-    for _ in range(config.epochs):
-        shuffled = rng.permutation(train)
-        for start in range(0, len(shuffled), config.batch):
-            step(shuffled[start : start + config.batch])
+    rng, left = np.random.default_rng(config.seed + 1), train[:0]
+    for _ in range(config.steps if len(train) else 0):
+        if not len(left):
+            left = rng.permutation(train)
+        step(left[: config.batch])
+        left = left[config.batch :]
     w = weights(np.arange(size))
     matrix, bias = (w[:-1] * scale[:, None]).astype(np.float32), w[-1]
     logits = np.array([(w[index[i]] * value[i][:, None]).sum(0) + bias for i in held]).reshape(-1, n_lang)
