@@ -171,8 +171,20 @@ def test_packing_plan_covers_every_piece():
     held = (plan.patterns * plan.uses[:, None]).sum(axis=0)
     assert all(held[k] >= v for k, v in histogram.items())
     assert (plan.patterns @ np.arange(257) <= 256).all()
-    alone = sum(v for k, v in histogram.items() if k > 128)
-    assert plan.uses.sum() <= max(alone, sum(k * v for k, v in histogram.items()) / 256) * 1.1 + 60
+    # no worse than first-fit decreasing, but for one rounded sequence a class
+    rooms: Counter = Counter()
+    for k in sorted(histogram, reverse=True):
+        left = histogram[k]
+        for room in sorted((r for r in rooms if r >= k), reverse=True):
+            n = min(left, rooms[room])
+            rooms[room] -= n
+            rooms[room - k] += n
+            left -= n
+        each = 256 // k
+        rooms[256 - each * k] += left // each
+        if left % each:
+            rooms[256 - left % each * k] += 1
+    assert plan.uses.sum() <= sum(rooms.values()) + len(histogram)
 
 
 def _targets(sizes):
