@@ -28,9 +28,9 @@ def default_features(featured: DataFrame, segment_id: str, time: str) -> DataFra
 def normalize_features(payload: DataFrame, defaults: DataFrame) -> DataFrame:
     """Payload over defaults, and the names of the features outside their range.
 
-    ``defaults`` is a single row of the student inputs.
+    ``defaults`` is a single row of the student inputs; none or several stop the job.
     """
-    base = defaults.select([F.col(c).alias(f"__d_{c}") for c in V.STUDENT]).limit(1)
+    base = defaults.agg(F.count("*").alias("__defaults"), *[F.first(c).alias(f"__d_{c}") for c in V.STUDENT])
     df = with_row(payload, base)
     values = {
         c: F.coalesce(to_double(c) if c in payload.columns else F.lit(None).cast("double"), F.col(f"__d_{c}"))
@@ -42,7 +42,9 @@ def normalize_features(payload: DataFrame, defaults: DataFrame) -> DataFrame:
         for (low, high), names in V.FEATURE_RANGES.items()
         for c in names
     ]
-    return df.withColumn("violations", F.array_compact(F.array(*checks)))
+    wrong = F.raise_error(F.concat(F.lit("default features: expected one row, found "), F.col("__defaults")))
+    violations = F.when(F.col("__defaults") == 1, F.array_compact(F.array(*checks))).otherwise(wrong)
+    return df.withColumn("violations", violations).drop("__defaults")
 
 
 def evidence_items() -> Column:

@@ -73,7 +73,7 @@ def scan_registry(spark, sf):
         for h, c in text.items()
     ]
     source.select(*columns).write.option("header", True).csv(path)
-    return files.scan_registry(spark, path).select(
+    return files.scan_registry(spark, path, 2025).select(
         "registry_row", "registry_id", "occurred_at", "direction_code", "accident_stake_m", "accident_type", "severity", "weather", "traffic", "deaths",
     )
 

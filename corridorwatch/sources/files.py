@@ -16,6 +16,20 @@ def _by_month(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("month", T.IntegerType(), True)])
 
 
+def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of CSV files as text, found by header name.
+
+    Other columns may stand between them and a byte order mark before them. A missing
+    column is an error, and so is a file whose header differs from the first one's.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
+    named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    absent = [c for c in columns if c not in named.columns]
+    if absent:
+        raise ValueError(f"columns missing in {path}: {', '.join(absent)}")
+    return named.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+
+
 def scan_panel_months(
     spark: SparkSession, path: str, months: list[int] | None = None, fmt: str = "parquet"
 ) -> DataFrame:
@@ -24,9 +38,7 @@ def scan_panel_months(
     Parquet is read with the typed schema; CSV cells stay text for ``typed_panel``.
     """
     if fmt == "csv":
-        schema = _by_month(schemas.PANEL_TEXT)
-        reader = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8")
-        df = reader.csv(path)
+        df = csv_text(spark, path, [*schemas.PANEL_TEXT.fieldNames(), "month"]).withColumn("month", F.col("month").cast("int"))
     else:
         df = spark.read.schema(_by_month(schemas.PANEL)).format(fmt).load(path)
     if months is not None:
@@ -34,13 +46,13 @@ def scan_panel_months(
     return df
 
 
-def scan_registry(spark: SparkSession, path: str, year: int = 2025) -> DataFrame:
+def scan_registry(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Accident registry CSV with its source headers: one year, typed, numbered in time order."""
-    raw = spark.read.schema(schemas.REGISTRY_TEXT).option("header", True).csv(path)
+    raw = csv_text(spark, path, schemas.REGISTRY_TEXT.fieldNames())
     return registry_columns(raw, year)
 
 
-def registry_columns(raw: DataFrame, year: int = 2025) -> DataFrame:
+def registry_columns(raw: DataFrame, year: int) -> DataFrame:
     df = raw.select([F.col(f"`{h}`").alias(c) for h, c in V.REGISTRY_HEADERS.items()])
     numbers = [
         "stake_km", "temperature", "humidity", "visibility", "mqi", "pci", "traffic", "median_speed",
@@ -70,7 +82,7 @@ def registry_cyclic(registry: DataFrame) -> DataFrame:
 
 def scan_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot CSV with typed columns; malformed numbers become 0."""
-    raw = spark.read.schema(schemas.SNAPSHOT_TEXT).option("header", True).csv(path)
+    raw = csv_text(spark, path, schemas.SNAPSHOT_TEXT.fieldNames())
     return raw.select(
         "segment_id",
         "road_code",

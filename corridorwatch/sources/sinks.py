@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 
 def write_month_tables(tables: dict[str, DataFrame], path: str, time: str = "bin5") -> dict[str, str]:
-    """Every table below its own folder, one partition per month.
+    """Every table below its own folder, one partition per year and month.
 
-    Rows are spread by month and a hash, so one large month is written by many tasks.
+    Only the partitions that ``tables`` have rows for are replaced, so months can be written
+    one at a time. Rows are rebalanced, so one large month is written by many tasks.
     """
     written = {}
     for name, df in tables.items():
         target = f"{path}/{name}"
         if time in df.columns:
-            df = df.withColumn("month", F.month(time))
-            writer = df.write.partitionBy("month")
+            df = df.withColumns({"year": F.year(time), "month": F.month(time)}).hint("rebalance", "year", "month")
+            writer = df.write.partitionBy("year", "month").option("partitionOverwriteMode", "dynamic")
         else:
             writer = df.write
         writer.mode("overwrite").parquet(target)
