@@ -101,6 +101,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     chunks = written(map_rows(rows, _chunks, "row bigint, doc_id bigint, digest bigint, span bigint"), "chunk-rows", free=True)
     shared = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where(F.col("n") > 1)
+    shared = written(shared, "chunk-shared", free=True)  # a join of two plain exchanges can split a hot digest
     marks = chunks.join(shared, "digest").select("row", "digest", "span", F.col("doc_id").eqNullSafe(F.col("least")).alias("first"))
     lists = marks.groupBy("row").agg(F.collect_set(F.struct("span", "digest", "first")).alias("marks"))
     found = map_rows(lists, _runs, "row bigint, n_repeated bigint, n_removed bigint, spans string")
