@@ -15,7 +15,6 @@ empty table gives none; other columns are not looked at.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -25,17 +24,25 @@ from pyspark.sql import functions as F
 
 from corridorwatch.llm.common import written
 
-SHARD_ROWS = 2048
+SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
 LINKS = 16
-BUILD_WIDTH = 96
+BUILD_WIDTH = 64
 SEARCH_WIDTH = 160
+#: Walks that step together, and the nodes each of them opens in one step.
+WALKS = 256
+STEP = 4
 
 
 class SmallWorld:
-    """``neighbours[layer, node]`` holds node numbers, -1 where free; layer 0 has twice the links."""
+    """``neighbours[layer, node]`` holds node numbers, -1 where free; layer 0 has twice the links.
 
-    def __init__(self, vectors: np.ndarray, neighbours: np.ndarray | None = None, entry: int = 0, top: int = 0):
+    Nodes come in in the order of their numbers: a node's candidates are the nearest nodes
+    before it on its layer. A shard is small, so they are found by blocked matrix products
+    instead of a walk per node.
+    """
+
+    def __init__(self, vectors: np.ndarray, neighbours: np.ndarray, entry: int = 0, top: int = 0):
         self.vectors, self.entry, self.top = vectors, entry, top
         self.neighbours = neighbours
 
@@ -44,85 +51,138 @@ class SmallWorld:
         n = len(vectors)
         drawn = np.random.default_rng(seed).random(n)
         levels = np.minimum((-np.log(np.maximum(drawn, 1e-12)) / math.log(LINKS)).astype(int), 8)
-        graph = cls(vectors, np.full((int(levels.max()) + 1, n, 2 * LINKS), -1, dtype=np.int32), 0, int(levels[0]))
-        for node in range(1, n):
-            graph._insert(node, int(levels[node]))
+        top = int(levels.max())
+        graph = cls(vectors, np.full((top + 1, n, 2 * LINKS), -1, dtype=np.int32), int(levels.argmax()), top)
+        for layer in range(top + 1):
+            graph._link(np.flatnonzero(levels >= layer), layer)
         return graph
 
-    def _distances(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
-        gap = self.vectors[at] - query
-        return np.einsum("ij,ij->i", gap, gap)
-
-    def _walk(self, query: np.ndarray, start: list[tuple[float, int]], width: int, layer: int) -> list[tuple[float, int]]:
-        """The ``width`` nearest nodes that a best-first walk meets, nearest first."""
-        seen = np.zeros(len(self.vectors), dtype=bool)
-        seen[[i for _, i in start]] = True
-        todo, best = list(start), [(-d, i) for d, i in start]
-        heapq.heapify(todo)
-        heapq.heapify(best)
-        lists = self.neighbours[layer]
-        while todo:
-            d, node = heapq.heappop(todo)
-            if len(best) >= width and d > -best[0][0]:
-                break
-            near = lists[node]
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            if not len(near):
+    def _link(self, nodes: np.ndarray, layer: int) -> None:
+        """Links of one layer: spread ones to earlier nodes, and their reverse where there is room."""
+        v, room = self.vectors[nodes], 2 * LINKS if layer == 0 else LINKS
+        near, far = _earlier(v, BUILD_WIDTH)
+        chosen = _spread(v, near, far, LINKS)
+        source, slot = np.nonzero(chosen >= 0)
+        target = chosen[source, slot]
+        both = np.concatenate([np.stack([source, target]), np.stack([target, source])], axis=1)
+        gaps = _square(v[both[0]] - v[both[1]])
+        order = np.lexsort((both[1], gaps, both[0]))
+        (owner, other), gaps = both[:, order], gaps[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        keep = place < BUILD_WIDTH
+        near = np.full((len(nodes), BUILD_WIDTH), -1, dtype=np.int64)
+        far = np.full(near.shape, np.inf)
+        near[owner[keep], place[keep]] = other[keep]
+        far[owner[keep], place[keep]] = gaps[keep]
+        links = _spread(v, near, far, room)
+        self.neighbours[layer, nodes, :room] = np.where(links >= 0, nodes[links], -1)
+
+    def nearest(self, queries: np.ndarray, width: int) -> list[np.ndarray]:
+        """For every query the nodes, nearest first, that a best-first walk of this width keeps. All walks step together."""
+        return [x for start in range(0, len(queries), WALKS) for x in self._walk(queries[start : start + WALKS], width)]
+
+    def _walk(self, queries: np.ndarray, width: int) -> list[np.ndarray]:
+        at = self._descend(queries)
+        n_queries = len(queries)
+        nodes = np.full((n_queries, width), -1, dtype=np.int64)
+        gaps = np.full((n_queries, width), np.inf)
+        done = np.zeros((n_queries, width), dtype=bool)
+        seen = np.zeros((n_queries, len(self.vectors)), dtype=bool)
+        nodes[:, 0], gaps[:, 0] = at, _square(self.vectors[at] - queries)
+        seen[np.arange(n_queries), at] = True
+        while True:
+            todo = ~done & (nodes >= 0)
+            active = np.flatnonzero(todo.any(axis=1))
+            if not len(active):
+                return [row[row >= 0] for row in nodes]
+            # lists are sorted, so the first open places are the nearest open nodes
+            places = np.argsort(~todo[active], axis=1, kind="stable")[:, :STEP]
+            rows = np.repeat(active, places.shape[1])
+            places = places.reshape(-1)
+            opened = todo[rows, places]
+            rows, places = rows[opened], places[opened]
+            done[rows, places] = True
+            met = self.neighbours[0, nodes[rows, places]]
+            pairs = np.unique(np.repeat(rows, met.shape[1])[met.reshape(-1) >= 0] * len(self.vectors) + met[met >= 0])
+            rows, met = pairs // len(self.vectors), pairs % len(self.vectors)
+            new = ~seen[rows, met]
+            rows, met = rows[new], met[new]
+            if not len(rows):
                 continue
-            seen[near] = True
-            for dist, other in zip(self._distances(near, query).tolist(), near.tolist()):
-                if len(best) < width or dist < -best[0][0]:
-                    heapq.heappush(todo, (dist, other))
-                    heapq.heappush(best, (-dist, other))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        return sorted((-d, i) for d, i in best)
-
-    def _descend(self, query: np.ndarray, to: int) -> list[tuple[float, int]]:
-        at = [(float(self._distances(np.array([self.entry]), query)[0]), self.entry)]
-        for layer in range(self.top, to, -1):
-            at = self._walk(query, at, 1, layer)
+            seen[rows, met] = True
+            place = width + np.arange(len(rows)) - np.searchsorted(rows, rows)
+            touched, row = np.unique(rows, return_inverse=True)
+            wide = int(place.max()) + 1
+            all_nodes = np.full((len(touched), wide), -1, dtype=np.int64)
+            all_gaps, all_done = np.full(all_nodes.shape, np.inf), np.zeros(all_nodes.shape, dtype=bool)
+            all_nodes[:, :width], all_gaps[:, :width], all_done[:, :width] = nodes[touched], gaps[touched], done[touched]
+            all_nodes[row, place], all_gaps[row, place] = met, _square(self.vectors[met] - queries[rows])
+            best = np.argsort(all_gaps, axis=1, kind="stable")[:, :width]
+            nodes[touched] = np.take_along_axis(all_nodes, best, axis=1)
+            gaps[touched] = np.take_along_axis(all_gaps, best, axis=1)
+            done[touched] = np.take_along_axis(all_done, best, axis=1)
+
+    def _descend(self, queries: np.ndarray) -> np.ndarray:
+        """Where the walks of layer 0 begin: on every layer above, step to the nearest neighbour while it is nearer."""
+        at = np.full(len(queries), self.entry)
+        gap = _square(self.vectors[at] - queries)
+        for layer in range(self.top, 0, -1):
+            active = np.arange(len(queries))
+            while len(active):
+                met = self.neighbours[layer, at[active], :LINKS]
+                gaps = np.where(met >= 0, _square(self.vectors[met] - queries[active, None]), np.inf)
+                best = gaps.argmin(axis=1)
+                least = gaps[np.arange(len(active)), best]
+                nearer = least < gap[active]
+                step, active = met[np.arange(len(active)), best][nearer], active[nearer]
+                at[active], gap[active] = step, least[nearer]
         return at
 
-    def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Near nodes in different directions: one is passed over if a chosen one is nearer to it than the query."""
-        nodes = np.array([i for _, i in found])
-        v = self.vectors[nodes]
-        square = np.einsum("ij,ij->i", v, v)
-        between = square[:, None] + square[None, :] - 2 * v @ v.T
-        chosen, passed = [], []
-        for k, (d, _) in enumerate(found):
-            if len(chosen) == most:
-                break
-            (passed if chosen and between[k, chosen].min() < d else chosen).append(k)
-        return [int(nodes[k]) for k in (chosen + passed)[:most]]
-
-    def _insert(self, node: int, level: int) -> None:
-        query = self.vectors[node]
-        at = self._descend(query, level) if level < self.top else [(float(self._distances(np.array([self.entry]), query)[0]), self.entry)]
-        for layer in range(min(level, self.top), -1, -1):
-            at = self._walk(query, at, BUILD_WIDTH, layer)
-            links = self._spread(at, LINKS)
-            room = 2 * LINKS if layer == 0 else LINKS
-            self.neighbours[layer, node, : len(links)] = links
-            for other in links:
-                row = self.neighbours[layer, other]
-                free = np.flatnonzero(row[:room] < 0)
-                if len(free):
-                    row[free[0]] = node
-                else:
-                    # a full list is spread anew over its own nodes and the new one
-                    near = np.append(row[:room], node)
-                    gaps = self._distances(near, self.vectors[other])
-                    keep = self._spread(sorted(zip(gaps.tolist(), near.tolist())), room)
-                    row[:room] = -1
-                    row[: len(keep)] = keep
-        if level > self.top:
-            self.entry, self.top = node, level
-
-    def nearest(self, query: np.ndarray, width: int) -> np.ndarray:
-        return np.array([i for _, i in self._walk(query, self._descend(query, 0), width, 0)])
+
+def _square(gap: np.ndarray) -> np.ndarray:
+    return np.einsum("...j,...j->...", gap, gap)
+
+
+def _earlier(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every vector the ``most`` nearest before it, nearest first, and their squared distances; -1 and inf where fewer."""
+    n = len(v)
+    near, far = np.full((n, most), -1, dtype=np.int64), np.full((n, most), np.inf)
+    square = _square(v)
+    for start in range(0, n, 512):
+        rows = np.arange(start, min(start + 512, n))
+        gaps = square[rows, None] + square[None, : rows[-1] + 1] - 2 * v[rows] @ v[: rows[-1] + 1].T
+        gaps[np.arange(rows[-1] + 1)[None, :] >= rows[:, None]] = np.inf
+        kept = min(most, gaps.shape[1])
+        best = np.argpartition(gaps, kept - 1, axis=1)[:, :kept]
+        gaps = np.take_along_axis(gaps, best, axis=1)
+        order = np.argsort(gaps, axis=1, kind="stable")
+        best, gaps = np.take_along_axis(best, order, axis=1), np.take_along_axis(gaps, order, axis=1)
+        far[rows, :kept] = gaps
+        near[rows, :kept] = np.where(np.isinf(gaps), -1, best)
+    return near, far
+
+
+def _spread(v: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Of each row's nodes at most ``most`` in different directions.
+
+    A node is passed over while a chosen one is nearer to it than the row's own node is; what
+    room is left goes to the nearest of those passed over.
+    """
+    n, width = near.shape
+    out = np.full((n, most), -1, dtype=np.int64)
+    for start in range(0, n, 256):
+        ids, gaps = near[start : start + 256], far[start : start + 256]
+        own = v[ids]
+        square = _square(own)
+        between = square[:, :, None] + square[:, None, :] - 2 * own @ own.transpose(0, 2, 1)
+        chosen = np.zeros(ids.shape, dtype=bool)
+        for k in range(width):
+            free = (ids[:, k] >= 0) & (chosen.sum(axis=1) < most)
+            covered = (np.where(chosen, between[:, k], np.inf) < gaps[:, k, None]).any(axis=1)
+            chosen[:, k] = free & ~covered
+        order = np.argsort(np.where(ids < 0, 2, ~chosen), axis=1, kind="stable")[:, :most]
+        out[start : start + 256, : order.shape[1]] = np.take_along_axis(ids, order, axis=1)
+    return out
 
 
 def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -186,9 +246,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = SEARC
             vectors = np.frombuffer(row["vectors"], "<f8").reshape(n, dim)
             graph = SmallWorld(vectors, np.frombuffer(row["neighbours"], "<i4").reshape(int(row["layers"]), n, 2 * LINKS), int(row["entry"]), int(row["top"]))
             ids, starts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["starts"], "<i8")
-            for query_id, mark, vector in zip(block["vec_id"], block["query"], block["vector"]):
-                q = np.array(vector, dtype=np.float64)
-                found = graph.nearest(q, max(width, k + 1))
+            asked = np.array(block["vector"].tolist(), dtype=np.float64).reshape(len(block), dim)
+            walked = graph.nearest(asked, max(width, k + 1))
+            for query_id, mark, q, found in zip(block["vec_id"], block["query"], asked, walked):
                 score = np.sqrt(((vectors[found] - q) ** 2).sum(axis=1))
                 best = []
                 for node, s in sorted(zip(found.tolist(), score.tolist()), key=lambda x: x[1]):
