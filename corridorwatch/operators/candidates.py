@@ -69,9 +69,11 @@ def registry_split(config: BuildConfig = DEFAULT, time: str = "occurred_at") ->
     return F.when(F.col(time).isNotNull(), F.coalesce(split_name(config, time), F.lit("test")))
 
 
-def negative_sample(candidates: DataFrame, n: int = 1000, config: BuildConfig = DEFAULT) -> DataFrame:
-    """At most n hard or uncertain negatives, drawn over the whole table."""
+def negative_sample(candidates: DataFrame, n: int | None = None, config: BuildConfig = DEFAULT) -> DataFrame:
+    """The hard and uncertain negatives, or ``n`` of them drawn over the whole table."""
     pool = candidates.where(
         (F.col("target_event_30m") == 0) & F.col("candidate_source").isin("hard_negative", "uncertain_negative")
     )
+    if n is None:
+        return pool
     return pool.withColumn("__draw", draw_key(config)).orderBy("__draw", "segment_id").limit(n).drop("__draw")

@@ -58,6 +58,11 @@ def off_month() -> Column:
     return F.date_format("bin5", "yyyy-MM") != F.col("source_month")
 
 
+def in_month(df: DataFrame) -> DataFrame:
+    """Without the rows whose time lies outside their file's month; rows that name no month stay."""
+    return df.where(~F.coalesce(off_month(), F.lit(False)))
+
+
 def off_month_split(df: DataFrame) -> DataFrame:
     """Rows per source month: kept and excluded."""
     return df.groupBy("source_month").agg(

@@ -102,7 +102,9 @@ def case_lookup(cases: DataFrame, event_id: str | None = None) -> DataFrame:
 def case_match(rows: DataFrame, cases: DataFrame) -> DataFrame:
     """Watchlist rows with the case of their event: hypothesis, traffic, actions."""
     known = cases.select(F.col("event_id").alias("target_event_id"), "type_hypothesis", "traffic_volume", "management_actions")
-    joined = rows.join(known, "target_event_id", "left")
+    # most rows have no event: they stay out of the join, whose key they would share
+    has_event = F.coalesce(F.col("target_event_id") != "", F.lit(False))
+    joined = rows.where(has_event).join(known, "target_event_id", "left").unionByName(rows.where(~has_event), allowMissingColumns=True)
     urgent = F.array(F.lit("VMS_WARNING"), F.lit("VERIFY"), F.lit("LOW_SPEED_WARNING"))
     default = F.when(F.col("score") >= 0.8, urgent).otherwise(F.slice(urgent, 1, 2))
     return joined.withColumns(
@@ -124,14 +126,13 @@ def top3_types(probabilities: Column, labels: Column) -> Column:
     )
 
 
-def route_points(snapshot: DataFrame, keys: list[str], most: int = 90, block_m: float = 100_000.0) -> DataFrame:
-    """Corridor points in stake order, every (n // most)th one where n > most.
+def route_points(snapshot: DataFrame, keys: list[str], most: int | None = None, block_m: float = 100_000.0) -> DataFrame:
+    """Corridor points in stake order: all, or with ``most`` every (n // most)th one where n > most.
 
     ``snapshot`` has (keys, road_code, direction_code, segment_id, stake_m,
     stage1_score). Positions are counted range by range of the stake.
     """
     corridor = [*keys, "road_code", "direction_code"]
-    sizes = snapshot.groupBy(*corridor).agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(
         snapshot.withColumns({"__block": F.floor(F.col("stake_m") / block_m), "__one": F.lit(1)}),
         corridor,
@@ -139,22 +140,21 @@ def route_points(snapshot: DataFrame, keys: list[str], most: int = 90, block_m:
         [F.col("stake_m"), F.col("segment_id")],
         {"__one": "position"},
     ).drop("__block", "__one")
-    step = F.when(F.col("n") > most, F.greatest(F.lit(1), F.floor(F.col("n") / most))).otherwise(1)
-    return (
-        placed.join(sizes, corridor)
-        .where((F.col("position") - 1) % step == 0)
-        .select(
-            *corridor,
-            "position",
-            "segment_id",
-            F.bround(F.col("stake_m") / 1000.0, 3).alias("stake_km"),
-            F.bround("stage1_score", 5).alias("score"),
-        )
+    if most is not None:
+        sizes = snapshot.groupBy(*corridor).agg(F.count(F.lit(1)).alias("n"))
+        step = F.when(F.col("n") > most, F.greatest(F.lit(1), F.floor(F.col("n") / most))).otherwise(1)
+        placed = placed.join(sizes, corridor).where((F.col("position") - 1) % step == 0)
+    return placed.select(
+        *corridor,
+        "position",
+        "segment_id",
+        F.bround(F.col("stake_m") / 1000.0, 3).alias("stake_km"),
+        F.bround("stage1_score", 5).alias("score"),
     )
 
 
 def route_series(snapshot: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per corridor with its ordered points (fewer than 180 after thinning)."""
+    """One row per corridor with its ordered points."""
     points = route_points(snapshot, keys)
     item = F.struct("position", "segment_id", "stake_km", "score")
     return points.groupBy(*keys, "road_code", "direction_code").agg(F.array_sort(F.collect_list(item)).alias("points"))

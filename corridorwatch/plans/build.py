@@ -27,7 +27,7 @@ def context_panel(
 
 def build_candidates(raw: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
     """From the typed raw panel to the candidate table with its split."""
-    panel = cleaning.panel_dedup(cleaning.clean_panel(raw))
+    panel = cleaning.panel_dedup(cleaning.in_month(cleaning.clean_panel(raw)))
     drawn = candidates.stratified_sample(context_panel(panel, config), config)
     return drawn.withColumn("split", candidates.split_name(config))
 

@@ -16,7 +16,8 @@ SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.
 FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d FROM events)"""
 
 CTES["raw"] = """
-SELECT CAST(user_id AS VARCHAR) AS segment_id, bin5, '2025-08' AS source_month,
+SELECT CAST(user_id AS VARCHAR) AS segment_id, bin5,
+       CASE WHEN event_id % 17 = 0 THEN '2025-07' ELSE strftime(bin5, '%Y-%m') END AS source_month,
        CAST((user_id // 2) % 2 AS INTEGER) AS direction_code,
        CASE WHEN user_id % 2 = 0 THEN 'G9411' ELSE 'S5' END AS road_code,
        CASE WHEN (user_id // 2) % 2 = 1 THEN '上行' ELSE '下行' END AS road_direction,
@@ -38,7 +39,8 @@ FROM raw WHERE risk IS NOT NULL AND stake IS NOT NULL"""
 
 CTES["panel"] = """
 SELECT * EXCLUDE (rn), CASE WHEN direction_code = 1 THEN stake ELSE -stake END AS travel_stake
-FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, bin5 ORDER BY risk DESC, source_row DESC) AS rn FROM clean)
+FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, bin5 ORDER BY risk DESC, source_row DESC) AS rn FROM clean
+      WHERE strftime(bin5, '%Y-%m') = source_month)
 WHERE rn = 1"""
 
 CTES["accidents"] = """

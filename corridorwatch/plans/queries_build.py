@@ -167,8 +167,8 @@ def drop_incomplete(spark, sf):
 
 @query(
     "off_month_filter",
-    """SELECT source_month, count(*) FILTER (WHERE month(bin5) = 8) AS kept_rows,
-              count(*) FILTER (WHERE month(bin5) <> 8) AS off_month_rows FROM raw GROUP BY source_month""",
+    """SELECT source_month, count(*) FILTER (WHERE strftime(bin5, '%Y-%m') = source_month) AS kept_rows,
+              count(*) FILTER (WHERE strftime(bin5, '%Y-%m') <> source_month) AS off_month_rows FROM raw GROUP BY source_month""",
 )
 def off_month_filter(spark, sf):
     return cleaning.off_month_split(testbed.raw_panel(spark, sf))
@@ -418,7 +418,7 @@ def candidate_build(spark, sf):
        ORDER BY md5('20260730|' || segment_id || '|' || strftime(bin5, '%Y-%m-%d %H:%M:%S')), segment_id LIMIT 1000""",
 )
 def negative_sample(spark, sf):
-    return candidates.negative_sample(staging.context(spark, sf)).select(*KEY, "candidate_source")
+    return candidates.negative_sample(staging.context(spark, sf), 1000).select(*KEY, "candidate_source")
 
 
 @query("temporal_split", "SELECT segment_id, bin5, split FROM context")
@@ -503,14 +503,15 @@ def panel_profile(spark, sf):
 
 @query(
     "month_summary",
-    """SELECT source_month, count(*) AS raw_rows, count(*) FILTER (WHERE month(bin5) <> 8) AS off_month_rows_excluded,
-              count(*) FILTER (WHERE month(bin5) = 8 AND accident_label > 0 AND accident_id = '0') AS invalid_event_labels_excluded,
-              count(DISTINCT CASE WHEN month(bin5) = 8 THEN CAST(bin5 AS DATE) END) AS processed_days,
-              (SELECT count(*) FROM context WHERE month(bin5) = 8) AS candidate_rows,
-              (SELECT sum(target_event_30m) FROM context WHERE month(bin5) = 8) AS positive_candidate_rows,
-              (SELECT count(DISTINCT segment_id) FROM context WHERE month(bin5) = 8) AS segment_count,
-              (SELECT count(DISTINCT accident_id) FROM accidents WHERE month(bin5) = 8) AS event_count
-       FROM raw GROUP BY source_month""",
+    """SELECT r.*, coalesce(c.candidate_rows, 0) AS candidate_rows, coalesce(c.positive_candidate_rows, 0) AS positive_candidate_rows,
+              coalesce(c.segment_count, 0) AS segment_count, coalesce(e.event_count, 0) AS event_count
+       FROM (SELECT source_month, count(*) AS raw_rows, count(*) FILTER (WHERE off) AS off_month_rows_excluded,
+                    count(*) FILTER (WHERE NOT off AND accident_label > 0 AND accident_id = '0') AS invalid_event_labels_excluded,
+                    count(DISTINCT CASE WHEN NOT off THEN CAST(bin5 AS DATE) END) AS processed_days
+             FROM (SELECT *, strftime(bin5, '%Y-%m') <> source_month AS off FROM raw) GROUP BY source_month) r
+       LEFT JOIN (SELECT source_month, count(*) AS candidate_rows, sum(target_event_30m) AS positive_candidate_rows,
+                         count(DISTINCT segment_id) AS segment_count FROM context GROUP BY source_month) c USING (source_month)
+       LEFT JOIN (SELECT source_month, count(DISTINCT accident_id) AS event_count FROM accidents GROUP BY source_month) e USING (source_month)""",
     integers="positive_candidate_rows",
 )
 def month_summary(spark, sf):
@@ -525,13 +526,13 @@ def distinct_rows(spark, sf):
 
 @query(
     "union_parts",
-    """SELECT candidate_source, segment_id, bin5 FROM context WHERE candidate_source IN ('hard_negative', 'uncertain_negative')
+    """SELECT candidate_source, segment_id, bin5 FROM context WHERE candidate_source IN ('hard_negative', 'uncertain_negative', 'random_negative')
        UNION ALL SELECT candidate_source, segment_id, bin5 FROM context WHERE candidate_source = 'future_event'""",
 )
 def union_parts(spark, sf):
     df = staging.context(spark, sf).select("candidate_source", *KEY)
-    parts = [df.where(F.col("candidate_source") == s) for s in ("hard_negative", "uncertain_negative", "future_event")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [df.where(F.col("candidate_source") == s) for s in ("hard_negative", "uncertain_negative", "random_negative", "future_event")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 # --- sinks -----------------------------------------------------------------------------------

@@ -132,7 +132,7 @@ def stream_dedup(spark, sf):
     return _run(spark, jobs.stream_dedup(_raw_stream(spark, sf)), "stream-dedup").select("segment_id", "bin5")
 
 
-@query("stream_best_row", f"SELECT segment_id, bin5, risk FROM panel WHERE bin5 + INTERVAL 5 MINUTE <= {_CLOSED}", doubles="risk")
+@query("stream_best_row", f"SELECT segment_id, bin5, max(risk) AS risk FROM clean WHERE bin5 + INTERVAL 5 MINUTE <= {_CLOSED.replace('context', 'clean')} GROUP BY ALL", doubles="risk")
 def stream_best_row(spark, sf):
     df = _run(spark, jobs.stream_best_row(_raw_stream(spark, sf)), "stream-best")
     return df.select("segment_id", "bin5", F.col(V.RISK).alias("risk"))

@@ -212,8 +212,7 @@ def teacher_packets(spark, sf):
 
 
 _NEGATIVES = """
-SELECT * FROM context WHERE target_event_30m = 0 AND candidate_source IN ('hard_negative', 'uncertain_negative')
-ORDER BY md5('20260730|' || segment_id || '|' || strftime(bin5, '%Y-%m-%d %H:%M:%S')), segment_id LIMIT 1000"""
+SELECT * FROM context WHERE target_event_30m = 0 AND candidate_source IN ('hard_negative', 'uncertain_negative')"""
 
 
 @query(
@@ -535,7 +534,11 @@ SELECT time, road_code, direction_code, position, segment_id, round_even(stake_m
 WHERE (position - 1) % CASE WHEN n > {0} THEN greatest(1, n // {0}) ELSE 1 END = 0"""
 
 
-@query("route_series", _POINTS.format(90), doubles="stake_km", integers="direction_code")
+#: No corridor has as many points: none is left out.
+_ALL_POINTS = _POINTS.format(10**12)
+
+
+@query("route_series", _ALL_POINTS, doubles="stake_km", integers="direction_code")
 def route_series(spark, sf):
     """Points of every corridor and time, from the nested series."""
     series = watchlist.route_series(_watch(spark, sf), ["time"])
@@ -550,7 +553,7 @@ def route_series_thinned(spark, sf):
 @query(
     "dashboard_kpis",
     f"""SELECT w.time, count(*) AS candidate_count, count(*) FILTER (WHERE w.score >= 0.8) AS high_risk_count, count(*) FILTER (WHERE w.score >= 0.6) AS alert_count,
-               any_value(p.n) AS point_count FROM watchlist w JOIN (SELECT time, count(*) AS n FROM ({_POINTS.format(90)}) GROUP BY time) p ON p.time = w.time GROUP BY w.time""",
+               any_value(p.n) AS point_count FROM watchlist w JOIN (SELECT time, count(*) AS n FROM ({_ALL_POINTS}) GROUP BY time) p ON p.time = w.time GROUP BY w.time""",
 )
 def dashboard_kpis(spark, sf):
     rows = _watch(spark, sf)

@@ -52,7 +52,7 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("segment_id"),
         "bin5",
-        F.lit("2025-08").alias("source_month"),
+        F.when(F.col("event_id") % 17 == 0, "2025-07").otherwise(F.date_format("bin5", "yyyy-MM")).alias("source_month"),
         (F.floor(F.col("user_id") / 2) % 2).cast("int").alias("direction_code"),
         F.when(F.col("user_id") % 2 == 0, "G9411").otherwise("S5").alias("road_code"),
         F.when(F.floor(F.col("user_id") / 2) % 2 == 1, "上行").otherwise("下行").alias("road_direction"),
@@ -90,7 +90,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.panel_dedup(clean(spark, sf_dir))
+    return cleaning.panel_dedup(cleaning.in_month(clean(spark, sf_dir)))
 
 
 

@@ -10,6 +10,7 @@ from corridorwatch import schemas
 from corridorwatch import vocabulary as V
 from corridorwatch.config import BuildConfig
 from corridorwatch.operators import candidates, cleaning, features, labels, topology
+from corridorwatch.plans import build
 
 T0 = dt.datetime(2025, 3, 10, 0, 0)
 
@@ -35,6 +36,12 @@ def test_dedup_keeps_highest_risk_then_largest_row(spark):
     assert out == {"a": (0.7, 3), "b": (0.1, 0)}
 
 
+def test_build_has_no_row_of_another_month(spark):
+    rows = [row("a", 0, 0.7), row("b", 0, 0.7) | {"source_month": "2025-02"}, row("c", 0, 0.7) | {"source_month": None}]
+    out = build.build_candidates(frame(spark, rows))
+    assert sorted(r.segment_id for r in out.collect()) == ["a", "c"]
+
+
 @pytest.mark.parametrize("bad", ["", "0", " 0.0 ", "NaN", "None", "NULL"])
 def test_invalid_event_ids_are_demoted(spark, bad):
     out = cleaning.clean_panel(frame(spark, [row("a", 0, 1.7, label=1, accident=bad, level=3)])).first()

@@ -110,5 +110,5 @@ def test_registry_headers_and_year(spark):
     header = dict.fromkeys(V.REGISTRY_HEADERS, None) | {"序号": "5", "事故发生时间": "2025-02-03 04:05:00", "路线方向": "上行", "匹配桩号值(km)": "12.5"}
     old = header | {"事故发生时间": "2024-12-31 23:59:00"}
     raw = spark.createDataFrame([tuple(header.values()), tuple(old.values())], ", ".join(f"`{h}` string" for h in header))
-    out = files.registry_columns(raw).collect()
+    out = files.registry_columns(raw, 2025).collect()
     assert len(out) == 1 and out[0].direction_code == 1 and out[0].accident_stake_m == 12500.0 and out[0].registry_row == 0
