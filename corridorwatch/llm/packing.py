@@ -33,6 +33,8 @@ UNITS = CAPACITY // UNIT
 CLOSING_ID = 2
 #: Words remembered per worker; the memory is emptied when full.
 CACHED_WORDS = 400_000
+#: Words that the tokenizer gets at a time.
+JOINED_WORDS = 500
 
 _TOKENIZER: dict = {}
 
@@ -56,11 +58,15 @@ class WordTokenizer:
         if len(self._known) > CACHED_WORDS:
             self._known = {"": b""}
         known = self._known
-        new = list({w for words in split for w in words if w not in known})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        new = list(set().union(*split).difference(known))
+        for start in range(0, len(new), JOINED_WORDS):
+            part = new[start : start + JOINED_WORDS]
+            # one call for many words; the offsets of the tokens tell them apart again
+            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = (4 * np.searchsorted([at for at, _ in found.offsets], starts)).tolist()
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            known.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
         for words in split:
             yield b"".join(map(known.__getitem__, words))
 
