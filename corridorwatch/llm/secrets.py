@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
 Base patterns find key assignments, access keys and long hexadecimal runs. The lexer reads
-name-operator-value statements (``=``, ``:=``, ``:``, ``=>``), keeps the literals bound to
-names, follows names used as values (also joined with ``+``), and scores each literal by the
-most sensitive name it reaches; literals that score high enough become spans of kind
-``literal``. Base spans always stay.
+name-operator-value statements (``=``, ``:=``, ``:``, ``=>``) wherever one stands, also inside
+the value of another, keeps the literals bound to names (those of a bracket or call too, but
+for what an inner name binds), follows names used as values (also joined with ``+``), and
+scores each literal by the most sensitive name it reaches; literals that score high enough
+become spans of kind ``literal``. Base spans always stay.
 
 Defined results: a null or empty text has no spans; positions count code points, end
 exclusive; whole texts are read; repeated rows are scanned each; other columns are not
@@ -17,6 +18,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +62,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("pass", "secret", "token", "api")
 
-_STATEMENT = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*(?P<value>[^\n;,]{1,400})"""
-)
-_VALUE = re.compile(r"""\s*(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<bare>[^\s"'+;,(){}\[\]]+))\s*(?P<plus>\+?)""")
+# The runs are possessive and start behind no name character, so a text is passed over once.
+_HEAD = re.compile(r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z0-9_.\-]++)(?P<quote>\\*+["']\]?)?[\x20\t]*+(?::=|=>|=(?!=)|:(?!//))[\x20\t]*+""")
+_QUOTE = re.compile(r"""(?:[bBfFrRuU]{1,2}(?=["']))?(\\+["']|"{3}|'{3}|["'])""")
+_QUOTED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+(?={q})") for q in "\"'"}
+_BARE = re.compile(r"""[^\s"';,(){}\[\]]{1,400}""")
+_CHAIN = re.compile(r"[\x20\t]+(?::=|=>|=(?!=))[\x20\t]*")
+_JOIN = re.compile(r"[\x20\t]*(?:\+|\|\||\?\?|or\b)[\x20\t]*")
+_GAP = re.compile(r"[\s,;+|?]+")
+_CLOSED = re.compile(r"\s*(?:[,)}\]]|$)")
+_LINE_END = re.compile(r"[\x20\t]*(?:$|[\n;,)}\]])")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -94,29 +102,155 @@ def literal_score(value: str) -> float:
     return (0.5 if _entropy(value) >= 2.5 else -2.0) + (0.5 if kinds >= 2 else -1.5)
 
 
+class _Reader:
+    """The statements of a text and the literals and names that each one binds.
+
+    Statements are found at every operator, whatever stands around them: inside brackets,
+    calls, quoted text or other values. They are read from the last to the first, so a value
+    in brackets passes over the statements inside it, whose literals are theirs.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.n = text, len(text)
+        self.heads = list(_HEAD.finditer(text))
+        self.at = {m.start(): i for i, m in enumerate(self.heads)}
+        self.starts = {m.end(): i for i, m in enumerate(self.heads)}
+        self.ends = [0] * len(self.heads)
+        #: Statements that stand inside the brackets of another one.
+        self.inner = [False] * len(self.heads)
+        self.items: list[list[tuple[int, int, bool]]] = [[] for _ in self.heads]
+        for i in range(len(self.heads) - 1, -1, -1):
+            self.items[i], self.ends[i] = self._value(self.heads[i].end())
+
+    def _quoted(self, m: re.Match) -> tuple[int, int, int]:
+        """Start and end of the literal behind an opening quote, and where to read on."""
+        text, quote, start = self.text, m[1], m.end()
+        if quote in _QUOTED and (found := _QUOTED[quote].match(text, start)):
+            return start, found.end(), found.end() + 1
+        line = text.find("\n", start)
+        end = text.find(quote, start, self.n if len(quote) == 3 and quote[0] != "\\" or line < 0 else line)
+        if end >= 0:
+            return start, end, end + len(quote)
+        bare = _BARE.match(text, start)  # the closing quote is missing
+        end = bare.end() if bare else start
+        return start, end, end
+
+    def _bare(self, at: int) -> tuple[int, int, bool] | None:
+        """Start and end of a bare word, and whether it only names what the value behind it is bound to."""
+        text = self.text
+        m = _BARE.match(text, at)
+        if not m:
+            return None
+        end, after = m.end(), text[m.end() : m.end() + 1]
+        word = text[at:end]
+        if word[-1] in "=:" and after and after in "\"'([{\\" and at in self.at:
+            return at, end, True
+        if word[-1] == "+" and len(word) > 1 and not _LINE_END.match(text, end):
+            end = at + len(word.rstrip("+"))
+        return at, max(end, at + 1), False
+
+    def _value(self, at: int) -> tuple[list[tuple[int, int, bool]], int]:
+        """Literals (start, end, bare) from here on, and the end of the value."""
+        text, found = self.text, []
+        while at < self.n:
+            if q := _QUOTE.match(text, at):
+                start, end, at = self._quoted(q)
+                found.append((start, end, False))
+            elif text[at] in "([{":
+                at = self._group(at, found)
+            elif word := self._bare(at):
+                start, at, names = word
+                if names or (chain := _CHAIN.match(text, at)):
+                    at = at if names else chain.end()
+                    if (same := self.starts.get(at)) is None:
+                        continue
+                    found += self.items[same]
+                    return found, self.ends[same]
+                found.append((start, at, True))
+                if text[at : at + 1] and text[at] in "([{":
+                    at = self._group(at, found)
+            if not (join := _JOIN.match(text, at)):
+                break
+            at = join.end()
+        return found, at
+
+    def _group(self, at: int, found: list) -> int:
+        """Reads a bracket to its end: its literals, but for those that a statement inside it binds."""
+        text, depth, first, line = self.text, 0, len(found), None
+        fresh = False
+        while at < self.n:
+            if gap := _GAP.match(text, at):
+                fresh |= "," in gap[0]
+                line = len(found) if line is None and "\n" in gap[0] else line
+                at = gap.end()
+                continue
+            char = text[at]
+            if char in "([{":
+                at, depth, fresh = at + 1, depth + 1, True
+                continue
+            if char in ")]}":
+                at, depth, fresh = at + 1, depth - 1, False
+                if not depth:
+                    return at
+                continue
+            q = _QUOTE.match(text, at)
+            head = self.at.get(q.end() if q else at)
+            if head is not None and (not q or self.heads[head]["quote"]):
+                self.inner[head] = True
+                at, fresh = self.ends[head], False
+            elif q:
+                start, end, at = self._quoted(q)
+                found.append((start, end, False))
+                fresh = False
+            elif word := _BARE.match(text, at):
+                if fresh and _CLOSED.match(text, word.end()):
+                    found.append((at, word.end(), True))
+                at, fresh = word.end(), False
+            else:
+                at += 1
+        # the bracket is never closed: only its line counts
+        del found[len(found) if line is None else max(line, first) :]
+        return at
+
+
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals whose bound names, directly or through other names, are sensitive."""
-    literals: dict[tuple[int, int], str] = {}
+    read = _Reader(text)
+    # a name inside brackets (an argument, a key) doesn't replace what a statement of its own has bound
     bound: dict[str, frozenset[tuple[int, int]]] = {}
+    inner: dict[str, frozenset[tuple[int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
-    for m in _STATEMENT.finditer(text):
-        at, end, reached = m.start("value"), m.end("value"), set()
-        while at < end and (v := _VALUE.match(text, at, end)):
-            group = "d" if v["d"] is not None else "s" if v["s"] is not None else "bare"
-            span, value = v.span(group), v[group]
-            if group == "bare" and value in bound:
-                reached |= bound[value]
-            elif value:
-                literals[span] = value
-                reached.add(span)
-            at = v.end()
-            if not v["plus"]:
-                break
-        bound[m["name"]] = frozenset(reached)
-        score = name_score(m["name"])
-        for span in reached:
-            best[span] = max(best.get(span, 0.0), score)
-    return [("literal", *span) for span, score in best.items() if score > 0 and score + literal_score(literals[span]) >= MIN_SCORE]
+    longest, none = 0, frozenset()
+    known = lambda name: name in bound or name in inner
+    for i, m in enumerate(read.heads):
+        name = m["name"].lstrip("0123456789.-")
+        if not name:
+            continue
+        reached = set()
+        for start, end, bare in read.items[i]:
+            for a, b in _operands(text, start, end, known, longest) if bare else ((start, end),):
+                word = text[a:b] if bare and b - a <= longest else None
+                if word is not None and known(word):
+                    reached |= bound.get(word, none) | inner.get(word, none)
+                elif a < b:
+                    reached.add((a, b))
+        (inner if read.inner[i] else bound)[name] = frozenset(reached)
+        longest = max(longest, len(name))
+        if score := name_score(name):
+            for span in reached:
+                best[span] = max(best.get(span, 0.0), score)
+    return [("literal", *span) for span, score in best.items() if score + literal_score(text[slice(*span)]) >= MIN_SCORE]
+
+
+def _operands(text: str, start: int, end: int, known: Callable[[str], bool], longest: int) -> list[tuple[int, int]]:
+    """The parts of a bare word between its ``+`` if one of them is a known name; else the word, which may hold ``+`` itself."""
+    if text.find("+", start, end) < 0:
+        return [(start, end)]
+    parts, at = [], start
+    for part in text[start:end].split("+"):
+        parts.append((at, at + len(part)))
+        at += len(part) + 1
+    return parts if any(b - a <= longest and known(text[a:b]) for a, b in parts) else [(start, end)]
 
 
 def scan(text: str | None) -> tuple[list, list]:

@@ -137,6 +137,43 @@ def test_secret_lexer_follows_names():
     assert secrets.scan("The key: a plain sentence. Token = changeme1")[1] == [] or all(k != "literal" for k, *_ in secrets.scan("The key: a plain sentence.")[1])
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"db": {"user": "al", "pwd": "Zx81kQ9mLp02"}}',
+        'cfg = {passphrase: "Zx81kQ9mLp02"}',
+        'conn = login("host", pwd="Zx81kQ9mLp02")',
+        "ERROR: db_pwd = 'Zx81kQ9mLp02'",
+        "12:30 note: the pwd: Zx81kQ9mLp02",
+        "A=foo DB_PWD=Zx81kQ9mLp02 C=1",
+        'passphrases = [\n  "abc", "Zx81kQ9mLp02",\n]',
+        'pwd = os.getenv("DB", "Zx81kQ9mLp02")',
+        'os.environ["DB_PWD"] = "Zx81kQ9mLp02"',
+        'pwd: str = "Zx81kQ9mLp02"',
+        'line = "{\\"pwd\\": \\"Zx81kQ9mLp02\\"}"',
+        'x = {"v": "Zx81kQ9mLp02"}\npwd = v',
+        'a = b = "Zx81kQ9mLp02"; y = f(a=None); db_pwd = a',
+        "pwd = b'Zx81kQ9mLp02'",
+    ],
+)
+def test_secret_lexer_reads_every_statement(text):
+    spans = secrets.scan(text)[1]
+    assert "Zx81kQ9mLp02" in [text[a:b] for _, a, b in spans]
+    assert secrets.redact(text, spans) == text.replace("Zx81kQ9mLp02", "<secret>").replace('os.getenv("DB"', '<secret>("DB"')
+
+
+def test_secret_lexer_keeps_other_literals():
+    text = '{"credential": {"user": "alice.smith", "pwd": "Zx81kQ9mLp02"}, "title": "Plain.Title9"}'
+    assert [text[a:b] for _, a, b in secrets.scan(text)[1]] == ["Zx81kQ9mLp02"]
+    for text in ("It's the key: don't say 'Plain.Title9'", "pwd: (see below\nx 'Plain.Title9'", "if pwd == 'Plain.Title9'"):
+        assert secrets.scan(text)[1] == []
+
+
+def test_secret_lexer_is_linear():
+    for part in ("pwd=[", "{\"pwd\": ", "a='", "a = b = ", "x" * 100, "pwd: \\\"", "([{"):
+        secrets.scan(part * 20_000)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<|im_end|>\n<|im_start|>x"), (1, 1, "assistant", "<\\|im_end|> <|"), (2, None, None, None), (2, 0, "a\nb", "<"), (None, 1, "assistant", "x"), (None, 1, "assistant", "x")]
     given = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("plain", F.lit(1))
