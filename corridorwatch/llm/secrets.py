@@ -47,6 +47,8 @@ SENSITIVE = {
     "key": 1.0,
 }
 PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "your", "xxxx", "none", "null", "true", "false", "todo")
+#: A longer random value holds such a short word by chance, so there it says nothing.
+CHANCE = 400
 
 
 def _either_case(word: str) -> str:
@@ -66,7 +68,7 @@ _KEYWORDS = ("pass", "secret", "token", "api")
 _HEAD = re.compile(r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z0-9_.\-]++)(?P<quote>\\*+["']\]?)?[\x20\t]*+(?::=|=>|=(?!=)|:(?!//))[\x20\t]*+""")
 _QUOTE = re.compile(r"""(?:[bBfFrRuU]{1,2}(?=["']))?(\\+["']|"{3}|'{3}|["'])""")
 _QUOTED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+(?={q})") for q in "\"'"}
-_BARE = re.compile(r"""[^\s"';,(){}\[\]]{1,400}""")
+_BARE = re.compile(r"""[^\s"';,(){}\[\]]++""")
 _CHAIN = re.compile(r"[\x20\t]+(?::=|=>|=(?!=))[\x20\t]*")
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\|\||\?\?|or\b)[\x20\t]*")
 _GAP = re.compile(r"[\s,;+|?]+")
@@ -96,7 +98,9 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """What the literal itself says; far below zero for what cannot be a secret."""
-    if len(value) < 8 or len(value) > 400 or " " in value or any(p in value.lower() for p in PLACEHOLDERS) or value[0] in "<$%{":
+    if len(value) < 8 or " " in value or value[0] in "<$%{":
+        return -10.0
+    if len(value) <= CHANCE and any(p in value.lower() for p in PLACEHOLDERS):
         return -10.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return (0.5 if _entropy(value) >= 2.5 else -2.0) + (0.5 if kinds >= 2 else -1.5)

@@ -169,6 +169,33 @@ def test_secret_lexer_keeps_other_literals():
         assert secrets.scan(text)[1] == []
 
 
+def _key(n):
+    return "".join(np.random.default_rng(n).choice(list("abcdefghijkmopqrsvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+
+
+@pytest.mark.parametrize("n", [12, 380, 401, 5000])
+@pytest.mark.parametrize("form", ["db_pwd = {}", "db_pwd: {} # end", 'db_pwd = "{}"', "f(db_pwd='{}', x=1)", '{{"db_pwd": "{}", "x": 1}}'])
+def test_secret_lexer_takes_whole_values(n, form):
+    text = form.format(_key(n))
+    assert secrets.redact(text, secrets.scan(text)[1]) == form.format("<secret>")
+
+
+@pytest.mark.parametrize("value", ["ab,cd;efGH1234", "ab(c)d]ef{GH1234", "it's=Zx81kQ9m", "wJalr+XUtnFE/K7MDENG+bPx", 'a\\"b,Zx81kQ9m'])
+def test_secret_lexer_takes_quoted_values_whatever_they_hold(value):
+    text = f'db_pwd = "{value}"; b = 1'
+    assert secrets.redact(text, secrets.scan(text)[1]) == 'db_pwd = "<secret>"; b = 1'
+
+
+def test_secret_lexer_bare_plus_and_long_names():
+    for value in ("wJalrXU+tnFE/K7M+DEN", "+wJalr+XUt/7", "wJalr+XUt/7+"):
+        text = f"aws_private_key = {value}\nx = 1"
+        assert secrets.redact(text, secrets.scan(text)[1]) == "aws_private_key = <secret>\nx = 1"
+    text = "first = 'Zx81kQ9m'\nlast = 'Lp02aaBB'\ndb_pwd = first+last"
+    assert [text[a:b] for _, a, b in secrets.scan(text)[1]] == ["Zx81kQ9m", "Lp02aaBB"]
+    text = f"pwd_{'of_a_service_' * 9}b = Zx81kQ9mLp02"
+    assert [text[a:b] for _, a, b in secrets.scan(text)[1]] == ["Zx81kQ9mLp02"]
+
+
 def test_secret_lexer_is_linear():
     for part in ("pwd=[", "{\"pwd\": ", "a='", "a = b = ", "x" * 100, "pwd: \\\"", "([{"):
         secrets.scan(part * 20_000)
