@@ -18,7 +18,7 @@ sets give, and then by the exact similarity of their full sets.
 
 Defined results: a null or empty text, or one without words, has no shingle, is linked with
 nothing and is its own component; fewer than five words are one shingle; repeated rows share
-a class; rows that repeat an id with other texts are connected through that id; a null id is
+a class, and one of them at most is kept; rows that repeat an id with other texts are connected through that id; a null id is
 in the component of its class, which is null if it has no other id; an empty table gives no
 rows; other columns are not looked at.
 """
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridorwatch.llm.common import map_rows, written
+from corridorwatch.llm.common import WORD, map_rows, written
 from corridorwatch.llm.graph import components
 
 WIDTH = 5
@@ -277,6 +277,30 @@ def _named(rows: DataFrame, by_class: DataFrame) -> DataFrame:
         by_class = by_class.join(merged.withColumnRenamed("node", "component"), "component", "left").withColumn("component", F.coalesce("merged", "component"))
     least = by_class.groupBy("component").agg(F.min("label").alias("component_id"))
     named = by_class.join(least, "component").select("h1", "h2", "component_id")
-    out = rows.join(named, ["h1", "h2"], "left")
+    # rows equal in id and set are one counted row until the end; only the first of them is kept
+    counted = rows.groupBy("doc_id", "n_shingles", "h1", "h2").agg(F.count("*").alias("c"))
+    out = counted.join(named, ["h1", "h2"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c"))))
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = (F.col("n_shingles") == 0) | (F.col("copy") == 1)
+    out = out.select("doc_id", "n_shingles", component_id.alias("component_id"), first.alias("first"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("first")).drop("first")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of every group of near copies, all columns as given; rows without a word all stay.
+
+    Groups are made by texts alone, so rows that share an id, or have none, are kept or
+    dropped each for itself. Of a group the row with the smallest id stays, one without an id
+    only if no row has one; among rows equal in id and text the choice depends on their columns.
+    """
+    row = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    ids = docs.where(worded).select(row.alias("__row"), F.col(key).cast("bigint").alias("__id"), F.col(text).alias("__text"))
+    found = near_duplicates(ids, "__row", "__text").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    best = ids.select("__row", "__id").distinct().join(found, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("best"))
+    stay = written(best.select(F.col("best.__row").alias("__row")), "near-stay", free=True)
+    # rows equal in id and text meet after each task has left one of them
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.where(worded).select(row.alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), F.xxhash64(*hashed).alias("__order"))
+    single = rows.groupBy("__row").agg(F.min_by("__all", "__order").alias("__all")).join(stay, "__row", "left_semi")
+    return docs.where(~worded).unionByName(single.select("__all.*"))

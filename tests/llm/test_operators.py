@@ -367,6 +367,32 @@ def test_pipeline(spark, table, docs):
     assert after.where("start = 0").count() == before.count()
 
 
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    rows = [(7, LONG)] * 3 + [(8, LONG), (9, None), (9, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in got) == {(7, True): 1, (7, False): 2, (8, False): 1, (9, True): 2}
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(3, words(0)), (None, words(0) + " end"), (None, words(1)), (None, words(2)), (None, words(2)), (None, words(2) + " end")]
+    rows += [(7, words(3))] * 3 + [(8, words(3)), (1, words(4)), (5, words(4)), (5, words(5)), (6, words(6)), (6, words(6) + " end"), (9, None), (9, None), (None, "")]
+    given = spark.createDataFrame([(*r, "l", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, given, SF_DIR).collect()]
+    assert Counter(left) <= Counter(rows)
+    sets = [_shingles(t) for _, t in rows]
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    groups = []  # these groups need no closure: all members are linked with each other
+    for (i, _), x in zip(rows, sets):
+        same = [g for g in groups if link(g[0][1], x)]
+        (same[0] if same else groups.append([]) or groups[-1]).append((i, x))
+    assert len(left) == len(groups)
+    for group in groups:
+        members = [i for i, t in left if link(_shingles(t), group[0][1]) or not group[0][1] and not _shingles(t)]
+        least = min((i is None, i or 0) for i, _ in group)
+        assert not group[0][1] or [(i is None, i or 0) for i in members] == [least]
+
+
 def test_pipeline_takes_empty_tables(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF_DIR).count() == 0
