@@ -339,6 +339,28 @@ def test_chunks_remove_repeated_passages_only(spark):
             assert len(left) == len(raw[i]) - r["n_removed"] and (i == 0 or passage not in left)
 
 
+def test_chunks_remove_short_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    one = next(t for t in iter(lambda: text(120), None) if len(chunks.boundaries(np.frombuffer(t.encode(), np.uint8))) == 1)
+    long, other, late, nulls = text(3000), text(900), text(500), text(700)
+    groups = [[(1, "ok"), (2, "ok"), (3, "ok"), (None, "ok")], [(4, text(60))], [(10, one), (11, one)], [(20, long)] * 3, [(30, other), (30, other + "z" * 40)], [(None, nulls)] * 3, [(40, late), (None, late)], [(50, ""), (50, "")]]
+    groups[1].append((5, groups[1][0][1]))
+    rows = [r for g in groups for r in g]
+    got = chunks.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    for g in groups:
+        size = len(g[0][1])
+        mine = [r for r in got if r["n_bytes"] in {len(t) for _, t in g} and r["doc_id"] in {i for i, _ in g}]
+        assert len(mine) == len(g)
+        if g[0][0] == 30:  # either row may be the first; the shared part stays once
+            assert sorted(r["n_removed"] > 700 for r in mine) == [False, True]
+            continue
+        first = [r for r in mine if r["spans"] == ""]
+        assert len(first) == (1 if size else len(g)) and all(r["spans"] in ("", f"0:{size}") for r in mine)
+        assert first[0]["doc_id"] == g[0][0]
+
+
 def test_chunk_boundaries_resist_shifts():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 5000).astype(np.uint8)
