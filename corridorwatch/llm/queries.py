@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corridorwatch.llm import chat, chunks, filters, language, lexical, mixing, neardup, neighbours, packing, quality, secrets, substrings
+from corridorwatch.llm import chat, chunks, filters, language, lexical, mixing, neardup, neighbours, packing, pages, quality, secrets, substrings
 from corridorwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_small_world_search": op9_small_world_search,
     "op10_source_mix": op10_source_mix,
+    "op11_main_text": op11_main_text,
     "op12_ranked_search": op12_ranked_search,
     "op13_filter_audit": op13_filter_audit,
 }
