@@ -7,7 +7,8 @@ matter, so documents are projected onto the terms of the items.
 Each task cuts its documents into shards of ``SHARD_ROWS`` and builds a ball tree of each:
 nodes are split by the direction between two far rows down to leaves of ``LEAF_ROWS``; a
 node has its rows' centroid and, per band of terms, the radius around it (bands are runs of
-terms of like frequency, so common terms don't widen the ball for rare ones). For an item q
+terms of like frequency, so common terms don't widen the ball for rare ones, nor
+a band that an item doesn't touch). For an item q
 the bound of a node is q . centroid + sum over bands of |q_band| * radius_band, enlarged by
 ``SLACK`` so that rounding never makes it too small. Nodes are opened best first; subtrees
 whose bound is below the item's 20th best score so far are pruned (equal bounds aren't, as a
@@ -45,7 +46,7 @@ SHARD_ROWS = 8192
 #: Numbers in the centroids of a tree; with many terms, shards get fewer rows.
 CENTROID_CELLS = 1 << 24
 LEAF_ROWS = 32
-BANDS = 48
+BANDS = 2048
 #: Relative enlargement of bounds; sums of some thousand doubles err by less than 1e-12.
 SLACK = 1e-9
 BLOCK_TERMS = 1 << 17
@@ -100,28 +101,34 @@ def vectors(docs: DataFrame, vocabulary: dict[bytes, int], key: str, text: str)
 
 @dataclass(frozen=True)
 class Corpus:
-    """What scores need of the whole corpus: documents, terms, and per dimension the weight and its band."""
+    """What scores need of the whole corpus: documents, terms, and the weights of dimensions.
+
+    Dimensions are put in the order of falling weight (``place``); bands are runs in that order.
+    """
 
     n_docs: int
     n_terms: int
+    place: np.ndarray
     weights: np.ndarray
     bands: np.ndarray
 
     @staticmethod
     def of(n_docs: int, n_terms: int, frequencies: np.ndarray) -> Corpus:
         weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * f + 1))) for f in frequencies.tolist()], dtype=np.int64)
-        rank = np.empty(len(weights), dtype=np.int64)
-        rank[np.argsort(-weights, kind="stable")] = np.arange(len(weights))
-        return Corpus(n_docs, n_terms, weights, rank * BANDS // max(len(weights), 1))
+        order = np.argsort(-weights, kind="stable")
+        place = np.empty(len(weights), dtype=np.int64)
+        place[order] = np.arange(len(weights))
+        return Corpus(n_docs, n_terms, place, weights[order], np.arange(len(weights)) * BANDS // max(len(weights), BANDS))
 
     def impacts(self, n: int, dims: np.ndarray, tfs: np.ndarray) -> np.ndarray:
+        """Weighted term frequencies of a text with ``n`` terms; ``dims`` are places."""
         m = 75 + (25 * n * self.n_docs) // self.n_terms
         return self.weights[dims] * (1_000_000_000 * tfs // (1000 * tfs + 12 * m))
 
 
 @dataclass
 class Rows:
-    """Sparse rows: the entries of row i are ``at[i] : at[i + 1]`` of ``dims`` and ``values``."""
+    """Sparse rows: the entries of row i are ``at[i] : at[i + 1]`` of ``dims``, ascending, and ``values``."""
 
     ids: np.ndarray
     at: np.ndarray
@@ -167,13 +174,19 @@ def _ball(rows: Rows, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     centroid = np.bincount(rows.dims, rows.values, minlength=width) / n
     # |x - c|^2 over a band = |c|^2 + sum over the row's entries of ((x - c)^2 - c^2)
     own = np.bincount(bands, centroid**2, minlength=BANDS)
-    c = centroid[rows.dims]
-    row = np.repeat(np.arange(n), np.diff(rows.at))
-    extra = np.bincount(row * BANDS + bands[rows.dims], rows.values * (rows.values - 2 * c), minlength=n * BANDS).reshape(n, BANDS)
-    squares = np.bincount(row * BANDS + bands[rows.dims], rows.values.astype(np.float64) ** 2, minlength=n * BANDS).reshape(n, BANDS)
+    band = bands[rows.dims]
+    key = np.repeat(np.arange(n), np.diff(rows.at)) * BANDS + band
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    x = rows.values.astype(np.float64)
+    extra = np.add.reduceat(x * (x - 2 * centroid[rows.dims]), first)
+    squares = np.add.reduceat(x**2, first)
+    # rows without an entry in a band have the distance |c| there
+    most = np.where(np.bincount(band[first], minlength=BANDS) < n, 0.0, -np.inf)
+    np.maximum.at(most, band[first], extra)
+    size = np.zeros(BANDS)
+    np.maximum.at(size, band[first], squares)
     # the difference may cancel: its error is bounded by the size of what was subtracted
-    worst = np.maximum(own + extra, 0).max(axis=0) + 1e-10 * (own + squares.max(axis=0))
-    return centroid, np.sqrt(worst)
+    return centroid, np.sqrt(np.maximum(own + most, 0) + 1e-10 * (own + size))
 
 
 def _halves(rows: Rows, width: int) -> np.ndarray:
@@ -308,9 +321,11 @@ def _shards(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[Rows]
             if at[i] == at[i + 1]:
                 continue
             part = slice(at[i], at[i + 1])
+            places = corpus.place[flat[part]]
+            order = np.argsort(places)
             ids.append(_NO_ID if doc_id is None else doc_id)
-            dims.append(flat[part])
-            values.append(corpus.impacts(n, flat[part], tfs[part]))
+            dims.append(places[order])
+            values.append(corpus.impacts(n, places[order], tfs[part][order]))
             if len(ids) == full:
                 yield made(ids, dims, values)
                 ids, dims, values = [], [], []
@@ -327,7 +342,8 @@ def _search_block(docs: DataFrame, items: list[tuple[int, Counter]], key: str, t
     for dim, n in rows.select(F.explode("dims").alias("dim")).groupBy("dim").count().toLocalIterator():
         frequencies[dim] = n
     corpus = Corpus.of(totals["n"], max(totals["l"], 1), frequencies)
-    sparse = [tuple(np.array(x, dtype=np.int64) for x in zip(*sorted((vocabulary[t], n) for t, n in c.items()))) for _, c in items]
+    place = corpus.place.tolist()
+    sparse = [tuple(np.array(x, dtype=np.int64) for x in zip(*sorted((place[vocabulary[t]], n) for t, n in c.items()))) for _, c in items]
     queries = Queries.of(sparse, corpus.bands)
     sent = docs.sparkSession.sparkContext.broadcast((corpus, queries))
     item_ids = [k for k, _ in items]
