@@ -33,15 +33,36 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def map_rows(df: DataFrame, make: Callable[[dict], dict], schema: str) -> DataFrame:
-    """``make`` gets the columns of one Arrow batch as lists and returns columns as lists or arrays."""
+#: Rows and bytes that a Python task turns into Python values at a time (one row may have more bytes).
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE_ROWS rows and, but for single rows, SLICE_BYTES bytes."""
+    if batch.num_rows <= 1 or batch.num_rows <= SLICE_ROWS and batch.nbytes <= SLICE_BYTES:
+        if batch.num_rows:
+            yield batch
+        return
+    half = batch.num_rows // 2
+    yield from sliced(batch.slice(0, half))
+    yield from sliced(batch.slice(half))
+
+
+def map_rows(df: DataFrame, make: Callable[[dict], dict], schema: str, keep: tuple[str, ...] = (), unread: tuple[str, ...] = ()) -> DataFrame:
+    """``make`` gets the columns of a slice of rows as lists and returns columns as lists or arrays.
+
+    ``keep`` names columns that come out as they went in, one row per row; those in ``unread``
+    are not turned into Python values.
+    """
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                made = make(batch.slice(start, 1000).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+            for part in sliced(batch):
+                own = {name: part.column(part.schema.get_field_index(name)) for name in keep}
+                made = make(part.select([n for n in part.schema.names if n not in unread]).to_pydict())
+                columns = [own[f.name].cast(f.type) if f.name in own else pa.array(made[f.name], type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

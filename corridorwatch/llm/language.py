@@ -10,8 +10,10 @@ rows that the gradient steps see are bounded (``max_train_docs``).
 
 Defined results: a null text or one without a letter gives ``und`` with score 0; so does
 every text if there is nothing to learn from. Rows with a null label or null id are never
-learned from but get a prediction. Repeated rows get the same prediction. Columns other
-than the named ones are not looked at, whatever their names.
+learned from but get a prediction. Repeated rows get the same prediction; of equal scores the
+first language by name wins. Texts are read whatever their length, in blocks of ``BLOCK``
+characters. An empty table gives no rows. Columns other than the named ones are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ class LanguageConfig:
     """``max_train_docs`` bounds the labelled rows of the fit; ``calibration_share`` of them set the temperature."""
 
     max_train_docs: int = 6000
+    #: More labels than this are an error: the model holds a column of weights for each.
+    max_languages: int = 1000
     calibration_share: float = 0.2
     steps: int = 800
     batch: int = 32
@@ -117,7 +121,9 @@ def fit_language(docs: DataFrame, may_learn: Column, config: LanguageConfig = La
     The draw takes the same number from every language and depends on the key only.
     """
     usable = docs.where(may_learn & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}") & F.col(label).isNotNull() & F.col(key).isNotNull())
-    labels = {r[0]: r[1] for r in usable.groupBy(F.col(label).alias("lang")).count().collect()}
+    labels = {r[0]: r[1] for r in usable.groupBy(F.col(label).alias("lang")).count().limit(config.max_languages + 1).collect()}
+    if len(labels) > config.max_languages:
+        raise ValueError(f"more than {config.max_languages} different labels in {label}")
     languages = tuple(sorted(labels))
     if not languages:
         return LanguageModel((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -209,13 +215,50 @@ def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, columns: dict[str, str], text: str = "text") -> DataFrame:
-    """The named columns (``{name: ddl type}``) plus ``lang_pred`` and ``score`` for every row."""
+def predict_language(docs: DataFrame, model: LanguageModel, columns: list[str], text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The named columns and the prediction, as columns ``lang`` and ``score``, for every row.
+
+    Inside, columns go by their place, so any names may be asked for.
+    """
+    places, found_lang, found_score = _placed(docs, columns), "__lang", "__score"
+    predicted = _predicted(docs, model, places, text)
+    given = [F.col(place).alias(name) for place, (name, _) in places.items()]
+    return predicted.select(*given, F.col(found_lang).alias(lang), F.col(found_score).alias(score))
+
+
+def recognised(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the model recognises, with the columns of ``docs``, whatever their names.
+
+    A text without a letter has no language. Others go if their score stays below
+    ``least_score``; a model without languages knows nothing against any text.
+    """
+    places = _placed(docs, docs.columns)
+    predicted = _predicted(docs, model, places, text)
+    if model.languages:
+        known = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score(len(model.languages)))
+    else:
+        known = F.col("__letter")
+    return predicted.where(known).select(*[F.col(place).alias(name) for place, (name, _) in places.items()])
+
+
+def least_score(languages: int) -> float:
+    """A fifth more than an even guess among the languages, one half at most."""
+    return min(0.5, 1.2 / languages)
+
+
+def _placed(docs: DataFrame, columns: list[str]) -> dict[str, tuple[str, str]]:
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return {f"c{i}": (name, kinds[name]) for i, name in enumerate(columns)}
+
+
+def _predicted(docs: DataFrame, model: LanguageModel, places: dict[str, tuple[str, str]], text: str) -> DataFrame:
+    """Columns by place, __letter, __lang and __score; a text among the columns travels once."""
+    at = next((place for place, (name, _) in places.items() if name == text), "__text")
     languages, weights, bias, temperature = model.languages, model.weights, model.bias, model.temperature
 
     def predict(batch: dict) -> dict:
         lang, score = [], []
-        for value, has_letter in zip(batch["__text"], batch["__letter"]):
+        for value, has_letter in zip(batch[at], batch["__letter"]):
             if not has_letter or not languages:
                 lang.append(UNKNOWN)
                 score.append(0.0)
@@ -228,12 +271,13 @@ def predict_language(docs: DataFrame, model: LanguageModel, columns: dict[str, s
             best = int(p.argmax())
             lang.append(languages[best])
             score.append(float(p[best]))
-        return {**{c: batch[c] for c in columns}, "lang_pred": lang, "score": score}
+        return {"__lang": lang, "__score": score}
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("__text"), letter.alias("__letter"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in columns.items()) + ", lang_pred string, score double"
-    return map_rows(given, predict, schema)
+    whole = [] if at in places else [F.col(text).alias(at)]
+    given = docs.select(*[F.col(f"`{name}`").alias(place) for place, (name, _) in places.items()], *whole, letter.alias("__letter"))
+    schema = ", ".join(f"{place} {kind}" for place, (_, kind) in places.items()) + ", __letter boolean, __lang string, __score double"
+    return map_rows(given, predict, schema, keep=(*places, "__letter"), unread=tuple(p for p in places if p != at))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -243,5 +287,5 @@ def held_out(key: str = "doc_id") -> Column:
 def identify(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """doc_id, held_out, lang_pred, score per row; the model learns from rows outside the held-out quarter."""
     model = fit_language(docs, ~held_out(), config)
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    return predict_language(rows, model, {"doc_id": "bigint", "held_out": "boolean"})
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out().alias("held_out"))
+    return predict_language(rows, model, ["doc_id", "held_out"])

@@ -10,7 +10,7 @@ only through its source and size, so each step is one small aggregation over the
 Rates become whole copies by rounding running sums along the sizes of a source: the taken
 words of a source miss the target by at most about half its longest document, and a few
 single copies more or less close most of that gap. Inside a
-(source, size) cell the copies go to documents in the order of a hash of their id; cells are
+(source, size) cell the copies go to documents in the order of a hash of their id and text; cells are
 cut into hash ranges first, so no task ranks a whole hot cell.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source,
@@ -27,7 +27,8 @@ from corridorwatch.llm.common import WORD, ranked, same, written
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
-STEPS = 40
+#: The bracket alone needs about 60 halvings; Newton steps end far earlier.
+STEPS = 80
 TOLERANCE = 1e-10
 
 
@@ -77,7 +78,9 @@ def document_rates(cells: DataFrame, targets: DataFrame) -> DataFrame:
     given = written(given, "mix-cells")
     state = given.select("source").distinct().select("source", F.lit(0.0).alias("dual"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done"))
     state = written(state, "mix-dual")
-    for _ in range(STEPS):
+    for step in range(STEPS + 1):
+        if step == STEPS:
+            raise RuntimeError(f"some targets are not met after {STEPS} steps")
         at = given.alias("g").join(state.alias("s"), same("g", "s", "source")).select("g.*", "dual", "low", "high", "done")
         rate = _rate(F.col("dual"))
         words = F.col("n") * F.col("size")
@@ -86,12 +89,14 @@ def document_rates(cells: DataFrame, targets: DataFrame) -> DataFrame:
             F.sum(words * rate).alias("taken"), F.sum(free).alias("slope"), F.first("target").alias("target"), F.first("full").alias("full")
         )
         gap = F.col("taken") - F.col("target")
-        done = F.col("done") | F.col("full") | (F.abs(gap) <= F.col("target") * TOLERANCE)
+        # a bracket that can't be halved any more holds the best dual there is
+        closed = F.col("high") - F.col("low") <= F.greatest(F.lit(1.0), F.abs("dual")) * 1e-14
+        done = F.col("done") | F.col("full") | (F.abs(gap) <= F.col("target") * TOLERANCE) | closed
         low, high = F.when(gap < 0, F.col("dual")).otherwise(F.col("low")), F.when(gap > 0, F.col("dual")).otherwise(F.col("high"))
         newton = F.col("dual") - gap / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > low) & (newton < high) & (F.abs(newton - F.col("dual")) < 100)
-        step = F.when(done, F.col("dual")).when(inside, newton).otherwise((low + high) / 2)
-        state = written(sums.select("source", step.alias("dual"), low.alias("low"), high.alias("high"), done.alias("done")), "mix-dual")
+        dual = F.when(done, F.col("dual")).when(inside, newton).otherwise((low + high) / 2)
+        state = written(sums.select("source", dual.alias("dual"), low.alias("low"), high.alias("high"), done.alias("done")), "mix-dual")
         if state.where(~F.col("done")).isEmpty():
             break
     solved = given.alias("g").join(state.alias("s"), same("g", "s", "source"))
@@ -123,10 +128,22 @@ def corrected(copies: DataFrame, targets: DataFrame, passes: int = 3) -> DataFra
     return copies
 
 
+def _sized(docs: DataFrame, text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of ``docs``."""
+    return _dealt(docs, key, text, source).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
+def _dealt(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """doc_id, digest, source, size, source_size, target, copies for every row of ``docs``."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "mix-rows")
+    rows = docs.select(F.col(key).alias("doc_id"), F.md5(F.col(text)).alias("digest"), F.col(source).alias("source"), size.alias("size"))
+    rows = written(rows, "mix-rows")
     cells = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     targets = written(source_targets(cells), "mix-targets")
     copies = corrected(written(cell_copies(document_rates(cells, targets)), "mix-copies"), targets)
@@ -144,24 +161,35 @@ def assign(rows: DataFrame, cells: DataFrame, copies: DataFrame, targets: DataFr
     placed = (
         rows.alias("r")
         .join(planned.alias("p"), same("r", "p", "source", "size"))
-        .select("doc_id", "r.source", "r.size", "n", "source_size", "target", "copies")
+        .select("doc_id", "digest", "r.source", "r.size", "n", "source_size", "target", "copies")
     )
-    dealt = ranked(placed, ["source", "size"], "n", ["doc_id"], ["doc_id"], "rank")
+    dealt = ranked(placed, ["source", "size"], "n", ["doc_id", "digest"], ["doc_id", "digest"], "rank")
     own = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0)
-    return dealt.withColumn("copies", own.cast("bigint")).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
-    )
+    return dealt.withColumn("copies", own.cast("bigint")).drop("rank", "n")
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, with its own columns."""
-    times = mix(docs, key).select(F.col(key).alias("__key"), F.col("copies").alias("__copies"))
-    # rows that repeat an id share their copies out evenly: the join would multiply them
-    times = times.groupBy("__key").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__rows"))
-    joined = docs.join(times, F.col(key).eqNullSafe(F.col("__key")))
-    number = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(F.col("text"))))
-    once = joined.where(F.col("__rows") == 1).withColumn("__own", F.col("__copies").cast("int"))
-    extra = F.when(number <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    several = joined.where(F.col("__rows") > 1).withColumn("__own", (F.floor(F.col("__copies") / F.col("__rows")) + extra).cast("int"))
-    repeats = once.unionByName(several).where(F.col("__own") > 0)
-    return repeats.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, with its own columns.
+
+    Copies belong to rows, found again by source, id and text (by its digest), so ids may repeat or be
+    null. Rows equal in all three are alike to the mix and share their copies out evenly.
+    """
+    names = ["k1", "k2", "k3", "k4", "k5"]
+
+    def keys(of_source: Column, of_id: Column, digest: Column) -> list[Column]:
+        plain = [F.coalesce(of_source, F.lit("")), of_source.isNull(), F.coalesce(of_id.cast("string"), F.lit("")), of_id.isNull(), F.coalesce(digest, F.lit(""))]
+        return [c.alias(n) for c, n in zip(plain, names)]
+
+    dealt = _dealt(docs, key, text, source)
+    times = dealt.groupBy(*keys(F.col("source"), F.col("doc_id"), F.col("digest"))).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    # written first: the join then meets plain exchanges, and rows that many share can be split
+    times = written(times.where(F.col("copies") > 0), "mix-times")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(whole, F.xxhash64(*hashed).alias("order"), *keys(F.col(source), F.col(key), F.md5(F.col(text)))).join(times, names)
+    number = F.row_number().over(Window.partitionBy(*names).orderBy("order"))
+    once = rows.where(F.col("alike") == 1).withColumn("own", F.col("copies"))
+    extra = F.when(number <= F.col("copies") % F.col("alike"), 1).otherwise(0)
+    several = rows.where(F.col("alike") > 1).withColumn("own", F.floor(F.col("copies") / F.col("alike")) + extra)
+    repeats = once.unionByName(several).where(F.col("own") > 0)
+    return repeats.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own").cast("int")))).select("row.*")

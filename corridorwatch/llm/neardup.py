@@ -16,6 +16,9 @@ components. Two classes that agree in enough coordinates and never meet are ther
 in one component. Candidates pass by the number of agreeing coordinates, by a bound that bit maps of the
 sets give, and then by the exact similarity of their full sets.
 
+A text is found again by its id and its 128-bit digest, and travels to a check once per hub
+slice or partner.
+
 Defined results: a null or empty text, or one without words, has no shingle, is linked with
 nothing and is its own component; fewer than five words are one shingle; repeated rows share
 a class, and one of them at most is kept; rows that repeat an id with other texts are connected through that id; a null id is
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridorwatch.llm.common import WORD, map_rows, written
+from corridorwatch.llm.common import WORD, map_rows, sliced, written
 from corridorwatch.llm.graph import components
 
 WIDTH = 5
@@ -109,7 +112,6 @@ def _sketch(batch: dict) -> dict:
     sets = [shingles(t) for t in batch["text"]]
     names = [_digest(x) if len(x) else (None, None) for x in sets]
     return {
-        "doc_id": batch["doc_id"],
         "n_shingles": [len(x) for x in sets],
         "h1": [n[0] for n in names],
         "h2": [n[1] for n in names],
@@ -209,6 +211,40 @@ def postings(classes: DataFrame) -> DataFrame:
     return listed.join(classes.select("node", "n"), "node").select(F.col("pair.key").alias("key"), "node", "n", "score")
 
 
+def _found_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, h1, h2, text): for each class one text with its set, found by id and digest."""
+    at = [F.md5("text").alias("k1"), F.coalesce("doc_id", F.lit(0)).alias("k2"), F.col("doc_id").isNull().alias("k3")]
+    # rows that repeat are merged before they travel
+    texts = docs.where(F.col("text").isNotNull()).select(*at, "text").groupBy("k1", "k2", "k3").agg(F.first("text").alias("text"))
+    wanted = nodes.join(classes, "node").select(
+        "node", "h1", "h2", F.col("at.digest").alias("k1"), F.coalesce("at.doc_id", F.lit(0)).alias("k2"), F.col("at.doc_id").isNull().alias("k3")
+    )
+    return texts.join(wanted, ["k1", "k2", "k3"]).select("node", "h1", "h2", "text")
+
+
+def _links_of_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members that are linked with their hub; rows come sorted by hub and slice, the hub itself first."""
+    at: tuple | None = None
+    hub = np.empty(0, dtype=np.uint64)
+    for batch in batches:
+        for part in sliced(batch):
+            out: dict[str, list] = {"u": [], "v": []}
+            for v, slice_, node, h1, h2, text in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("v", "slice", "node", "h1", "h2", "text"))):
+                found = shingles(text)
+                if _digest(found) != (h1, h2):
+                    raise ValueError("a text doesn't have the set of its class")
+                if at != (v, slice_):
+                    if node != v:
+                        raise ValueError("a hub's text is missing")
+                    at, hub = (v, slice_), found
+                    continue
+                both = len(np.intersect1d(hub, found, assume_unique=True))
+                if 100 * both >= PERCENT * (len(hub) + len(found) - both):
+                    out["u"].append(node)
+                    out["v"].append(v)
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in out.items()})
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Links (u, v) among candidate pairs: by agreeing coordinates, then on the full sets."""
     side = lambda c: classes.select(*[F.col(x).alias(y) for x, y in (("node", c), ("sig", f"sig_{c}"), ("bits", f"bits_{c}"), ("n", f"n_{c}"))])
@@ -216,37 +252,25 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
     likely = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
     likely = likely.where((equal >= LEAST_MATCHES) & _possible()).select("u", "v")
     likely = written(likely, f"{name}-likely", free=True)
-    needed = likely.select(F.col("u").alias("node")).union(likely.select(F.col("v").alias("node"))).distinct()
-    wanted = needed.join(classes.select("node", "label", "h1", "h2"), "node")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["label"])).select("node", "h1", "h2", "text")
-    # a repeated id may bring several texts: both sides are checked against the digest of their class
-    side = lambda c: texts.select(*[F.col(x).alias(y) for x, y in (("node", c), ("h1", f"{c}1"), ("h2", f"{c}2"), ("text", f"text_{c}"))])
-
-    def links(batch: dict) -> dict:
-        out, last = {"u": [], "v": []}, (None, None)
-        for u, u1, u2, tu, v, v1, v2, tv in zip(*(batch[c] for c in ("u", "u1", "u2", "text_u", "v", "v1", "v2", "text_v"))):
-            if last[0] != v or last[2] is not tv and last[2] != tv:
-                last = (v, shingles(tv), tv)
-            a, b = shingles(tu), last[1]
-            if _digest(a) != (u1, u2) or _digest(b) != (v1, v2):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                out["u"].append(u)
-                out["v"].append(v)
-        return out
-
-    checked = map_rows(likely.join(side("u"), "u").join(side("v"), "v"), links, "u bigint, v bigint")
-    return written(checked, f"{name}-links", free=True)
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(map_rows(docs, _sketch, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>, bits array<bigint>"), "near-rows", free=True)
+    sizes = written(likely.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("slices")), f"{name}-slices")
+    dealt = likely.join(sizes, "v").select("v", F.pmod(F.xxhash64("u"), F.col("slices")).alias("slice"), F.col("u").alias("node"))
+    hubs = sizes.select("v", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("v").alias("node"))
+    nodes = likely.select(F.col("u").alias("node")).union(sizes.select("v")).distinct()
+    texts = _found_texts(docs, classes, nodes)
+    sent = dealt.unionByName(hubs).join(texts, "node").withColumn("member", F.col("node") != F.col("v"))
+    in_order = sent.repartition("v", "slice").sortWithinPartitions("v", "slice", "member").select("v", "slice", "node", "h1", "h2", "text")
+    return written(in_order.mapInArrow(_links_of_hubs, "u bigint, v bigint"), f"{name}-links", free=True)
+
+
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, digest, n_shingles, h1, h2) of ``docs`` (doc_id, text), their classes, and components of classes."""
+    given = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
+    schema = "doc_id bigint, digest binary, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>, bits array<bigint>"
+    rows = written(map_rows(given, _sketch, schema, keep=("doc_id", "digest"), unread=("doc_id", "digest")), "near-rows", free=True)
     grouped = rows.where(F.col("n_shingles") > 0).groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")
-    )
+        F.min("doc_id").alias("label"), F.min(F.struct(F.lower(F.hex("digest")).alias("digest"), "doc_id")).alias("at"),
+        F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"),
+    )
     # the numbers are read back from the written table, so they stay the same
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes", free=True)
     posts = written(postings(classes), "near-posts", free=True)
@@ -261,7 +285,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     more = confirm(lists_of_components(labelled, classes), classes, docs, "near-strays")
 
     links = links.unionByName(more)
-    final = written(components(links, "near-components"), "near-components")
+    return rows, classes, written(components(links, "near-components"), "near-components")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows, classes, final = _classified(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     by_class = classes.select("node", "label", "h1", "h2").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return _named(rows, by_class)
 
@@ -293,14 +322,22 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     dropped each for itself. Of a group the row with the smallest id stays, one without an id
     only if no row has one; among rows equal in id and text the choice depends on their columns.
     """
-    row = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
     worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    ids = docs.where(worded).select(row.alias("__row"), F.col(key).cast("bigint").alias("__id"), F.col(text).alias("__text"))
-    found = near_duplicates(ids, "__row", "__text").select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    best = ids.select("__row", "__id").distinct().join(found, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("best"))
-    stay = written(best.select(F.col("best.__row").alias("__row")), "near-stay", free=True)
+    rows, classes, final = _classified(docs.where(worded).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    of_class = classes.select("node", "h1", "h2").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.lower(F.hex("digest")).alias("digest")))
+    # one row per class first, so that a group of copies never meets in one task
+    by_class = written(rows.groupBy("h1", "h2").agg(first.alias("first")), "near-firsts")
+    best = by_class.join(of_class, ["h1", "h2"]).groupBy("component").agg(F.min("first").alias("best"))
+    stay = best.select(F.col("best.none").alias("__none"), F.coalesce("best.id", F.lit(0)).alias("__id"), F.col("best.digest").alias("__digest"))
+    stay = written(stay, "near-stay", free=True)
     # rows equal in id and text meet after each task has left one of them
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = docs.where(worded).select(row.alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), F.xxhash64(*hashed).alias("__order"))
-    single = rows.groupBy("__row").agg(F.min_by("__all", "__order").alias("__all")).join(stay, "__row", "left_semi")
+    ident = F.col(key).cast("bigint")
+    given = docs.where(worded).select(
+        ident.isNull().alias("__none"), F.coalesce(ident, F.lit(0)).alias("__id"), F.md5(F.col(text)).alias("__digest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), F.xxhash64(*hashed).alias("__order"),
+    )
+    names = ["__none", "__id", "__digest"]
+    single = given.groupBy(*names).agg(F.min_by("__all", "__order").alias("__all")).join(stay, names, "left_semi")
     return docs.where(~worded).unionByName(single.select("__all.*"))
