@@ -9,22 +9,17 @@ operators say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corridorwatch.llm import language, mixing, neardup, packing, secrets
 from corridorwatch.session import new_path
 
-#: Below this calibrated probability a document's language counts as unknown.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the model learns from the labelled rows of ``docs``."""
-    model = language.fit_language(docs, ~language.held_out())
-    columns = {f.name: f.dataType.simpleString() for f in docs.schema}
-    found = language.predict_language(docs, model, columns)
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents without a recognisable language go; the model learns from the labelled rows of ``docs``.
+
+    Where no row is labelled there is no language to tell apart, and only texts without a letter go.
+    """
+    return language.recognised(docs, language.fit_language(docs, ~language.held_out()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
