@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,16 +118,56 @@ def _run(spark, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Parts in which the panel arrives at the stateful streams, and how late a row may be.
+PARTS, LATE_MINUTES = 3, 10
+
+
+def _arriving(spark, sf, run) -> None:
+    """Calls ``run(panel stream)`` after each part of the panel has arrived; state is carried from run to run.
+
+    Rows arrive up to LATE_MINUTES after their bin, the last bins of a part thus after the first
+    ones of the next. At the end a row of the next day, without a segment, lets the watermark pass all bins.
+    """
+    df = staging.context(spark, sf)
+    minutes = F.pmod(F.xxhash64("segment_id", "bin5"), F.lit(LATE_MINUTES + 1)).cast("int")
+    arrival = F.col("bin5") + F.make_dt_interval(mins=minutes)
+    first, last = df.agg(F.min("bin5"), F.max("bin5")).first()
+    path = new_path(spark, "arrivals")
+    if first is None:
+        return
+    width = (last - first) / PARTS
+    late = dt.timedelta(minutes=LATE_MINUTES + 1)
+    borders = [first + k * width for k in range(PARTS)] + [last + late]
+    for low, high in zip(borders, borders[1:]):
+        df.where((arrival >= F.lit(low)) & (arrival < F.lit(high))).write.mode("append").parquet(path)
+        run(jobs.panel_stream(spark, path, df.schema))
+    empty = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    empty.withColumns({"segment_id": F.lit(""), "bin5": F.lit(last + dt.timedelta(days=1))}).write.mode("append").parquet(path)
+    run(jobs.panel_stream(spark, path, df.schema))
+
+
+@contextmanager
+def _rocksdb(spark):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
 @query(
     "stream_sites",
-    f"""SELECT decision_window, road_code, direction_code, spatial_zone, segment_count, stage1_score, student_score, actual_positive, event_ids
+    f"""SELECT decision_window, road_code, direction_code, spatial_zone, segment_count, representative_segment, stake_m, stage1_score,
+               student_score, actual_positive, event_ids, maximum_lead_time_min
         FROM site_base WHERE decision_window + INTERVAL 10 MINUTE <= {_CLOSED}""",
-    doubles="stage1_score student_score",
+    doubles="stake_m stage1_score student_score maximum_lead_time_min",
     integers="direction_code spatial_zone segment_count actual_positive",
 )
 def stream_sites(spark, sf):
     df = _run(spark, jobs.stream_sites(_context_stream(spark, sf)), "stream-sites")
-    return df.withColumn("event_ids", F.array_join("event_ids", "|")).drop("stake_m", "maximum_lead_time_min")
+    return df.withColumn("event_ids", F.array_join("event_ids", "|"))
 
 
 @query("stream_dedup", "SELECT DISTINCT segment_id, bin5 FROM clean")
@@ -144,13 +187,11 @@ def stream_best_row(spark, sf):
     doubles="risk lag5 lag30 past_mean change30",
 )
 def stream_memory(spark, sf):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        df = _run(spark, jobs.stream_memory(_context_stream(spark, sf)), "stream-memory")
-    finally:
-        spark.conf.set(provider, before)
+    """The panel arrives in parts, rows of one segment in any order within the delay."""
+    path, checkpoint = new_path(spark, "stream-memory"), new_path(spark, "stream-memory-checkpoint")
+    with _rocksdb(spark):
+        _arriving(spark, sf, lambda stream: jobs.start(jobs.stream_memory(stream), path, checkpoint).awaitTermination())
+    df = spark.read.schema(jobs.MEMORY_SCHEMA).parquet(path)
     names = {V.RISK: "risk", "risk_lag_5m": "lag5", "risk_lag_30m": "lag30", "risk_mean_past_30m": "past_mean", "risk_change_30m": "change30"}
     return df.select("segment_id", "bin5", *[F.when(~F.isnan(c), F.col(c)).alias(a) for c, a in names.items()])
 
@@ -161,11 +202,12 @@ def stream_memory(spark, sf):
     doubles="score",
 )
 def stream_watchlist(spark, sf):
+    """Snapshots split over several runs of the stream give one ranking each."""
     from corridorwatch.operators.watchlist import watchlist_projection
 
-    path = new_path(spark, "stream-watchlist")
-    rows = watchlist_projection(_context_stream(spark, sf))
-    jobs.stream_watchlist(rows, path, new_path(spark, "stream-watchlist-checkpoint")).awaitTermination()
+    path, checkpoint = new_path(spark, "stream-watchlist"), new_path(spark, "stream-watchlist-checkpoint")
+    with _rocksdb(spark):
+        _arriving(spark, sf, lambda stream: jobs.stream_watchlist(watchlist_projection(stream), path, checkpoint).awaitTermination())
     df = spark.read.parquet(f"{path}/watchlist")
     return df.select("time", "segment_id", "score", F.col("rank").cast("bigint").alias("rank"))
 

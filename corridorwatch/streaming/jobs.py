@@ -18,7 +18,7 @@ from corridorwatch import vocabulary as V
 from corridorwatch.config import DispatchConfig
 from corridorwatch.operators.dispatch import dispatch_snapshot
 from corridorwatch.operators.sites import real_event_id
-from corridorwatch.operators.watchlist import watchlist_topk
+from corridorwatch.operators.watchlist import TOP, watchlist_topk
 from corridorwatch.sources.audit import audit_records
 
 DEFAULT = DispatchConfig()
@@ -63,6 +63,7 @@ def stream_sites(scored: DataFrame, config: DispatchConfig = DEFAULT, delay: str
         )
         .agg(
             F.size(F.collect_set("segment_id")).alias("segment_count"),
+            F.min_by("segment_id", F.struct("bin5", "stake", "segment_id")).alias("representative_segment"),
             F.avg("stake").alias("stake_m"),
             F.max("score_stage1_risk").alias("stage1_score"),
             F.max("score_distilled_student").alias("student_score"),
@@ -97,44 +98,80 @@ MEMORY_SCHEMA = (
 )
 
 
+def _millis(moments: pd.Series) -> pd.Series:
+    """Milliseconds since 1970 in UTC of zoned or local timestamps."""
+    plain = moments.dt.tz_convert("UTC").dt.tz_localize(None) if moments.dt.tz is not None else moments
+    return plain.astype("datetime64[ms]").astype("int64")
+
+
 class SegmentMemory(StatefulProcessor):
-    """Last rows of one segment and day: lags, mean and change over positions.
+    """Lags, mean and change over the positions of one segment and day, in bin order whatever the order of arrival.
 
-    State holds six values; the timer drops it once the day is over.
+    Rows wait in state, sorted by bin, until the watermark has passed their bin: no row that
+    belongs before them can come any more. A timer at the earliest waiting bin releases them.
+    Of rows of one bin the highest risk counts, as in the batch. State holds the waiting
+    rows, which the delay bounds, and the last six values; it goes when the day is over.
     """
 
+    SIZE = 6
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.recent = handle.getListState("recent", "risk double")
+        self.waiting = handle.getListState("waiting", "bin bigint, risk double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("bin5", ignore_index=True)
-        if batch.empty:
-            return
-        values = pd.Series(seen + batch[V.RISK].tolist(), dtype="float64")
+        held = dict(self.waiting.get()) if self.waiting.exists() else {}
+        for batch in rows:
+            for at, risk in zip(_millis(batch["bin5"]).tolist(), batch[V.RISK].tolist()):
+                # a missing risk comes as NaN and gives way to any number
+                if not held.get(at, float("-inf")) >= risk:
+                    held[at] = float(risk)
+        if held:
+            self.waiting.put(sorted(held.items()))
+            self._wake(min(held))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [row for row in held if row[0] <= watermark]
+        left = held[len(ready) :]
+        if ready:
+            seen = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+            values = pd.Series(seen + [risk for _, risk in ready], dtype="float64")
+            self.recent.put([(float(v),) for v in values.tolist()[-self.SIZE :]])
+            yield self._memory(key, [at for at, _ in ready], values, len(seen))
+        end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
+        if left:
+            self.waiting.put(left)
+            self._wake(left[0][0])
+        elif watermark < end:
+            self.waiting.clear()
+            self._wake(end)
+        else:
+            self.waiting.clear()
+            self.recent.clear()
+
+    def _wake(self, at: int) -> None:
+        if at not in self.handle.listTimers():
+            self.handle.registerTimer(at)
+
+    def _memory(self, key, bins: list[int], values: pd.Series, before: int) -> pd.DataFrame:
         out = pd.DataFrame(
             {
                 V.RISK: values,
                 "risk_lag_5m": values.shift(1),
-                "risk_lag_30m": values.shift(6),
-                "risk_mean_past_30m": values.rolling(6, min_periods=2).mean(),
+                "risk_lag_30m": values.shift(self.SIZE),
+                "risk_mean_past_30m": values.rolling(self.SIZE, min_periods=2).mean(),
             }
         )
         out["risk_change_30m"] = out[V.RISK] - out["risk_lag_30m"]
-        out = out.iloc[len(seen) :].reset_index(drop=True)
+        out = out.iloc[before:].reset_index(drop=True)
         out.insert(0, "segment_id", key[0])
         out.insert(1, "day", key[1])
-        out.insert(2, "bin5", batch["bin5"].dt.tz_localize(None) if batch["bin5"].dt.tz is not None else batch["bin5"])
-        self.recent.put([(float(v),) for v in values.tolist()[-6:]])
-        end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-        if timerValues.getCurrentWatermarkInMs() < end and end not in self.handle.listTimers():
-            self.handle.registerTimer(end)
-        yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.recent.clear()
-        yield from ()
+        out.insert(2, "bin5", pd.to_datetime(pd.Series(bins, dtype="int64"), unit="ms"))
+        return out
 
     def close(self) -> None:
         pass
@@ -143,8 +180,8 @@ class SegmentMemory(StatefulProcessor):
 def stream_memory(panel: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """30-minute memory per segment and day, carried across micro-batches.
 
-    Rows of a segment must arrive in bin order across batches. Needs the RocksDB
-    state store provider.
+    Rows may arrive in any order within ``delay``; each comes out once the watermark has
+    passed its bin. Needs the RocksDB state store provider.
     """
     df = _timed(panel.select("segment_id", "bin5", V.RISK), delay)
     keyed = df.select("segment_id", F.date_format("bin5", "yyyy-MM-dd").alias("day"), "bin5", V.RISK, "event_time")
@@ -156,8 +193,62 @@ def stream_memory(panel: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def stream_watchlist(watchlist: DataFrame, path: str, checkpoint: str, n: int = 60) -> StreamingQuery:
-    """Per trigger: top n of every snapshot time and the capacity-limited actions.
+class SnapshotTop(StatefulProcessor):
+    """The best rows of one slice of a snapshot, at most ``n`` in state, given out when the watermark closes the snapshot."""
+
+    SCHEMA = "score double, segment_id string, payload string"
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getListState("best", self.SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = list(self.best.get()) if self.best.exists() else []
+        closing = None
+        for batch in rows:
+            closing = int(_millis(batch["event_time"]).iloc[0])
+            found += batch[["score", "segment_id", "payload"]].itertuples(index=False, name=None)
+            found = sorted(found, key=lambda r: (-r[0], r[1]))[: self.n]
+        if found:
+            self.best.put([tuple(r) for r in found])
+        if closing is not None and closing not in self.handle.listTimers():
+            self.handle.registerTimer(closing)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = list(self.best.get()) if self.best.exists() else []
+        self.best.clear()
+        yield pd.DataFrame([r[2] for r in found], columns=["payload"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def closed_snapshots(watchlist: DataFrame, n: int = TOP, delay: str = "10 minutes", slices: int = 8) -> DataFrame:
+    """The rows that can be among the top ``n`` of a snapshot, once the watermark has closed it.
+
+    A snapshot may arrive over any number of micro-batches within ``delay``. It is kept in
+    ``slices`` by a hash of the segment, so one large snapshot is spread over tasks; all
+    slices of a snapshot close in the same micro-batch. Needs the RocksDB state store provider.
+    """
+    timed = watchlist.withColumn("event_time", F.to_timestamp("time")).withWatermark("event_time", delay)
+    keyed = timed.select(
+        "time", F.pmod(F.xxhash64("segment_id"), F.lit(slices)).alias("slice"), "event_time", "score",
+        F.coalesce("segment_id", F.lit("")).alias("segment_id"), F.to_json(F.struct(*watchlist.columns)).alias("payload"),
+    )
+    best = keyed.groupBy("time", "slice").transformWithStateInPandas(
+        statefulProcessor=SnapshotTop(n), outputStructType="payload string", outputMode="Append", timeMode="EventTime"
+    )
+    return best.select(F.from_json("payload", watchlist.schema).alias("row")).select("row.*")
+
+
+def stream_watchlist(
+    watchlist: DataFrame, path: str, checkpoint: str, n: int = TOP, delay: str = "10 minutes", config: DispatchConfig = DEFAULT
+) -> StreamingQuery:
+    """One ranking and one set of capacity-limited actions per snapshot, when the watermark closes it.
 
     Batches are written under their id, so a repeated batch replaces its output.
     """
@@ -165,11 +256,12 @@ def stream_watchlist(watchlist: DataFrame, path: str, checkpoint: str, n: int =
     def write(batch: DataFrame, batch_id: int) -> None:
         top = watchlist_topk(batch, n)
         top.write.mode("overwrite").parquet(f"{path}/watchlist/batch={batch_id}")
-        actions = dispatch_snapshot(top.drop("rank"), ["time"])
+        actions = dispatch_snapshot(top.drop("rank"), ["time"], config)
         actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
 
     return (
-        watchlist.writeStream.foreachBatch(write)
+        closed_snapshots(watchlist, n, delay)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
