@@ -10,13 +10,14 @@ def top_n_per_group(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    n: int,
+    n: int | Column,
     spread: list[str],
     slices: int = 32,
     rank: str = "rank",
 ) -> DataFrame:
     """First ``n`` rows per group in ``order`` (a total order), with their rank.
 
+    ``n`` may be a column that is constant inside a group.
     A group may hold a large part of the table, so it is first cut into slices by
     a hash of ``spread``; the best n of every slice contain the best n of the
     group, and at most ``slices * n`` rows per group reach the second window.

@@ -308,65 +308,93 @@ def fill_zero(full: DataFrame, picks: DataFrame) -> DataFrame:
 # --- snapshot allocation --------------------------------------------------------------
 
 
-def separated_picks(
-    rows: DataFrame, keys: list[str], capacity: int, separation_m: float, score: str = "score"
-) -> DataFrame:
-    """Per snapshot the best rows that keep their distance inside each corridor.
-
-    Picks one row per corridor and round: an aggregate with map-side reduction,
-    so a long corridor is never gathered in one place. Rows are
-    (keys, road_code, direction_code, stake_m, segment_id, score).
+def separated_picks(rows: DataFrame, keys: list[str], capacity: Column, separation_m: Column, score: str = "score") -> DataFrame:
+    """Per snapshot the best rows that keep their distance inside each corridor, in the order of the score.
+
+    ``capacity`` and ``separation_m`` are constant inside a snapshot. A corridor is cut into
+    cells as wide as its separation. A pick blocks rows of at most three cells, so with ``capacity``
+    picks to make, the best row of one of the best 3 (capacity - 1) + 1 cells is always free:
+    rows of other cells cannot be picked. Rows at one position block each other, so the
+    best of them stands for all. What remains per corridor, the positions of a few cells,
+    is walked through inside one row. Rows are (keys, road_code, direction_code, stake_m, segment_id, score).
     """
-    corridor = keys + ["road_code", "direction_code"]
-    item = F.struct(
-        (-F.col(score)).alias("k"), F.col("segment_id"), F.col("stake_m"), F.col(score).alias(score)
+    corridor = [*keys, "road_code", "direction_code"]
+    # without a separation nothing is blocked: each row is a position and a cell of its own
+    own = F.when(F.col("__s") <= 0, F.col("segment_id"))
+    item = F.struct((-F.col(score)).alias("k"), F.col("segment_id"), F.col("stake_m"), F.col(score).alias(score))
+    limited = rows.withColumns({"__n": capacity.cast("int"), "__s": separation_m.cast("double")}).where(F.col("__n") > 0)
+    placed = limited.withColumns(
+        {
+            "__spot": F.struct(F.when(F.col("__s") > 0, F.col("stake_m")).alias("at"), own.alias("own")),
+            "__cell": F.struct(F.when(F.col("__s") > 0, F.floor(F.col("stake_m") / F.col("__s"))).alias("at"), own.alias("own")),
+        }
     )
-    # Equal positions block each other, so only the best of them can be picked.
-    pool = rows.groupBy(*corridor, "stake_m").agg(F.min(item).alias("item"))
-    chosen = None
-    for _ in range(capacity):
-        if chosen is None:
-            chosen = pool.groupBy(*corridor).agg(F.array(F.min("item")).alias("picks"))
-            continue
-        free = F.forall("picks", lambda q: F.abs(q["stake_m"] - F.col("stake_m")) >= separation_m)
-        nxt = F.min(F.when(free, F.col("item")))
-        chosen = (
-            pool.join(chosen, corridor)
-            .groupBy(*corridor)
-            .agg(F.min("picks").alias("picks"), nxt.alias("n"))
-            .select(*corridor, F.concat("picks", F.array_compact(F.array("n"))).alias("picks"))
-        )
-    if chosen is None:
-        return rows.limit(0).select(*corridor, "segment_id", "stake_m", score)
-    flat = chosen.select(*corridor, F.explode("picks").alias("p")).select(*corridor, "p.segment_id", "p.stake_m", f"p.{score}")
+    spots = placed.groupBy(*corridor, "__n", "__s", "__cell", "__spot").agg(F.min(item).alias("item"))
+    cells = spots.groupBy(*corridor, "__n", "__s", "__cell").agg(F.min("item").alias("best"), F.collect_list("item").alias("items"))
+    enough = 3 * (F.col("__n") - 1) + 1
+    near = top_n_per_group(cells, corridor, [F.col("best")], enough, ["__cell"])
+    pools = near.groupBy(*corridor, "__n", "__s").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("pool"))
+    none = F.filter("pool", lambda x: F.lit(False))
+
+    def step(picked, x):
+        free = F.forall(picked, lambda q: F.abs(q["stake_m"] - x["stake_m"]) >= F.col("__s"))
+        return F.when((F.size(picked) < F.col("__n")) & free, F.concat(picked, F.array(x))).otherwise(picked)
+
+    picked = pools.withColumn("p", F.explode(F.aggregate("pool", none, step)))
+    flat = picked.select(*corridor, "__n", "p.segment_id", "p.stake_m", f"p.{score}")
     order = [F.col(score).desc(), F.col("segment_id")]
-    return top_n_per_group(flat, keys, order, capacity, ["segment_id"]).drop("rank")
+    return top_n_per_group(flat, keys, order, F.col("__n"), ["segment_id"]).drop("rank", "__n")
 
 
-def dispatch_snapshot(
-    rows: DataFrame,
-    keys: list[str],
-    config: DispatchConfig = DEFAULT,
-) -> DataFrame:
+SETTINGS = ["warning_capacity", "patrol_capacity", "emergency_capacity", "minimum_patrol_separation_m"]
+
+
+def dispatch_snapshot(rows: DataFrame, keys: list[str], config: DispatchConfig = DEFAULT) -> DataFrame:
     """Action rows of a capacity-limited allocation per snapshot of the watchlist.
 
     Warnings are the highest scores, patrols additionally reach the alert
     threshold and keep the separation, emergencies reach the high threshold.
     """
+    settings = dict(zip(SETTINGS, (config.warning_capacity, config.patrol_capacity, config.emergency_capacity, config.patrol_separation_m)))
+    return _allocate(rows, keys, {name: F.lit(value) for name, value in settings.items()}, config)
+
+
+def dispatch_requests(
+    rows: DataFrame, requests: DataFrame, keys: list[str], request: str = "request_id", config: DispatchConfig = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """Allocations asked for by a table of requests, and the requests with invalid settings.
+
+    A request names a snapshot (by ``keys``), the scenario, three capacities and the patrol separation;
+    what it leaves open takes its default. Any number of requests may name one snapshot.
+    Rejected requests come back with the names of the settings that are no integer in
+    their allowed range.
+    """
+    checked = capacity_violations(requests)
+    rejected = checked.where(F.size("violations") > 0)
+    defaults = (config.warning_capacity, config.patrol_capacity, config.emergency_capacity, int(config.patrol_separation_m))
+    number = {name: F.coalesce(F.col(name).cast("string").try_cast("int"), F.lit(d)) for name, d in zip(SETTINGS, defaults)}
+    scenario = F.coalesce(F.col("scenario"), F.lit(V.DEFAULT_SCENARIO)).alias("scenario")
+    valid = checked.where(F.size("violations") == 0).select(request, *keys, scenario, *[c.alias(f"__{n}") for n, c in number.items()])
+    asked = rows.join(valid, keys)
+    settings = {name: F.col(f"__{name}") for name in SETTINGS}
+    return _allocate(asked, [request, *keys, "scenario"], settings, config), rejected
+
+
+def _allocate(rows: DataFrame, keys: list[str], settings: dict[str, Column], config: DispatchConfig) -> DataFrame:
     order = [F.col("score").desc(), F.col("segment_id")]
     columns = [*keys, "road_code", "direction_code", "segment_id", "stake_m", "score"]
-    rows = rows.select(*columns)
-    best = top_n_per_group(rows, keys, order, config.warning_capacity, ["segment_id"]).drop("rank")
-    patrols = separated_picks(
-        rows.where(F.col("score") >= config.ranking_threshold),
-        keys,
-        config.patrol_capacity,
-        config.patrol_separation_m,
-    )
-    urgent = top_n_per_group(
-        rows.where(F.col("score") >= config.emergency_threshold), keys, order, config.emergency_capacity, ["segment_id"]
-    ).drop("rank")
-    parts = {"warning": best, "patrol": patrols, "emergency": urgent}
+    rows = rows.select(*columns, *[c.alias(f"__{name}") for name, c in settings.items()])
+    limit = {name: F.col(f"__{name}") for name in settings}
+
+    def best(part: DataFrame, n: Column) -> DataFrame:
+        return top_n_per_group(part, keys, order, n, ["segment_id"]).drop("rank")
+
+    reached = {name: rows.where(F.col("score") >= least) for name, least in (("patrol", config.ranking_threshold), ("emergency", config.emergency_threshold))}
+    parts = {
+        "warning": best(rows, limit["warning_capacity"]),
+        "patrol": separated_picks(reached["patrol"], keys, limit["patrol_capacity"], limit["minimum_patrol_separation_m"]),
+        "emergency": best(reached["emergency"], limit["emergency_capacity"]),
+    }
     actions = reduce(
         DataFrame.unionByName,
         [part.select(*columns).withColumn("kind", F.lit(kind)) for kind, part in parts.items()],

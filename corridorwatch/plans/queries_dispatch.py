@@ -271,6 +271,66 @@ def capacity_check(spark, sf):
     return checked.select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
+# Two requests for every snapshot: one leaves all settings open, one names them, at times badly.
+_PICKS.update(
+    {
+        "requests": """SELECT time, time || '#' || r AS request_id, r, k, CASE WHEN r = 1 AND k % 7 = 3 THEN 'two' WHEN r = 1 THEN CAST(k % 4 AS VARCHAR) END AS patrol_text,
+                              CASE WHEN r = 0 THEN 8 ELSE k % 21 END AS warning_n, CASE WHEN r = 0 THEN 3 ELSE k % 4 END AS patrol_n,
+                              CASE WHEN r = 0 THEN 1 ELSE k % 3 END AS emergency_n, CASE WHEN r = 0 THEN 1000 ELSE (k % 5) * 500 END AS apart
+                       FROM (SELECT DISTINCT time, CAST(floor(epoch(strptime(time, '%Y-%m-%d %H:%M:%S')) / 300) AS BIGINT) AS k FROM watchlist), (SELECT unnest([0, 1]) AS r)""",
+        "asked": "SELECT w.*, q.* EXCLUDE (time) FROM watchlist w JOIN requests q USING (time) WHERE patrol_text IS NULL OR patrol_text <> 'two'",
+        "asked1": """SELECT * FROM asked WHERE score >= 0.6 AND patrol_n >= 1
+                     QUALIFY row_number() OVER (PARTITION BY request_id, road_code, direction_code ORDER BY score DESC, segment_id) = 1""",
+        "asked2": """SELECT w.* FROM asked w JOIN asked1 a USING (request_id, road_code, direction_code)
+                     WHERE w.score >= 0.6 AND w.patrol_n >= 2 AND abs(w.stake_m - a.stake_m) >= w.apart AND w.segment_id <> a.segment_id
+                     QUALIFY row_number() OVER (PARTITION BY w.request_id, w.road_code, w.direction_code ORDER BY w.score DESC, w.segment_id) = 1""",
+        "asked3": """SELECT w.* FROM asked w JOIN asked1 a USING (request_id, road_code, direction_code) JOIN asked2 b USING (request_id, road_code, direction_code)
+                     WHERE w.score >= 0.6 AND w.patrol_n >= 3 AND abs(w.stake_m - a.stake_m) >= w.apart AND w.segment_id <> a.segment_id
+                       AND abs(w.stake_m - b.stake_m) >= w.apart AND w.segment_id <> b.segment_id
+                     QUALIFY row_number() OVER (PARTITION BY w.request_id, w.road_code, w.direction_code ORDER BY w.score DESC, w.segment_id) = 1""",
+    }
+)
+
+
+def _requests(spark, sf):
+    times = _watch_rows(spark, sf).select("time").distinct()
+    k = F.floor(F.unix_timestamp(F.to_timestamp("time")) / 300)
+    named = F.col("r") == 1
+    return times.select("time", F.explode(F.array(F.lit(0), F.lit(1))).alias("r"), k.alias("k")).select(
+        F.concat_ws("#", "time", "r").alias("request_id"),
+        "time",
+        F.lit(None).cast("string").alias("scenario"),
+        F.when(named, F.col("k") % 21).alias("warning_capacity"),
+        F.when(named & (F.col("k") % 7 == 3), "two").when(named, (F.col("k") % 4).cast("string")).alias("patrol_capacity"),
+        F.when(named, F.col("k") % 3).alias("emergency_capacity"),
+        F.when(named, F.col("k") % 5 * 500).alias("minimum_patrol_separation_m"),
+    )
+
+
+@query(
+    "dispatch_requests",
+    _with_picks("""SELECT request_id, time, 'loss_cost_ratio_5000' AS scenario, kind, segment_id, score, stake_km FROM (
+         SELECT *, 'warning' AS kind, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, segment_id) AS place, warning_n AS n FROM asked
+         UNION ALL
+         SELECT *, 'emergency' AS kind, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, segment_id) AS place, emergency_n AS n FROM asked WHERE score >= 0.8
+         UNION ALL
+         SELECT *, 'patrol' AS kind, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, segment_id) AS place, patrol_n AS n
+         FROM (SELECT * FROM asked1 UNION ALL SELECT * FROM asked2 UNION ALL SELECT * FROM asked3))
+       WHERE place <= n"""),
+    doubles="score stake_km",
+)
+def dispatch_requests(spark, sf):
+    """Allocations with capacities and separation from a table, two per snapshot."""
+    actions, _ = dispatch.dispatch_requests(_watch_rows(spark, sf), _requests(spark, sf), ["time"])
+    return actions.select("request_id", "time", "scenario", "kind", "segment_id", "score", "stake_km")
+
+
+@query("dispatch_requests_rejected", "SELECT request_id, 'patrol_capacity' AS violations FROM requests WHERE patrol_text = 'two'")
+def dispatch_requests_rejected(spark, sf):
+    _, rejected = dispatch.dispatch_requests(_watch_rows(spark, sf), _requests(spark, sf), ["time"])
+    return rejected.select("request_id", F.array_join("violations", ",").alias("violations"))
+
+
 # --- decisions and evaluation --------------------------------------------------------------------
 
 

@@ -240,6 +240,7 @@ DISPATCH_LABELS = {
     "emergency": "预备应急资源",
 }
 ACTION_PENDING = "待确认"
+DEFAULT_SCENARIO = "loss_cost_ratio_5000"
 
 # --- fixed values: registry headers (source header -> column) ----------------------
 REGISTRY_HEADERS = {

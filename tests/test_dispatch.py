@@ -157,6 +157,40 @@ def test_snapshot_equals_the_sequential_form(spark, capacity):
         assert {(a.kind, a.segment_id) for a in actions if a.time == t} == want
 
 
+def test_requests_equal_the_sequential_form(spark):
+    """Several requests for one snapshot, each with its own capacities and separation, some of them invalid."""
+    rng = random.Random(23)
+    rows = [(f"t{t}", rng.choice(["G1", "S5"]), rng.randrange(2), f"s{i:03d}", 50.0 * rng.randrange(0, 200), round(rng.random(), 2)) for t in range(4) for i in range(150)]
+    asked = [(f"q{i}", f"t{i % 5}", None, *(rng.choice([None, "0", "2", "7", "20"]) for _ in range(3)), rng.choice([None, "0", "130", "700", "10000"])) for i in range(30)]
+    bad = [("b0", "t0", None, "21", None, None, None), ("b1", "t1", None, None, "x", "-1", None), ("b2", "t2", None, None, None, None, "10001")]
+    table = spark.createDataFrame(rows, "time string, road_code string, direction_code int, segment_id string, stake_m double, score double")
+    schema = "request_id string, time string, scenario string, " + ", ".join(f"{n} string" for n in dispatch.SETTINGS)
+    actions, rejected = dispatch.dispatch_requests(table, spark.createDataFrame(asked + bad, schema), ["time"])
+    assert {r.request_id: list(r.violations) for r in rejected.collect()} == {
+        "b0": ["warning_capacity"], "b1": ["patrol_capacity", "emergency_capacity"], "b2": ["minimum_patrol_separation_m"],
+    }
+    want = set()
+    for name, time, _, *given in asked:
+        warning, patrol, emergency, apart = (int(d if g is None else g) for g, d in zip(given, (8, 3, 1, 1000)))
+        ranked = sorted((r for r in rows if r[0] == time), key=lambda r: (-r[5], r[3]))
+        patrols = []
+        for r in ranked:
+            clear = all(q[1:3] != r[1:3] or abs(q[4] - r[4]) >= apart for q in patrols)
+            if len(patrols) < patrol and r[5] >= 0.6 and clear:
+                patrols.append(r)
+        want |= {(name, "warning", r[3]) for r in ranked[:warning]} | {(name, "patrol", r[3]) for r in patrols}
+        want |= {(name, "emergency", r[3]) for r in [r for r in ranked if r[5] >= 0.8][:emergency]}
+    assert {(a.request_id, a.kind, a.segment_id) for a in actions.collect()} == want
+    assert {a.scenario for a in actions.collect()} == {"loss_cost_ratio_5000"}
+
+
+def test_separated_picks_need_no_join(spark):
+    table = spark.createDataFrame([("t", "G1", 1, "s", 0.0, 0.9)], "time string, road_code string, direction_code int, segment_id string, stake_m double, score double")
+    picks = dispatch.separated_picks(table, ["time"], F.lit(9), F.lit(1000.0))
+    plan = picks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_site_ids_follow_key_order_over_ranges(spark):
     rng = random.Random(19)
     keys = {(dt.datetime(2025, 9, 1, rng.randrange(3)), rng.choice("AB"), rng.randrange(2), 500 * rng.randrange(0, 900)) for _ in range(300)}
