@@ -143,18 +143,37 @@ def fit_language(docs: DataFrame, may_learn: Column, config: LanguageConfig = La
         F.pmod("draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     )
     features = map_rows(sampled, _sample_features, "lang string, draw bigint, buckets binary, shares binary")
-    rows = features.orderBy("draw", "lang").limit(config.max_train_docs).toArrow().to_pydict()
+    rows = features.orderBy("draw", "lang").limit(config.max_train_docs).toArrow()
     return _train(rows, languages, idf, config)
 
 
-def _train(rows: dict, languages: tuple[str, ...], idf: np.ndarray, config: LanguageConfig) -> LanguageModel:
-    index = [np.frombuffer(b, "<i4") for b in rows["buckets"]]
-    value = [np.frombuffer(v, "<f4") * idf[i] for v, i in zip(rows["shares"], index)]
-    norm = float(np.mean([np.sqrt((v * v).sum()) for v in value])) if value else 1.0
+@dataclass(frozen=True)
+class _Sample:
+    """Rows of the sample side by side, as they came from Arrow: ``buckets`` and ``shares`` of row i lie at ``at[i] : at[i + 1]``."""
+
+    at: np.ndarray
+    buckets: np.ndarray
+    shares: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> _Sample:
+        flat = [rows[c].cast(pa.large_binary()).combine_chunks() for c in ("buckets", "shares")]
+        flat = [f.chunk(0) if isinstance(f, pa.ChunkedArray) else f for f in flat]
+        offsets = [np.frombuffer(f.buffers()[1], "<i8", len(f) + 1) if len(f) else np.zeros(1, "<i8") for f in flat]
+        values = [np.frombuffer(f.buffers()[2] or b"", kind) for f, kind in zip(flat, ("<i4", "<f4"))]
+        return _Sample(offsets[0] // 4, *values)
+
+    def row(self, i: int, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of row i and their shares times ``factor``."""
+        part = slice(self.at[i], self.at[i + 1])
+        return self.buckets[part], self.shares[part] * factor[self.buckets[part]]
+
+
+def _train(rows: pa.Table, languages: tuple[str, ...], idf: np.ndarray, config: LanguageConfig) -> LanguageModel:
+    sample, n, n_lang = _Sample.of(rows), len(rows), len(languages)
+    norm = float(np.mean([np.sqrt((sample.row(i, idf)[1] ** 2).sum()) for i in range(n)])) if n else 1.0
     scale = idf / max(norm, 1e-12)  # vectors of length one on average
-    value = [v / max(norm, 1e-12) for v in value]
-    target = np.array([languages.index(x) for x in rows["lang"]], dtype=int)
-    n, n_lang = len(index), len(languages)
+    target = np.array([languages.index(x) for x in rows["lang"].to_pylist()], dtype=int)
     order = np.random.default_rng(config.seed).permutation(n)
     n_held = int(n * config.calibration_share)
     held, train = order[:n_held], order[n_held:]
@@ -169,9 +188,10 @@ def _train(rows: dict, languages: tuple[str, ...], idf: np.ndarray, config: Lang
         return np.where(np.abs(zi) <= config.l1, 0.0, w)
 
     def step(batch: np.ndarray) -> None:
-        flat = np.concatenate([np.append(index[i], size - 1) for i in batch])
-        vals = np.concatenate([np.append(value[i], 1.0) for i in batch])
-        row = np.repeat(np.arange(len(batch)), [len(index[i]) + 1 for i in batch])
+        own = [sample.row(i, scale) for i in batch]
+        flat = np.concatenate([np.append(index, size - 1) for index, _ in own])
+        vals = np.concatenate([np.append(value, 1.0) for _, value in own])
+        row = np.repeat(np.arange(len(batch)), [len(index) + 1 for index, _ in own])
         at, inverse = np.unique(flat, return_inverse=True)
         w = weights(at)
         logits = np.stack([np.bincount(row, vals * w[inverse, k], len(batch)) for k in range(n_lang)], axis=1)
@@ -190,7 +210,7 @@ def _train(rows: dict, languages: tuple[str, ...], idf: np.ndarray, config: Lang
         left = left[config.batch :]
     w = weights(np.arange(size))
     matrix, bias = (w[:-1] * scale[:, None]).astype(np.float32), w[-1]
-    logits = np.array([(w[index[i]] * value[i][:, None]).sum(0) + bias for i in held]).reshape(-1, n_lang)
+    logits = np.array([value @ w[index] + bias for index, value in (sample.row(i, scale) for i in held)]).reshape(-1, n_lang)
     return LanguageModel(languages, matrix, bias, _temperature(logits, target[held]), float((w != 0).mean()))
 
 

@@ -17,15 +17,17 @@ packed each; an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridorwatch.llm.common import map_rows, ranked, written
+from corridorwatch.llm.common import map_rows, ranked, sliced, written
 
 CAPACITY = 4096
 UNIT = 16
@@ -37,13 +39,25 @@ CACHED_WORDS = 400_000
 JOINED_WORDS = 500
 
 _TOKENIZER: dict = {}
+#: Bytes that separate words.
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[9, 10, 13, 32]] = True
+
+
+#: Words whose pre-tokens follow from their characters: printable ASCII and the accented letters of Latin-1.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+# The tokenizer's own split of lower-cased words, restricted to those characters.
+_PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+_WORD_END = "</w>"
 
 
 class WordTokenizer:
-    """Token ids of a text as bytes, word by word.
+    """Token ids of texts, distinct word by distinct word.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its space-separated words in turn; frequent words are looked up.
+    those of its words in turn. Words of many texts are found and numbered in Arrow; only
+    distinct ones are looked up or tokenized, and one gather lays all ids side by side.
+    Words are remembered in two generations, so that frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -51,24 +65,80 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self._known) > CACHED_WORDS:
-            self._known = {"": b""}
-        known = self._known
-        new = list(set().union(*split).difference(known))
-        for start in range(0, len(new), JOINED_WORDS):
-            part = new[start : start + JOINED_WORDS]
-            # one call for many words; the offsets of the tokens tell them apart again
-            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cuts = (4 * np.searchsorted([at for at, _ in found.offsets], starts)).tolist()
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            known.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _ids(self, entries: list[bytes]) -> list[bytes]:
+        """The ids of each entry, a word with the white space behind it."""
+        young, old = self._young, self._old
+        if len(young) > CACHED_WORDS:
+            self._old, self._young = old, young = young, {}
+        found = [young.get(e) for e in entries]
+        plain, other = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                e = entries[i]
+                ids = old.get(e)
+                if ids is None:
+                    word = e.decode().rstrip(" \t\n\r")
+                    (plain if _PLAIN.fullmatch(word) else other).append((i, word))
+                else:
+                    found[i] = young[e] = ids
+        for some, split in ((plain, self._split_plain), (other, self._split_other)):
+            for start in range(0, len(some), JOINED_WORDS):
+                part = some[start : start + JOINED_WORDS]
+                for (i, _), ids in zip(part, split([w for _, w in part])):
+                    found[i] = young[entries[i]] = ids
+        return found
+
+    def _split_plain(self, words: list[str]) -> list[bytes]:
+        """One call for many words; the tokens that end a pre-token tell them apart again."""
+        encoded = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, dtype="<u4")
+        needed = np.cumsum([0, *(len(_PRE_TOKEN.findall(w.lower())) for w in words)])
+        ends = np.append(0, np.flatnonzero(self._ends[ids]) + 1)
+        if len(ends) != needed[-1] + 1:
+            return self._split_other(words)
+        cuts, flat = (4 * ends[needed]).tolist(), ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _split_other(self, words: list[str]) -> list[bytes]:
+        """The same by the offsets of the tokens, which costs more."""
+        encoded = self._tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (4 * np.searchsorted([at for at, _ in encoded.offsets], starts)).tolist()
+        flat = np.array(encoded.ids, dtype="<u4").tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text closed by CLOSING_ID, and the number of ids per text."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        gap = _SPACES[data]
+        begins = np.ones(len(data), dtype=bool)
+        begins[1:] = gap[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins &= ~gap
+        starts = np.flatnonzero(begins)
+        # a word runs to the begin of the next one: what follows it is white space, whichever text that is in
+        edges = np.append(starts, len(data)).astype("<i8")
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        # the closing id is one more word, behind the words of every text
+        ids = [*self._ids(distinct), np.array([CLOSING_ID], dtype="<u4").tobytes()]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        ends = np.searchsorted(starts, offsets[1:])
+        codes = np.insert(words.indices.to_numpy(), ends, len(distinct))
+        each = sizes[codes]
+        place = np.cumsum(each)
+        found = pool[np.repeat((np.cumsum(sizes) - sizes)[codes] - (place - each), each) + np.arange(place[-1] if len(place) else 0)]
+        return found, np.diff(place[ends + np.arange(len(ends))], prepend=0)
 
 
 def tokenizer(path: str | None) -> WordTokenizer:
@@ -84,25 +154,27 @@ def tokenizer(path: str | None) -> WordTokenizer:
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, units (and ids)."""
-    closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
+    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, units int" + ", ids binary" * keep_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                ids, counts = tokenizer(tokenizer_path).encode(part.column(1))
+                pieces = -(-counts // CAPACITY)
+                doc = np.repeat(np.arange(len(counts)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CAPACITY
+                length = np.minimum(counts[doc] - start, CAPACITY)
+                at = (np.cumsum(counts) - counts)[doc] + start
+                cuts = [ids[a:b].tobytes() for a, b in zip(at.tolist(), (at + length).tolist())]
+                made = {
+                    "doc_id": part.column(0).take(pa.array(doc)), "start": start, "length": length,
+                    "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()),
+                    "doc_tokens": counts[doc], "units": (-(-length // UNIT)).astype(np.int32),
+                }
+                yield pa.RecordBatch.from_pydict(made | {"ids": pa.array(cuts, pa.binary())} if keep_ids else made)
 
-    def run(batch: dict) -> dict:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "units", "ids")}
-        encoded = tokenizer(tokenizer_path).encode([t or "" for t in batch["text"]])
-        for doc_id, ids in zip(batch["doc_id"], encoded):
-            ids += closing
-            n = len(ids) // 4
-            for start in range(0, n, CAPACITY):
-                piece = ids[4 * start : 4 * (start + CAPACITY)]
-                length = len(piece) // 4
-                values = (doc_id, start, length, zlib.crc32(piece), n, -(-length // UNIT), piece)
-                for name, value in zip(out, values):
-                    out[name].append(value)
-        return out
-
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, units int"
     given = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(given, run, schema + ", ids binary" * keep_ids)
+    return given.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
