@@ -1,36 +1,22 @@
-"""Teacher, student, calibration and type models on MLlib."""
+"""Targets and weights of the study, calibration and the type model on MLlib."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridorwatch.functions.columns import clip, logit
+from corridorwatch.functions.columns import logit
 from corridorwatch.functions.rows import with_row
 
 MISSING = "__missing_"
 
 
-def add_inputs(df: DataFrame, features: list[str]) -> DataFrame:
-    """Features as doubles with 0 for missing, plus a missing flag each."""
-    return df.withColumns(
-        {f"__x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}
-        | {f"{MISSING}{c}": F.col(c).isNull().cast("double") for c in features}
-    )
-
-
-def _assembler(features: list[str]) -> VectorAssembler:
-    inputs = [f"__x_{c}" for c in features] + [f"{MISSING}{c}" for c in features]
-    return VectorAssembler(inputCols=inputs, outputCol="__features")
-
-
 def class_ratio(train: DataFrame, cap: float) -> DataFrame:
     """One row: min(cap, negatives / positives)."""
     positive = F.greatest(F.sum("target_event_30m"), F.lit(1))
@@ -43,68 +29,12 @@ def add_weight(train: DataFrame, cap: float) -> DataFrame:
     return with_row(train, class_ratio(train, cap)).withColumn("__weight", weight).drop("__ratio")
 
 
-def fit_teacher(
-    train: DataFrame, features: list[str], rounds: int = 360, depth: int = 8, seed: int = 20260730, min_rows: int = 45
-) -> PipelineModel:
-    """Boosted trees with positives weighted by min(25, negatives / positives)."""
-    gbt = GBTClassifier(
-        featuresCol="__features",
-        labelCol="target_event_30m",
-        weightCol="__weight",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=0.035,
-        subsamplingRate=0.85,
-        featureSubsetStrategy="0.82",
-        minInstancesPerNode=min_rows,
-        seed=seed,
-        predictionCol="__prediction",
-    )
-    gbt.setProbabilityCol("__probability").setRawPredictionCol("__raw")
-    return Pipeline(stages=[_assembler(features), gbt]).fit(add_weight(add_inputs(train, features), 25.0))
-
-
-def score_teacher(model: PipelineModel, df: DataFrame, features: list[str], name: str) -> DataFrame:
-    scored = model.transform(add_inputs(df, features))
-    return scored.withColumn(name, vector_to_array("__probability")[1]).select(*df.columns, name)
-
-
 def soft_target(train: DataFrame, teacher_score: str) -> DataFrame:
     """0.72 of the label plus 0.28 of the teacher, and the student's sample weight."""
     target = 0.72 * F.col("target_event_30m") + 0.28 * F.col(teacher_score)
     return add_weight(train.withColumn("soft_target", target), 20.0).withColumnRenamed("__weight", "sample_weight")
 
 
-def fit_student(
-    train: DataFrame,
-    features: list[str],
-    target: str = "soft_target",
-    rounds: int = 96,
-    depth: int = 5,
-    seed: int = 20260730,
-    min_rows: int = 55,
-) -> PipelineModel:
-    gbt = GBTRegressor(
-        featuresCol="__features",
-        labelCol=target,
-        weightCol="sample_weight",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=0.045,
-        subsamplingRate=0.85,
-        featureSubsetStrategy="0.82",
-        minInstancesPerNode=min_rows,
-        seed=seed,
-        predictionCol="__prediction",
-    )
-    return Pipeline(stages=[_assembler(features), gbt]).fit(add_inputs(train, features))
-
-
-def score_student(model: PipelineModel, df: DataFrame, features: list[str], name: str) -> DataFrame:
-    scored = model.transform(add_inputs(df, features))
-    return scored.withColumn(name, clip(F.col("__prediction"), 0.0, 1.0)).select(*df.columns, name)
-
-
 def score_models(df: DataFrame, scorers: dict, keep: list[str]) -> DataFrame:
     """Score a table with every model and return (keep, model, score)."""
     wide = reduce(lambda d, item: item[1](d, f"score_{item[0]}"), scorers.items(), df)
@@ -113,36 +43,6 @@ def score_models(df: DataFrame, scorers: dict, keep: list[str]) -> DataFrame:
     )
 
 
-def training_history(model: PipelineModel, datasets: dict[str, DataFrame], features: list[str], target: str, name: str) -> DataFrame:
-    """(model, history): the loss of every boosting round on every data set.
-
-    Only one number per round comes back to the driver.
-    """
-    gbt = model.stages[-1]
-    curves = {}
-    for label, df in datasets.items():
-        inputs = add_inputs(df, features).withColumns(
-            {target: F.col(target).cast("double"), "__weight": F.lit(1.0), "sample_weight": F.lit(1.0)}
-        )
-        extra = ["squared"] if isinstance(gbt, GBTRegressionModel) else []
-        curves[label] = {"loss": [float(x) for x in gbt.evaluateEachIteration(model.stages[0].transform(inputs), *extra)]}
-    schema = "model string, history map<string, map<string, array<double>>>"
-    return next(iter(datasets.values())).sparkSession.createDataFrame([(name, curves)], schema)
-
-
-def feature_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
-    """Importance per feature (value and missing flag together), its share, largest first."""
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    rows = [(f, values[i] + values[i + len(features)]) for i, f in enumerate(features)]
-    df = spark.createDataFrame(rows, "feature string, gain_importance double")
-    total = df.agg(F.greatest(F.sum("gain_importance"), F.lit(1e-12)).alias("total"))
-    return (
-        with_row(df, total)
-        .select("feature", "gain_importance", (F.col("gain_importance") / F.col("total")).alias("gain_share"))
-        .orderBy(F.col("gain_importance").desc(), "feature")
-    )
-
-
 def fit_platt(df: DataFrame, score: str, label: str, strength: float, rows: int | None = None):
     """Logistic fit on the log-odds; ``strength`` is the inverse penalty of the summed loss."""
     n = rows if rows is not None else df.count()

@@ -4,70 +4,75 @@ from __future__ import annotations
 
 import datetime as dt
 from contextlib import contextmanager
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
-from corridorwatch.operators import features, metrics, models
+from corridorwatch.operators import boosting, metrics, models
 from corridorwatch.plans import staging, training
 from corridorwatch.plans.registry import query
 from corridorwatch.session import new_path
 from corridorwatch.sources import files, testbed
 from corridorwatch.streaming import jobs
 
-# Rounds and depth of the registered fits: the operators' defaults take hours on a laptop.
-SMALL = {"teacher_rounds": 8, "student_rounds": 8, "depth": 4, "student_depth": 4}
+# Rounds and depth of the registered fits: nine full fits (1 920 rounds) take over a quarter of an hour on a laptop (README).
+TEACHER = replace(boosting.TEACHER, rounds=8, leg_rounds=4, depth=4)
+STUDENT = replace(boosting.STUDENT, rounds=8, leg_rounds=4, depth=4)
+_STUDIES: dict[tuple[str, str], training.Study] = {}
 
 
-def _teacher(spark, sf):
-    df = staging.context(spark, sf)
-    inputs = features.feature_sets(df.columns)["full_teacher"]
-    model = models.fit_teacher(df.where("split = 'train'"), inputs, rounds=SMALL["teacher_rounds"], depth=SMALL["depth"])
-    return df, inputs, model
+def _study(spark, sf) -> training.Study:
+    """All nine models on the staged candidates, fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STUDIES:
+        _STUDIES[key] = training.train_study(staging.candidates(spark, sf), new_path(spark, "study"), teacher=TEACHER, student=STUDENT)
+    return _STUDIES[key]
 
 
-def _areas(scored: DataFrame, column: str, name: str) -> DataFrame:
-    long = scored.where("split <> 'train'").select(F.lit(name).alias("model"), "split", F.col("target_event_30m").alias("y"), F.col(column).alias("score"))
+def _evaluated(spark, sf, name: str) -> DataFrame:
+    """Metrics of one model on the validation and test candidates, at the alert threshold."""
+    held = staging.candidates(spark, sf).where("split <> 'train'")
+    scored = _study(spark, sf).fitted[name].score(held, "score")
+    long = scored.select(F.lit(name).alias("model"), "split", F.col("target_event_30m").alias("y"), "score")
     return metrics.binary_metrics(long, ["model", "split"], F.lit(0.6))
 
 
 @query("fit_teacher")
 def fit_teacher(spark, sf):
-    df, inputs, model = _teacher(spark, sf)
-    return _areas(models.score_teacher(model, df, inputs, "teacher"), "teacher", "full_teacher")
+    return _evaluated(spark, sf, "full_teacher")
 
 
 @query("importance_rank")
 def importance_rank(spark, sf):
-    _, inputs, model = _teacher(spark, sf)
-    return models.feature_importance(model, inputs, spark)
+    """Gain, splits and share of gain of every feature of the full teacher."""
+    return boosting.tree_importance(_study(spark, sf).fitted["full_teacher"], spark)
 
 
 @query("fit_student")
 def fit_student(spark, sf):
-    df = staging.context(spark, sf)
-    train = models.soft_target(df.where("split = 'train'"), "score_distilled_student")
-    model = models.fit_student(train, V.STUDENT, rounds=SMALL["student_rounds"], depth=SMALL["student_depth"])
-    return _areas(models.score_student(model, df, V.STUDENT, "student"), "student", "distilled_student")
+    return _evaluated(spark, sf, "distilled_student")
 
 
 @query("training_history")
 def training_history(spark, sf):
-    from corridorwatch.operators.watchlist import history_long
-
-    df, inputs, model = _teacher(spark, sf)
+    """Losses of all nine models after every leg, on the training and the validation rows."""
+    df = staging.candidates(spark, sf)
     parts = {s: df.where(F.col("split") == s) for s in ("train", "validation")}
-    return history_long(models.training_history(model, parts, inputs, "target_event_30m", "full_teacher"))
+    curves = [boosting.leg_history(model, parts, "target_event_30m", name) for name, model in _study(spark, sf).fitted.items()]
+    return reduce(DataFrame.unionByName, curves)
 
 
 @query("score_models")
 def score_models(spark, sf):
-    """Teacher and student over the whole panel, thresholds tuned and tested."""
-    df = staging.context(spark, sf)
-    study = training.train_study(df, ("full_teacher", "distilled_student"), **SMALL, config=testbed.SPLITS)
-    scores = training.score_study(study, df.where("split <> 'train'"), V.RISK)
-    return training.evaluate_study(scores, testbed.SPLITS)
+    """All nine models and the panel's own risk over the candidates, thresholds tuned and tested."""
+    held = staging.candidates(spark, sf).where("split <> 'train'")
+    scores = training.score_study(_study(spark, sf), held, V.RISK)
+    path = new_path(spark, "scores")
+    scores.write.partitionBy("model").parquet(path)
+    return training.evaluate_study(spark.read.parquet(path), testbed.SPLITS)
 
 
 @query("platt")

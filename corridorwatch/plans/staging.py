@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corridorwatch.session import new_path
 from corridorwatch.operators import dispatch, dispatch_evaluation, labels, sites
+from corridorwatch.operators.candidates import stratified_sample
 from corridorwatch.plans import build
 from corridorwatch.sources import testbed
 
@@ -65,6 +66,15 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "context", make, by="panel_date").drop("panel_date")
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn candidates: all positives and the strata of every day."""
+
+    def make() -> DataFrame:
+        return _dated(stratified_sample(context(spark, sf_dir).drop("candidate_source"), testbed.SPLITS))
+
+    return staged(spark, sf_dir, "candidates", make, by="panel_date").drop("panel_date")
+
+
 def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered sites with calibrated and robust probability."""
 

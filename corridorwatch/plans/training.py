@@ -1,4 +1,4 @@
-"""Training study: teachers, students and ablations, scored and evaluated."""
+"""Training study: teachers, students and ablations on the staged candidates, scored and evaluated."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch.config import BuildConfig
-from corridorwatch.operators import features, metrics, models
+from corridorwatch.operators import boosting, features, metrics, models
 
 TEACHERS = ("temporal_only", "spatial_only", "full_teacher")
 CALM_SOURCES = ["future_event", "random_negative"]
@@ -17,33 +17,26 @@ KEEP = ["segment_id", "bin5", "split", "target_event_30m", "target_event_id", "l
 
 @dataclass
 class Study:
-    """Fitted models with the features each one reads."""
+    """Fitted models by name."""
 
-    fitted: dict = field(default_factory=dict)
-    inputs: dict[str, list[str]] = field(default_factory=dict)
-    regression: set[str] = field(default_factory=set)
+    fitted: dict[str, boosting.Boosted] = field(default_factory=dict)
 
     def scorers(self) -> dict:
-        def scorer(name: str):
-            score = models.score_student if name in self.regression else models.score_teacher
-            return lambda df, column: score(self.fitted[name], df, self.inputs[name], column)
-
-        return {name: scorer(name) for name in self.fitted}
+        return {name: model.score for name, model in self.fitted.items()}
 
 
 def train_study(
     candidates: DataFrame,
+    folder: str,
     names: tuple[str, ...] | None = None,
-    teacher_rounds: int = 360,
-    student_rounds: int = 96,
-    depth: int = 8,
-    student_depth: int = 5,
-    config: BuildConfig = BuildConfig(),
+    teacher: boosting.BoostConfig = boosting.TEACHER,
+    student: boosting.BoostConfig = boosting.STUDENT,
 ) -> Study:
-    """Fit the teachers, the student and its ablations (or those in ``names``).
+    """Fit the teachers, the student and its ablations (or those in ``names``) in legs below ``folder``.
 
-    ``candidates`` needs the split column. Models are fitted one after the other;
-    each fit is a distributed job over the training rows.
+    ``candidates`` needs the split column and must not change between runs on one folder: a
+    study that stopped goes on where it was. Models are fitted one after the other; each leg is a
+    distributed job over the training rows.
     """
     sets = features.feature_sets(candidates.columns)
     train = candidates.where("split = 'train'")
@@ -52,18 +45,15 @@ def train_study(
     def wanted(name: str) -> bool:
         return names is None or name in names
 
-    def keep(name: str, model, inputs: list[str], regression: bool = False) -> None:
-        study.fitted[name], study.inputs[name] = model, inputs
-        if regression:
-            study.regression.add(name)
+    def fit_teacher(name: str, rows: DataFrame, inputs: list[str]) -> None:
+        weighted = models.add_weight(rows, 25.0)
+        study.fitted[name] = boosting.boost(weighted, inputs, "target_event_30m", "__weight", True, teacher, f"{folder}/{name}")
 
     for name in TEACHERS:
         if wanted(name) or name == "full_teacher":
-            keep(name, models.fit_teacher(train, sets[name], teacher_rounds, depth, config.seed), sets[name])
+            fit_teacher(name, train, sets[name])
     if wanted("no_data_distillation"):
-        calm = train.where(F.col("candidate_source").isin(CALM_SOURCES))
-        full = sets["full_teacher"]
-        keep("no_data_distillation", models.fit_teacher(calm, full, teacher_rounds, depth, config.seed), full)
+        fit_teacher("no_data_distillation", train.where(F.col("candidate_source").isin(CALM_SOURCES)), sets["full_teacher"])
 
     teacher_score = study.scorers()["full_teacher"](train, "__teacher")
     softened = models.soft_target(teacher_score, "__teacher")
@@ -81,7 +71,7 @@ def train_study(
     }
     for name, (rows, inputs, target) in variants.items():
         if wanted(name):
-            keep(name, models.fit_student(rows, inputs, target, student_rounds, student_depth, config.seed), inputs, True)
+            study.fitted[name] = boosting.boost(rows, inputs, target, "sample_weight", False, student, f"{folder}/{name}")
     if names is not None and "full_teacher" not in names:
         del study.fitted["full_teacher"]
     return study

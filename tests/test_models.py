@@ -1,14 +1,16 @@
 """Model fits: every variant runs, scores stay in range, calibration follows the score."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
-from corridorwatch.operators import labels, models
+from corridorwatch.operators import boosting, labels, models
 from corridorwatch.operators.candidates import registry_split
 from corridorwatch.plans import replay, staging, training
+from corridorwatch.session import new_path
 from corridorwatch.sources import files, testbed
 
 
@@ -17,9 +19,14 @@ def context(spark, sf_dir):
     return staging.context(spark, sf_dir)
 
 
-def test_all_models_of_the_study(spark, context):
-    study = training.train_study(context, teacher_rounds=2, student_rounds=2, depth=2, student_depth=2, config=testbed.SPLITS)
-    scores = training.score_study(study, context.where("split <> 'train'"), V.RISK).cache()
+SMALL = {"rounds": 4, "leg_rounds": 2, "depth": 2}
+
+
+def test_all_models_of_the_study(spark, sf_dir):
+    table = staging.candidates(spark, sf_dir)
+    study = training.train_study(table, new_path(spark, "study"), teacher=replace(boosting.TEACHER, **SMALL), student=replace(boosting.STUDENT, **SMALL))
+    held = table.where("split <> 'train'")
+    scores = training.score_study(study, held, V.RISK).cache()
     names = {r.model for r in scores.select("model").distinct().collect()}
     assert names == {
         "stage1_risk", "temporal_only", "spatial_only", "full_teacher", "no_data_distillation", "distilled_student",
@@ -27,14 +34,49 @@ def test_all_models_of_the_study(spark, context):
     }
     low, high = scores.agg(F.min("score"), F.max("score")).first()
     assert 0.0 <= low <= high <= 1.0
-    table = {r.model: r for r in training.evaluate_study(scores, testbed.SPLITS).collect()}
-    assert set(table) == names
-    assert table["stage1_risk"].false_alarm_reduction_vs_stage1 == 0.0
-    assert table["distilled_student"].threshold == 0.6
-    rows = context.where("split = 'test'").count()
-    assert all(r["rows"] == rows and 0.0 <= r.roc_auc <= 1.0 and 0.6 <= r.threshold <= 0.95 for r in table.values())
-    share = models.feature_importance(study.fitted["full_teacher"], study.inputs["full_teacher"], spark)
-    assert share.agg(F.sum("gain_share")).first()[0] == pytest.approx(1.0)
+    found = {r.model: r for r in training.evaluate_study(scores, testbed.SPLITS).collect()}
+    assert set(found) == names
+    assert found["stage1_risk"].false_alarm_reduction_vs_stage1 == 0.0
+    assert found["distilled_student"].threshold == 0.6
+    rows = table.where("split = 'test'").count()
+    assert all(r["rows"] == rows and 0.0 <= r.roc_auc <= 1.0 and 0.6 <= r.threshold <= 0.95 for r in found.values())
+    share = boosting.tree_importance(study.fitted["full_teacher"], spark)
+    assert share.count() == len(study.fitted["full_teacher"].features)
+    gain, splits = share.agg(F.sum("gain_share"), F.sum("split_importance")).first()
+    assert gain == pytest.approx(1.0) and 0 < splits <= 4 * 3
+
+
+def _boosting_rows(spark):
+    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    z = F.pmod(F.xxhash64(F.col("id") + 7), F.lit(1000)) / 1000
+    df = spark.range(1500).select(x.alias("x"), F.when(z > 0.05, z).alias("z"), "id")
+    chance = F.when(F.col("x") > 0.6, 0.8).otherwise(0.15)
+    return df.withColumn("y", (F.pmod(F.xxhash64(F.col("id") + 99), F.lit(1000)) / 1000 < chance).cast("int")).withColumn("w", F.lit(1.0))
+
+
+@pytest.mark.parametrize("logistic", [True, False])
+def test_legs_lower_the_loss_and_resume(spark, logistic):
+    """Each leg lowers the training loss; a fit that goes on equals one that never stopped."""
+    df = _boosting_rows(spark)
+    config = boosting.BoostConfig(rounds=9, depth=3, step=0.1, min_rows=10, leg_rounds=3)
+    folder = new_path(spark, "legs")
+    boosting.boost(df, ["x", "z"], "y", "w", logistic, replace(config, rounds=3), folder)
+    resumed = boosting.boost(df, ["x", "z"], "y", "w", logistic, config, folder)
+    whole = boosting.boost(df, ["x", "z"], "y", "w", logistic, config, new_path(spark, "legs"))
+    assert [m.getNumTrees for m in resumed.legs] == [3, 3, 3] == config.legs()
+    a, b = (m.score(df, "s").orderBy("id").select("s").toPandas()["s"] for m in (resumed, whole))
+    assert a.tolist() == pytest.approx(b.tolist(), abs=1e-12)
+    losses = [r.value for r in boosting.leg_history(whole, {"train": df}, "y", "m").orderBy("iteration").collect()]
+    assert losses == sorted(losses, reverse=True) and losses[-1] < (0.53 if logistic else 0.175)
+    # what the legs wrote is the score that the model gives
+    written = spark.read.parquet(f"{whole.folder}/leg-002-3/rows").agg(F.sum("raw")).first()[0]
+    scored, after = whole.raw(df)
+    assert scored.agg(F.sum(after[-1])).first()[0] == pytest.approx(written)
+
+
+def test_boosting_of_an_empty_table(spark):
+    model = boosting.boost(_boosting_rows(spark).limit(0), ["x", "z"], "y", "w", True, boosting.STUDENT, new_path(spark, "legs"))
+    assert model.legs == [] and model.score(_boosting_rows(spark).limit(3), "s").select("s").distinct().count() == 1
 
 
 def test_calibration_rises_with_the_score(spark):
