@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridorwatch.config import DispatchConfig
+from corridorwatch.config import STRATEGIES, DispatchConfig
 from corridorwatch.functions.rows import with_row
 from corridorwatch.operators.costs import ACTIONS, scenario_array
 
@@ -33,11 +33,22 @@ def _totals(sites: DataFrame) -> DataFrame:
     return with_row(counts, events.agg(F.count_distinct("event_id").alias("event_count")))
 
 
-def dispatch_evaluate(decisions: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per scenario and strategy: recall of events, precision and number of actions."""
+def _studies(spark, config: DispatchConfig) -> DataFrame:
+    """Every scenario with every strategy; the decisions that no pick changes are zeros and add nothing."""
+    strategy = F.explode(F.array(*[F.lit(s) for s in STRATEGIES])).alias("strategy")
+    scenarios = spark.range(1).select(F.explode(scenario_array(config)).alias("__scenario"))
+    return scenarios.select(F.col("__scenario.name").alias("scenario"), "__scenario", strategy)
+
+
+def dispatch_evaluate(picks: DataFrame, sites: DataFrame, config: DispatchConfig = DEFAULT) -> DataFrame:
+    """Per scenario and strategy: recall of events, precision and number of actions.
+
+    ``picks`` are the sites that a strategy acts on; all others have no action.
+    """
     facts = sites.select("site_id", "actual_positive", "event_ids", "maximum_lead_time_min")
-    merged = decisions.join(facts, "site_id")
+    merged = picks.join(facts, "site_id")
     patrol, hit = F.col("patrol") == 1, F.col("actual_positive") == 1
+    counts = [f"{a}_actions" for a in ACTIONS] + ["false_patrol_actions", "true_patrol_actions"]
     base = merged.groupBy(*STUDY).agg(
         *[F.sum(a).alias(f"{a}_actions") for a in ACTIONS],
         F.count_if(patrol & ~hit).alias("false_patrol_actions"),
@@ -56,47 +67,50 @@ def dispatch_evaluate(decisions: DataFrame, sites: DataFrame) -> DataFrame:
         .groupBy(*STUDY)
         .agg(F.avg("lead").alias("mean_maximum_lead_time_min"))
     )
-    joined = with_row(base.join(detected, STUDY, "left").join(leads, STUDY, "left"), _totals(sites))
-    found = F.coalesce("detected_event_count", F.lit(0))
+    studies = _studies(sites.sparkSession, config).drop("__scenario")
+    found = studies.join(base, STUDY, "left").join(detected, STUDY, "left").join(leads, STUDY, "left")
+    joined = with_row(found.na.fill(0, [*counts, "detected_event_count"]), _totals(sites))
     precise = F.col("true_patrol_actions") / F.greatest(F.col("true_patrol_actions") + F.col("false_patrol_actions"), F.lit(1))
     return joined.select(
         *STUDY,
         "site_count",
         "event_count",
-        found.alias("detected_event_count"),
-        (found / F.greatest("event_count", F.lit(1))).alias("event_recall"),
+        "detected_event_count",
+        (F.col("detected_event_count") / F.greatest("event_count", F.lit(1))).alias("event_recall"),
         precise.alias("patrol_precision"),
-        *[f"{a}_actions" for a in ACTIONS],
-        "false_patrol_actions",
-        "true_patrol_actions",
+        *counts,
         (F.col("patrol_actions") / F.greatest("days", F.lit(1))).alias("patrol_actions_per_day"),
         "mean_maximum_lead_time_min",
     )
 
 
-def realized_cost(decisions: DataFrame, sites: DataFrame, config: DispatchConfig = DEFAULT) -> DataFrame:
-    """Loss of every event once, at its best mitigation, plus actions and false alarms."""
+def realized_cost(picks: DataFrame, sites: DataFrame, config: DispatchConfig = DEFAULT) -> DataFrame:
+    """Loss of every event once, at its best mitigation, plus actions and false alarms.
+
+    Events that no picked site has lose everything, so only their number is needed.
+    """
     rate = sum(F.col(a) * F.lit(getattr(config, f"mitigation_{a}")) for a in ACTIONS)
     facts = sites.select("site_id", "actual_positive", "event_ids")
-    merged = decisions.join(facts, "site_id").withColumn("mitigation", rate)
+    merged = picks.join(facts, "site_id").withColumn("mitigation", rate)
+    sums = [*ACTIONS, *[f"false_{a}" for a in ACTIONS]]
     acts = merged.groupBy(*STUDY).agg(
         *[F.sum(a).alias(a) for a in ACTIONS],
         *[F.sum(F.col(a) * (1 - F.col("actual_positive"))).alias(f"false_{a}") for a in ACTIONS],
     )
-    events = (
+    saved = (
         merged.select(*STUDY, "mitigation", F.explode("event_ids").alias("event_id"))
         .groupBy(*STUDY, "event_id")
         .agg(F.max("mitigation").alias("best"))
         .groupBy(*STUDY)
-        .agg(F.sum(1.0 - F.col("best")).alias("residual"))
+        .agg(F.sum("best").alias("saved"))
     )
+    events = sites.select(F.explode("event_ids").alias("event_id")).agg(F.count_distinct("event_id").alias("events"))
+    found = _studies(sites.sparkSession, config).join(acts, STUDY, "left").join(saved, STUDY, "left")
+    joined = with_row(found.na.fill(0, [*sums, "saved"]), events)
     scenario = F.col("__scenario")
-    prices = decisions.sparkSession.range(1).select(F.explode(scenario_array(config)).alias("__scenario"))
-    prices = prices.withColumn("scenario", scenario["name"])
-    cost = F.coalesce("residual", F.lit(0.0)) * scenario["accident_loss"]
+    cost = (F.col("events") - F.col("saved")) * scenario["accident_loss"]
     for a in ACTIONS:
         cost = cost + F.col(a) * scenario[f"cost_{a}"] + F.col(f"false_{a}") * scenario[f"penalty_{a}"]
-    joined = acts.join(events, STUDY, "left").join(F.broadcast(prices), "scenario")
     return joined.select(*STUDY, cost.alias("realized_normalized_event_cost"))
 
 

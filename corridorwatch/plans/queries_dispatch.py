@@ -345,13 +345,13 @@ def dispatch_decisions(spark, sf):
 
 @query(
     "sites_decisions",
-    """SELECT d.site_id, scenario, strategy, patrol, d.actual_positive, d.student_score, 0 AS duplicate_keys FROM decided d WHERE patrol = 1""",
+    """SELECT d.site_id, scenario, strategy, patrol, d.actual_positive, d.student_score, 0 AS duplicate_keys FROM decided d""",
     doubles="student_score",
     integers="patrol actual_positive duplicate_keys",
 )
 def sites_decisions(spark, sf):
     decided = staging.decision_table(spark, sf)
-    merged = evaluation.sites_decisions(staging.site_table(spark, sf), decided).where("patrol = 1")
+    merged = evaluation.sites_decisions(staging.site_table(spark, sf), decided)
     duplicates = evaluation.duplicate_decisions(decided).agg(F.count(F.lit(1)).alias("duplicate_keys"))
     columns = ["site_id", "scenario", "strategy", "patrol", "actual_positive", "student_score"]
     return with_row(merged.select(*columns), duplicates)
@@ -376,7 +376,7 @@ def sites_decisions(spark, sf):
     integers="site_count event_count detected_event_count warning_actions patrol_actions emergency_actions false_patrol_actions true_patrol_actions",
 )
 def dispatch_evaluate(spark, sf):
-    return evaluation.dispatch_evaluate(staging.decision_table(spark, sf), staging.site_table(spark, sf))
+    return evaluation.dispatch_evaluate(staging.pick_table(spark, sf), staging.site_table(spark, sf))
 
 
 @query("realized_cost", "SELECT * FROM realized", doubles="realized_normalized_event_cost")

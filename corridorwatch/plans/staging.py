@@ -97,4 +97,4 @@ def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dispatch_evaluation.realized_cost(decision_table(spark, sf_dir), site_table(spark, sf_dir))
+    return dispatch_evaluation.realized_cost(pick_table(spark, sf_dir), site_table(spark, sf_dir))
