@@ -418,3 +418,68 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
 def test_pipeline_takes_empty_tables(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF_DIR).count() == 0
+
+
+CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, lang_pred string, taken int, __row int, c0 string, row int, copy int, own int"
+
+
+def test_pipeline_stages_take_any_extra_columns_and_ids(spark):
+    """Columns named like outputs or helpers, null and repeated ids, in every stage."""
+    words = lambda k, n: " ".join(f"{'abcdefgh'[(i * k) % 8]}{i}x{k}" for i in range(n))
+    rows = [(i if i % 3 else None, words(i % 17, 20 + i), ["en", "de"][i % 2], "abc"[i % 3], 9, "s", "l", 1, 2, "c", 3, 4, 5) for i in range(60)] + [(7, words(2, 9), "en", "a", 9, "s", "l", 1, 2, "c", 3, 4, 5)] * 2
+    given = spark.createDataFrame(rows, CLASH)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, SF_DIR)
+        if name != "packing":
+            assert out.columns == given.columns
+            assert out.where("score <> 's' OR lang_pred <> 'l' OR taken <> 1 OR __row <> 2 OR c0 <> 'c' OR own <> 5").count() == 0
+        assert out.count() > 0
+        given = spark.createDataFrame(out.collect(), out.schema) if name != "packing" else given
+
+
+def test_language_stage_keeps_texts_where_nothing_is_labelled(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["some plain text", "noch ein Text", "123 456", "", None])]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, given, SF_DIR).collect()) == [0, 1]
+
+
+def test_too_many_labels_stop_the_fit(spark):
+    given = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(12)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError):
+        language.fit_language(given, F.lit(True), language.LanguageConfig(max_languages=5))
+
+
+def test_mixed_documents_follow_the_mix_for_null_and_repeated_ids(spark):
+    """Words per source of the documents are those that the mix takes."""
+    rows = [(None, f"w{i} " * 10, "abc"[i % 3]) for i in range(60)] + [(5, f"x{i} " * 7, "abc"[i % 3]) for i in range(30)] + [(8, "same text here", "a")] * 5
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = {r[0]: r[1] for r in mixing._dealt(given, "doc_id", "text", "source").groupBy("source").agg(F.sum(F.col("copies") * F.col("size"))).collect()}
+    mixed = mixing.mixed_documents(given).collect()
+    got = Counter()
+    for r in mixed:
+        got[r["source"]] += len(r["text"].split())
+    assert got == want
+    assert max(Counter((r["doc_id"], r["text"], r["source"]) for r in mixed).values()) <= 15
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from corridorwatch.llm import common
+
+    texts = ["x" * 3_000_000, "y", "z" * 5_000_000, *["w" * 100] * 5000]
+    parts = list(common.sliced(pa.RecordBatch.from_pydict({"text": texts})))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.num_rows <= common.SLICE_ROWS and p.nbytes <= common.SLICE_BYTES for p in parts)
+
+
+@pytest.mark.parametrize("text", ["it's we've I'LL o'clock ''s 's", "a1b22c ½ ³ ª x", "ÀÉ ßß œ ﬁ İ ſ", "x\x0by\x0cz w v​u", "éà 한국어 日本語テキスト", "!!!'s..'re--x", "힣😀👍🏽 #tag @you", "a\n\n\tb\r\n  c "])
+def test_tokens_of_odd_words(text):
+    import pyarrow as pa
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids + [2]
+    ids, counts = packing.tokenizer(None).encode(pa.array([text, None, text + "x", text]))
+    ends = counts.cumsum()
+    assert ids[: ends[0]].tolist() == want and counts[1] == 1 and ids[ends[2] :].tolist() == want
