@@ -112,6 +112,7 @@ def policy_review(packets: DataFrame) -> DataFrame:
     return packets.withColumns(
         {
             "engine": F.lit(V.REVIEW_ENGINE),
+            "engine_note": F.lit(V.REVIEW_NOTE),
             "operational_state": F.when(score >= 0.6, V.STATE_REVIEW).otherwise(V.STATE_KEEP),
             "type_is_hypothesis": F.lit(True),
             "severity": F.lit(V.SEVERITY_PENDING),
@@ -119,6 +120,7 @@ def policy_review(packets: DataFrame) -> DataFrame:
             "reasoning": F.concat(F.array_join(reasons, V.REASON_SEPARATOR), F.lit(V.REASON_END)),
             "actions": actions,
             "unsupported_actions": text_array([]),
+            "policy_version": F.lit(V.POLICY_VERSION),
         }
     )
 
@@ -174,5 +176,6 @@ def severity_gate(df: DataFrame, accident_type: str = "accident_type") -> DataFr
         {
             "predicted_severity_band": F.when(F.size("serious_flags") > 0, V.BAND_HIGH).otherwise(V.BAND_LOW),
             "human_review_required": F.lit(True),
+            "reason": F.lit(V.SEVERITY_REASON),
         }
     )

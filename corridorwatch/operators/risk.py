@@ -48,10 +48,11 @@ def normalize_features(payload: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def evidence_items() -> Column:
-    """Evidence by absolute value, largest first, equal values in listed order."""
+    """Evidence by absolute value, largest first, equal values in listed order, missing ones last."""
     items = F.array(
         *[
             F.struct(
+                F.col(c).isNull().alias("missing"),
                 (-F.abs(F.col(c))).alias("o"),
                 F.lit(i).alias("i"),
                 F.lit(key).alias("key"),
@@ -73,16 +74,27 @@ def degradation_flags() -> Column:
     )
 
 
-def risk_evaluate(requests: DataFrame, score: str, threshold: float = 0.6) -> DataFrame:
-    """Alert, level, evidence and degradation flags of every scored request row."""
+def risk_evaluate(
+    requests: DataFrame, score: str, threshold: float = 0.6, probability: str | None = None, defaults: DataFrame | None = None
+) -> DataFrame:
+    """Alert, level, evidence and degradation flags of every scored request row.
+
+    With ``defaults`` (one row of the student inputs) requests are normalised first:
+    what they leave open is filled, and rows with a feature outside its range get the
+    names as ``violations`` and no judgement. ``probability`` names the calibrated probability, if there is one.
+    """
+    rows = requests.withColumn("violations", F.array().cast("array<string>")) if defaults is None else normalize_features(requests, defaults)
+    valid = F.size("violations") == 0
     value = clip(F.col(score), 0.0, 1.0)
-    return requests.withColumns(
-        {
-            "score": value,
-            "threshold": F.lit(threshold),
-            "alert": value >= threshold,
-            "risk_level": risk_level(value, mid=threshold),
-            "evidence": evidence_items(),
-            "degradation_flags": degradation_flags(),
-        }
-    )
+    judged = {
+        "score": value,
+        "calibrated_probability": F.lit(None).cast("double") if probability is None else F.col(probability),
+        "threshold": F.lit(threshold),
+        "alert": value >= threshold,
+        "risk_level": risk_level(value, mid=threshold),
+        "features": F.struct(*[F.col(c).cast("double").alias(c) for c in V.STUDENT]),
+        "evidence": evidence_items(),
+        "degradation_flags": degradation_flags(),
+        "semantics": F.lit(V.SCORE_SEMANTICS),
+    }
+    return rows.withColumns({name: F.when(valid, c) for name, c in judged.items()})

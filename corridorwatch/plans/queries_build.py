@@ -413,12 +413,12 @@ def candidate_build(spark, sf):
 
 @query(
     "negative_sample",
-    """SELECT segment_id, bin5, candidate_source FROM context
-       WHERE target_event_30m = 0 AND candidate_source IN ('hard_negative', 'uncertain_negative')
+    f"""SELECT segment_id, bin5, candidate_source FROM ({_SAMPLE.format(600, 200)})
+       WHERE candidate_source IN ('hard_negative', 'uncertain_negative')
        ORDER BY md5('20260730|' || segment_id || '|' || strftime(bin5, '%Y-%m-%d %H:%M:%S')), segment_id LIMIT 1000""",
 )
 def negative_sample(spark, sf):
-    return candidates.negative_sample(staging.context(spark, sf), 1000).select(*KEY, "candidate_source")
+    return candidates.negative_sample(staging.candidates(spark, sf), 1000).select(*KEY, "candidate_source")
 
 
 @query("temporal_split", "SELECT segment_id, bin5, split FROM context")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +86,14 @@ def policy_library(spark, sf):
 @query(
     "severity_gate",
     f"""SELECT registry_id, flags AS serious_flags, CASE WHEN flags = '' THEN {_q(V.BAND_LOW)} ELSE {_q(V.BAND_HIGH)} END AS predicted_severity_band,
-               true AS human_review_required FROM (
+               true AS human_review_required, {_q(V.SEVERITY_REASON)} AS reason FROM (
           SELECT registry_id, concat_ws('|', CASE WHEN accident_type IN ('翻车', '失火') THEN {_q(V.FLAG_TYPE)} END,
                  CASE WHEN serious_injured > 0 THEN {_q(V.FLAG_INJURY)} END, CASE WHEN deaths > 0 THEN {_q(V.FLAG_FATAL)} END,
                  CASE WHEN key_vehicle = '属于' THEN {_q(V.FLAG_VEHICLE)} END) AS flags FROM registry)""",
 )
 def severity_gate(spark, sf):
     df = policy.severity_gate(testbed.registry(spark, sf))
-    return df.select("registry_id", F.array_join("serious_flags", "|").alias("serious_flags"), "predicted_severity_band", "human_review_required")
+    return df.select("registry_id", F.array_join("serious_flags", "|").alias("serious_flags"), "predicted_severity_band", "human_review_required", "reason")
 
 
 def _packets(spark, sf):
@@ -110,7 +112,8 @@ def _packets(spark, sf):
 
 @query(
     "policy_review",
-    """SELECT registry_id, CASE WHEN score >= 0.6 THEN '进入人工复核' ELSE '保留观察' END AS operational_state, kind AS type_hypothesis, codes AS action_codes,
+    """SELECT registry_id, '依据冻结政策库和安全门生成；未调用外部模型。' AS engine_note, '1.0' AS policy_version,
+              CASE WHEN score >= 0.6 THEN '进入人工复核' ELSE '保留观察' END AS operational_state, kind AS type_hypothesis, codes AS action_codes,
               true AS human_review_required, CASE WHEN speed < 40 THEN 1 ELSE 0 END + CASE WHEN gap >= 25 THEN 1 ELSE 0 END
               + CASE WHEN weather NOT IN ('Clear', '晴', '未知', '') THEN 1 ELSE 0 END + 1 AS reasons,
               CASE WHEN speed < 40 THEN '；中位速度 ' || printf('%.1f', speed) || ' km/h，存在低速冲击波迹象' ELSE '' END AS speed_reason FROM reviewed""",
@@ -121,6 +124,8 @@ def policy_review(spark, sf):
     body = F.regexp_replace("reasoning", "。$", "")
     return df.select(
         "registry_id",
+        "engine_note",
+        "policy_version",
         "operational_state",
         "type_hypothesis",
         F.array_join(F.transform("actions", lambda a: a["code"]), ",").alias("action_codes"),
@@ -394,14 +399,21 @@ def degradation_flags(spark, sf):
 
 @query(
     "risk_evaluate",
-    f"""SELECT segment_id, bin5, student AS score, student >= 0.6 AS alert, CASE WHEN student >= 0.8 THEN '高' WHEN student >= 0.6 THEN '中' ELSE '低' END AS risk_level,
-               evidence_order, {_FLAGS} AS flags FROM ({_RANKED})""",
-    doubles="score",
+    f"""SELECT segment_id, bin5, violations, CASE WHEN ok THEN student END AS score, CASE WHEN ok THEN student >= 0.6 END AS alert,
+               CASE WHEN NOT ok THEN NULL WHEN student >= 0.8 THEN '高' WHEN student >= 0.6 THEN '中' ELSE '低' END AS risk_level,
+               CASE WHEN ok THEN evidence_order END AS evidence_order, CASE WHEN ok THEN {_FLAGS} END AS flags,
+               CASE WHEN ok THEN past_mean END AS memory, CASE WHEN ok THEN student END AS calibrated_probability, CASE WHEN ok THEN {_q(V.SCORE_SEMANTICS)} END AS semantics
+        FROM (SELECT r.*, violations, violations = '' AS ok
+              FROM ({_RANKED}) r JOIN (SELECT segment_id, bin5, concat_ws(',', {_CHECKED}) AS violations FROM context) c USING (segment_id, bin5))""",
+    doubles="score memory calibrated_probability",
 )
 def risk_evaluate(spark, sf):
-    df = risk.risk_evaluate(_requests(spark, sf), "score_distilled_student")
+    """Requests over neutral defaults; the panel has no fitted calibration here, so the score stands for it."""
+    requests = _requests(spark, sf).withColumn("probability", F.col("score_distilled_student"))
+    df = risk.risk_evaluate(requests, "score_distilled_student", probability="probability", defaults=_neutral(spark, sf))
     return df.select(
-        *KEY, "score", "alert", "risk_level",
+        *KEY, "score", "alert", "risk_level", F.col("features.risk_mean_past_30m").alias("memory"), "calibrated_probability", "semantics",
+        F.array_join("violations", ",").alias("violations"),
         F.array_join(F.transform("evidence", lambda e: e["key"]), "|").alias("evidence_order"),
         F.array_join("degradation_flags", "|").alias("flags"),
     )
@@ -603,7 +615,7 @@ def successful_models(spark, sf):
 def benchmark_rank(spark, sf):
     """The order itself is checked through the place of every model (a handful of rows)."""
     ranked = watchlist.benchmark_rank(watchlist.successful_models(_models(spark, sf)))
-    listed = ranked.agg(F.collect_list(F.struct("model", "composite_score")).alias("m"))
+    listed = ranked.agg(F.array_sort(F.collect_list(F.struct((-F.col("composite_score")).alias("k"), "model", "composite_score"))).alias("m"))
     return listed.select(F.posexplode("m").alias("i", "m")).select("m.model", "m.composite_score", (F.col("i") + 1).cast("bigint").alias("place"))
 
 
@@ -640,7 +652,18 @@ def _document(spark, sf) -> str:
     examples = policy.policy_library(testbed.registry(spark, sf))
     library = examples.agg(F.map_from_entries(F.collect_list(F.struct("accident_type", "management_measures"))).alias("examples"))
     counts = testbed.raw_panel(spark, sf).agg(F.count(F.lit(1)).alias("records"))
+    registry = testbed.registry(spark, sf)
+    case = F.struct(F.col("registry_id").cast("string").alias("event_id"), "accident_type", F.when(F.col("registry_id") % 2 == 0, F.col("weather")).alias("weather"), "deaths")
+    first = registry.groupBy("accident_type").agg(F.min_by(case, "registry_id").alias("case")).where(F.col("accident_type").isNotNull())
+    cases = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("accident_type", "case"))), lambda x: x["case"]).alias("cases"))
+    metrics = registry.agg(F.struct(F.count(F.lit(1)).alias("registry_rows"), F.lit("replay").alias("mode"), F.array(F.sum("deaths")).alias("deaths")).alias("metrics"))
+    listed = with_row(with_row(listed, cases), metrics)
     doc = with_row(with_row(with_row(listed, models), library), counts).select(
+        "cases",
+        "metrics",
+        F.element_at("cases", 1).alias("selected_case"),
+        F.struct(F.lit(0.25).alias("risk_lag_5m"), F.lit(1).alias("road_is_s5")).alias("default_features"),
+        F.struct(F.struct(F.size("cases").alias("cases"), F.lit(True).alias("passed")).alias("contract")).alias("validation"),
         F.struct(F.lit("road risk").alias("name"), F.lit("1").alias("version"), F.lit("replay").alias("mode")).alias("system"),
         F.struct("time", F.lit(10).alias("update_minutes"), F.lit(30).alias("prediction_horizon_minutes")).alias("snapshot"),
         F.array(F.struct(F.lit("raw_5min_100m_rows").alias("stage"), F.lit("whole_panel").alias("scope"), "records")).alias("pipeline"),
@@ -670,6 +693,31 @@ def scan_document(spark, sf):
     return with_row(tables["watchlist"].select("time", "segment_id", "score"), facts)
 
 
+_CASES = """SELECT row_number() OVER (ORDER BY accident_type) - 1 AS item, * FROM (
+              SELECT accident_type, min(registry_id) AS registry_id, arg_min(coalesce(weather, '?'), registry_id) AS weather, arg_min(coalesce(deaths, -1), registry_id) AS deaths
+              FROM registry WHERE accident_type IS NOT NULL GROUP BY accident_type)"""
+_CASE_FIELDS = """SELECT item, unnest(['event_id', 'accident_type', 'weather', 'deaths']) AS field,
+                         unnest([CAST(registry_id AS VARCHAR), accident_type, CASE WHEN registry_id % 2 = 0 AND weather <> '?' THEN weather END,
+                                 CASE WHEN deaths >= 0 THEN CAST(deaths AS VARCHAR) END]) AS value FROM cases"""
+
+
+@query(
+    "document_sections",
+    f"""WITH cases AS ({_CASES}), fields AS ({_CASE_FIELDS})
+        SELECT 'cases' AS section, * FROM fields WHERE value IS NOT NULL
+        UNION ALL SELECT 'selected_case', 0, field, value FROM fields WHERE item = 0 AND value IS NOT NULL
+        UNION ALL SELECT 'metrics', 0, unnest(['registry_rows', 'mode', 'deaths']),
+                         unnest([(SELECT CAST(count(*) AS VARCHAR) FROM registry), 'replay', (SELECT '[' || CAST(sum(deaths) AS BIGINT) || ']' FROM registry)])
+        UNION ALL SELECT 'default_features', 0, unnest(['risk_lag_5m', 'road_is_s5']), unnest(['0.25', '1'])
+        UNION ALL SELECT 'validation', 0, 'contract', (SELECT '{{"cases":' || count(*) || ',"passed":true}}' FROM cases)""",
+    integers="item",
+)
+def document_sections(spark, sf):
+    """The sections of the document whose keys vary, one long table each."""
+    tables = files.document_sections(spark, _document(spark, sf))
+    return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("section"), "*") for name, t in tables.items()])
+
+
 # --- audit ------------------------------------------------------------------------------------------------------
 
 

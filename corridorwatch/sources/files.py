@@ -12,8 +12,8 @@ from corridorwatch.functions.columns import cyclic, finite_or, lookup, minute_of
 from corridorwatch.functions.ranking import running_ids
 
 
-def _by_month(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("month", T.IntegerType(), True)])
+def _partitioned(schema: T.StructType, names: list[str]) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, T.IntegerType(), True) for n in names]])
 
 
 def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -31,16 +31,21 @@ def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def scan_panel_months(
-    spark: SparkSession, path: str, months: list[int] | None = None, fmt: str = "parquet"
+    spark: SparkSession, path: str, months: list[int] | None = None, fmt: str = "parquet", year: int | None = None
 ) -> DataFrame:
     """The panel below ``path``, partitioned by ``month``; only the months asked for are read.
 
-    Parquet is read with the typed schema; CSV cells stay text for ``typed_panel``.
+    With ``year`` the folder is partitioned by year and month, as ``write_month_tables`` leaves
+    it, and only that year is read; several years in a folder need it, or their months
+    would mix. Parquet is read with the typed schema; CSV cells stay text for ``typed_panel``.
     """
+    names = ["month"] if year is None else ["year", "month"]
     if fmt == "csv":
-        df = csv_text(spark, path, [*schemas.PANEL_TEXT.fieldNames(), "month"]).withColumn("month", F.col("month").cast("int"))
+        df = csv_text(spark, path, [*schemas.PANEL_TEXT.fieldNames(), *names]).withColumns({n: F.col(n).cast("int") for n in names})
     else:
-        df = spark.read.schema(_by_month(schemas.PANEL)).format(fmt).load(path)
+        df = spark.read.schema(_partitioned(schemas.PANEL, names)).format(fmt).load(path)
+    if year is not None:
+        df = df.where(F.col("year") == year)
     if months is not None:
         df = df.where(F.col("month").isin(months))
     return df
@@ -92,6 +97,32 @@ def scan_snapshot(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Sections of the document whose keys vary; the first ones are lists of objects.
+LISTED_SECTIONS, KEYED_SECTIONS = (
+    ["cases", "route_series"],
+    ["metrics", "selected_case", "default_features", "model", "benchmarks.noninferiority", "optimization", "validation", "evidence"],
+)
+
+
+def document_sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A table (item, field, value) for every section whose keys vary, read as VARIANT.
+
+    ``item`` is the place in a list, 0 for a section that is one object; ``value`` is the JSON of the field, a
+    text without its quotes. Sections that a document lacks have no rows.
+    """
+    doc = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("doc"))
+    tables = {}
+    for name in [*LISTED_SECTIONS, *KEYED_SECTIONS]:
+        if name in LISTED_SECTIONS:
+            items = doc.select(F.posexplode(F.variant_get("doc", f"$.{name}", "array<variant>")).alias("item", "object"))
+            fields = items.select("item", F.explode(F.variant_get("object", "$", "map<string,variant>")).alias("field", "v"))
+        else:
+            fields = doc.select(F.lit(0).alias("item"), F.explode(F.variant_get("doc", f"$.{name}", "map<string,variant>")).alias("field", "v"))
+        plain = F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.to_json("v"))
+        tables[name] = fields.select("item", "field", plain.alias("value"))
+    return tables
+
+
 def scan_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The snapshot document as tables: overview, pipeline, watchlist, models, policies."""
     doc = spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)

@@ -191,10 +191,15 @@ FLAG_TYPE = "high-consequence accident type"
 FLAG_INJURY = "reported serious injury"
 FLAG_FATAL = "reported fatality"
 FLAG_VEHICLE = "key passenger or hazardous vehicle"
+SEVERITY_REASON = (
+    "Only 7 of 306 historical events are general/major; automated severity classification is not statistically reliable."
+)
 BAND_HIGH, BAND_LOW = "potentially_general_or_higher", "minor_or_uncertain"
 
 # --- fixed values: policy library ---------------------------------------------------
 POLICY_VERSION = "1.0"
+REVIEW_NOTE = "依据冻结政策库和安全门生成；未调用外部模型。"
+SCORE_SEMANTICS = "监督分数用于候选复核；校准概率仅作诊断，不直接替代人工处置判断。"
 POLICY_PRINCIPLES = [
     "Verify by CCTV or patrol before irreversible control.",
     "Protect the upstream queue tail before optimizing throughput.",
