@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch.functions.columns import logit
 from corridorwatch.functions.rows import with_row
+from corridorwatch.session import new_path
 
 MISSING = "__missing_"
 
@@ -43,27 +46,58 @@ def score_models(df: DataFrame, scorers: dict, keep: list[str]) -> DataFrame:
     )
 
 
-def fit_platt(df: DataFrame, score: str, label: str, strength: float, rows: int | None = None):
-    """Logistic fit on the log-odds; ``strength`` is the inverse penalty of the summed loss."""
-    n = rows if rows is not None else df.count()
-    data = df.select(logit(F.col(score)).alias("__logit"), F.col(label).cast("double").alias("__y"))
-    lr = LogisticRegression(
-        featuresCol="__features",
-        labelCol="__y",
-        standardization=False,
-        elasticNetParam=0.0,
-        regParam=1.0 / (strength * max(n, 1)),
-        maxIter=1000,
-        tol=1e-9,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=["__logit"], outputCol="__features"), lr]).fit(data)
+@dataclass(frozen=True)
+class Platt:
+    """Calibrated probability = 1 / (1 + exp(-(intercept + coefficient * log-odds of the score)))."""
+
+    coefficient: float
+    intercept: float
+
+    def probability(self, score: Column) -> Column:
+        return 1.0 / (1.0 + F.exp(-(F.lit(self.intercept) + F.lit(self.coefficient) * logit(score))))
 
 
-def apply_platt(model, df: DataFrame, score: str, name: str) -> DataFrame:
+def fit_platt(df: DataFrame, score: str, label: str, strength: float) -> Platt:
+    """Logistic fit on the log-odds; ``strength`` is the inverse penalty of the summed loss, the intercept is free.
+
+    Rows are reduced to counts per score once; every Newton step is one aggregate over the counts,
+    of which six numbers come back. A step that raises the loss is halved. A table of one
+    class, or none, gets a constant: the rate of positives with one row of each class added.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "platt-counts")
+    y = F.col(label).cast("double")
+    known = df.select(logit(F.col(score)).alias("x"), y.alias("y")).dropna()
+    known.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("pos")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    n, pos = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("pos"), F.lit(0.0))).first()
+    if not 0 < pos < n:
+        return Platt(0.0, math.log((pos + 1) / (n - pos + 1)))
+    a, b, step, loss = math.log(pos / (n - pos)), 0.0, (0.0, 0.0), math.inf
+    for _ in range(100):
+        z = F.lit(a + step[0]) + F.lit(b + step[1]) * F.col("x")
+        p = 1.0 / (1.0 + F.exp(-z))
+        h = F.col("n") * p * (1.0 - p)
+        error = F.col("n") * p - F.col("pos")
+        softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        terms = [F.col("n") * softplus - F.col("pos") * z, error, error * F.col("x"), h, h * F.col("x"), h * F.col("x") * F.col("x")]
+        value, ga, gb, haa, hab, hbb = counts.agg(*[F.sum(t) for t in terms]).first()
+        value += (b + step[1]) ** 2 / (2 * strength)
+        if value > loss * (1 + 1e-14):
+            step = (step[0] / 2, step[1] / 2)
+            continue
+        if max(map(abs, step)) < 1e-12 and loss < math.inf:
+            break
+        a, b, loss = a + step[0], b + step[1], value
+        gb, hbb = gb + b / strength, hbb + 1 / strength
+        det = haa * hbb - hab * hab
+        step = ((hab * gb - hbb * ga) / det, (hab * ga - haa * gb) / det)
+    return Platt(b, a)
+
+
+def apply_platt(model: Platt, df: DataFrame, score: str, name: str) -> DataFrame:
     """Calibrated probability as a plain column expression of the fitted line."""
-    lr = model.stages[-1]
-    z = F.lit(float(lr.intercept)) + F.lit(float(lr.coefficients[0])) * logit(F.col(score))
-    return df.withColumn(name, 1.0 / (1.0 + F.exp(-z)))
+    return df.withColumn(name, model.probability(F.col(score)))
 
 
 def type_inputs(df: DataFrame, numeric: list[str], categorical: list[str], stats: DataFrame) -> DataFrame:

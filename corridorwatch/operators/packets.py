@@ -22,7 +22,6 @@ def _time_text(c: str) -> Column:
 
 def memory_struct() -> Column:
     """Compact temporal and spatial memory of a featured row."""
-    spatial = [c for c in V.SPATIAL_SUMMARY[:9] if c not in ("neighborhood_mean_500m", "neighborhood_std_500m")]
     return _struct(
         current_stage1_probability=F.col(V.RISK),
         past_30min=_struct(
@@ -31,7 +30,7 @@ def memory_struct() -> Column:
             mean=F.col("risk_mean_past_30m"),
             change=F.col("risk_change_30m"),
         ),
-        directed_spatial_context=F.struct(*spatial),
+        directed_spatial_context=F.struct(*V.MEMORY_SPATIAL),
     )
 
 

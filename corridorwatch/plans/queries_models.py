@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
-from corridorwatch.operators import boosting, metrics, models
+from corridorwatch.functions.ranking import top_n_per_group
+from corridorwatch.operators import boosting, costs, metrics, models, sites
 from corridorwatch.plans import staging, training
 from corridorwatch.plans.registry import query
 from corridorwatch.session import new_path
@@ -75,15 +76,82 @@ def score_models(spark, sf):
     return training.evaluate_study(spark.read.parquet(path), testbed.SPLITS)
 
 
-@query("platt")
+def _newton(rows: str, score: str, label: str, strength: float) -> str:
+    """The calibration line in SQL: Newton steps of the penalised logistic loss over plain rows."""
+    return f"""(WITH RECURSIVE given AS (
+          SELECT ln(p / (1 - p)) AS x, y FROM (SELECT least(greatest({score}, 1e-6), 1 - 1e-6) AS p, {label} AS y FROM ({rows}))
+        ), steps(k, a, b) AS (
+          SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+          UNION ALL
+          SELECT k + 1, a + (hab * gb - hbb * ga) / (haa * hbb - hab * hab), b + (hab * ga - haa * gb) / (haa * hbb - hab * hab)
+          FROM (SELECT k, a, b, sum(p - y) AS ga, sum((p - y) * x) + b / {strength} AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * x) AS hab,
+                       sum(p * (1 - p) * x * x) + CAST(1 AS DOUBLE) / {strength} AS hbb
+                FROM (SELECT k, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM steps, given) GROUP BY k, a, b)
+          WHERE k < 20)
+        SELECT a, b FROM steps WHERE k = 20)"""
+
+
+_LINE = _newton("SELECT * FROM sites WHERE decision_window < TIMESTAMP '2025-09-02'", "student_score", "actual_positive", 10)
+_FITTED = f"""SELECT s.*, 1 / (1 + exp(-(a + b * ln(least(greatest(student_score, 1e-6), 1 - 1e-6) / (1 - least(greatest(student_score, 1e-6), 1 - 1e-6)))))) AS fitted
+              FROM sites s, {_LINE}"""
+
+
+@query(
+    "platt",
+    f"""SELECT count(*) AS site_count, sum(actual_positive) AS positive_sites, avg(actual_positive) AS positive_rate, avg(student_score) AS raw_score_mean,
+               avg(fitted) AS calibrated_probability_mean, avg((student_score - actual_positive) ** 2) AS raw_brier, avg((fitted - actual_positive) ** 2) AS calibrated_brier
+        FROM ({_FITTED}) WHERE decision_window >= TIMESTAMP '2025-09-02'""",
+    doubles="positive_rate raw_score_mean calibrated_probability_mean raw_brier calibrated_brier",
+    integers="positive_sites",
+)
 def platt(spark, sf):
-    """Site calibration fitted before September 2, applied to the rest."""
-    table = staging.site_table(spark, sf).drop("calibrated_probability", "robust_probability")
-    cut = F.col("decision_window") < F.lit("2025-09-02").cast("timestamp_ntz")
-    model = models.fit_platt(table.where(cut), "student_score", "actual_positive", strength=10.0)
-    from corridorwatch.operators.sites import calibration_summary
+    """Site calibration fitted before September 2, summed up on the rest."""
+    return sites.calibration_summary(staging.fitted_sites(spark, sf).where(~staging.calibration_part()))
+
+
+@query(
+    "site_probability_fitted",
+    f"""SELECT site_id, fitted AS calibrated_probability, least(greatest(fitted - CAST(0.03 AS DOUBLE), 0.0), 1.0) AS robust_probability FROM ({_FITTED})""",
+    doubles="calibrated_probability robust_probability",
+)
+def site_probability_fitted(spark, sf):
+    return staging.fitted_sites(spark, sf).select("site_id", "calibrated_probability", "robust_probability")
+
+
+@query(
+    "dispatch_ranking_fitted",
+    f"""SELECT site_id, warning_cost FROM (
+          SELECT site_id, decision_window, 1.0 + (1 - fitted) * 0.5 - fitted * 5000 * 0.1 AS warning_cost FROM ({_FITTED}))
+        WHERE warning_cost < 0
+        QUALIFY row_number() OVER (PARTITION BY decision_window ORDER BY round(warning_cost, 9), site_id) <= 8""",
+    doubles="warning_cost",
+)
+def dispatch_ranking_fitted(spark, sf):
+    """Warnings of every window that the fitted probability pays for, at the middle scenario."""
+    priced = costs.incremental_cost(staging.fitted_sites(spark, sf)).where("scenario = 'loss_cost_ratio_5000' AND warning_cost < 0")
+    best = top_n_per_group(priced, ["decision_window"], [F.round("warning_cost", 9), F.col("site_id")], 8, ["site_id"])
+    return best.select("site_id", "warning_cost")
 
-    return calibration_summary(models.apply_platt(model, table.where(~cut), "student_score", "calibrated_probability"))
+
+@query(
+    "platt_rows",
+    f"""SELECT split, count(*) AS rows, avg(student) AS raw_score_mean, avg(p) AS calibrated_probability_mean,
+               avg((student - target_event_30m) ** 2) AS raw_brier, avg((p - target_event_30m) ** 2) AS calibrated_brier
+        FROM (SELECT c.*, 1 / (1 + exp(-(a + b * ln(least(greatest(student, 1e-6), 1 - 1e-6) / (1 - least(greatest(student, 1e-6), 1 - 1e-6)))))) AS p
+              FROM context c, {_newton("SELECT * FROM context WHERE split = 'validation'", "student", "target_event_30m", 100)})
+        WHERE split IN ('validation', 'test') GROUP BY split""",
+    doubles="raw_score_mean calibrated_probability_mean raw_brier calibrated_brier",
+)
+def platt_rows(spark, sf):
+    """Row-level calibration fitted on the validation rows."""
+    df = staging.context(spark, sf)
+    model = models.fit_platt(df.where("split = 'validation'"), "score_distilled_student", "target_event_30m", staging.ROW_STRENGTH)
+    y, s, p = F.col("target_event_30m"), F.col("score_distilled_student"), F.col("p")
+    scored = models.apply_platt(model, df.where("split <> 'train'"), "score_distilled_student", "p")
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(s).alias("raw_score_mean"), F.avg(p).alias("calibrated_probability_mean"),
+        F.avg((s - y) ** 2).alias("raw_brier"), F.avg((p - y) ** 2).alias("calibrated_brier"),
+    )
 
 
 @query("fit_type")

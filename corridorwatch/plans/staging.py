@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridorwatch.session import new_path
-from corridorwatch.operators import dispatch, dispatch_evaluation, labels, sites
+from corridorwatch.operators import dispatch, dispatch_evaluation, labels, models, sites
 from corridorwatch.operators.candidates import stratified_sample
 from corridorwatch.plans import build
 from corridorwatch.sources import testbed
 
+#: Inverse penalties of the calibration of sites and of rows.
+SITE_STRENGTH, ROW_STRENGTH = 10.0, 100.0
+
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -86,6 +89,22 @@ def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "sites", make)
 
 
+def fitted_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with the probability that a calibration fitted on the earlier windows gives them."""
+
+    def make() -> DataFrame:
+        table = site_table(spark, sf_dir).drop("calibrated_probability", "robust_probability")
+        model = models.fit_platt(table.where(calibration_part()), "student_score", "actual_positive", SITE_STRENGTH)
+        return sites.add_robust_probability(models.apply_platt(model, table, "student_score", "calibrated_probability"))
+
+    return staged(spark, sf_dir, "fitted_sites", make)
+
+
+def calibration_part() -> Column:
+    """Site windows that the calibration is fitted on; it is served on the later ones."""
+    return F.col("decision_window") < F.lit("2025-09-02").cast("timestamp_ntz")
+
+
 def pick_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks of all acting strategies."""
     return staged(spark, sf_dir, "picks", lambda: dispatch.all_picks(site_table(spark, sf_dir)))

@@ -22,7 +22,18 @@ TEMPORAL = [
     "risk_change_30m",
     "risk_acceleration",
 ]
-NEIGHBOUR_CELLS = [f"{side}_risk_{100 * k}m" for side in ("upstream", "downstream") for k in range(1, 6)]
+NEIGHBOUR_CELLS = [
+    "upstream_risk_100m",
+    "upstream_risk_200m",
+    "upstream_risk_300m",
+    "upstream_risk_400m",
+    "upstream_risk_500m",
+    "downstream_risk_100m",
+    "downstream_risk_200m",
+    "downstream_risk_300m",
+    "downstream_risk_400m",
+    "downstream_risk_500m",
+]
 SPATIAL_SUMMARY = [
     "upstream_mean_300m",
     "upstream_max_300m",
@@ -56,7 +67,16 @@ STUDENT = [
     "risk_mean_past_30m",
     "risk_change_5m",
     "risk_change_30m",
-    *SPATIAL_SUMMARY[:10],
+    "upstream_mean_300m",
+    "upstream_max_300m",
+    "downstream_mean_300m",
+    "downstream_max_300m",
+    "neighborhood_mean_500m",
+    "neighborhood_max_500m",
+    "neighborhood_std_500m",
+    "high_risk_cells_500m",
+    "spatial_gradient_600m",
+    "center_neighbor_contrast",
     "direction_code",
     "road_is_s5",
     "hour_sin",
@@ -213,6 +233,15 @@ SEVERITY_REVIEW = {
 }
 
 # --- fixed values: packets ---------------------------------------------------------
+MEMORY_SPATIAL = [
+    "upstream_mean_300m",
+    "upstream_max_300m",
+    "downstream_mean_300m",
+    "downstream_max_300m",
+    "neighborhood_max_500m",
+    "high_risk_cells_500m",
+    "spatial_gradient_600m",
+]
 CONFIRM_INSTRUCTION = (
     "Using only the supplied current-and-past evidence, confirm the suspected road event, "
     "infer type and severity, and return targeted management actions."

@@ -1,12 +1,16 @@
 """Model fits: every variant runs, scores stay in range, calibration follows the score."""
 
 import json
+import math
 from dataclasses import replace
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
+from corridorwatch.functions.columns import logit
 from corridorwatch.operators import boosting, labels, models
 from corridorwatch.operators.candidates import registry_split
 from corridorwatch.plans import replay, staging, training
@@ -87,6 +91,30 @@ def test_calibration_rises_with_the_score(spark):
     assert sum(r.p for r in out) == pytest.approx(sum(r.y for r in out), rel=0.02)
 
 
+@pytest.mark.parametrize("strength", [0.01, 10.0, 1e6])
+def test_calibration_on_counts_equals_the_fit_on_rows(spark, strength):
+    """The line that MLlib finds on all rows, with the same penalty."""
+    score = F.pmod(F.xxhash64("id"), F.lit(97)) / 97
+    df = spark.range(4000).select(score.alias("s"), (F.pmod(F.xxhash64(F.col("id") + 5), F.lit(1000)) / 1000 < F.pow(score, F.lit(1.7))).cast("int").alias("y"))
+    data = df.select(logit(F.col("s")).alias("x"), F.col("y").cast("double").alias("y"))
+    lr = LogisticRegression(featuresCol="f", labelCol="y", standardization=False, regParam=1.0 / (strength * 4000), maxIter=1000, tol=1e-13)
+    want = lr.fit(VectorAssembler(inputCols=["x"], outputCol="f").transform(data))
+    got = models.fit_platt(df, "s", "y", strength)
+    assert (got.coefficient, got.intercept) == pytest.approx((want.coefficients[0], want.intercept), abs=1e-6)
+
+
+def test_calibration_of_one_class_is_a_constant(spark):
+    df = spark.createDataFrame([(0.2, 0), (0.9, 0), (None, 1), (0.4, None)], "s double, y int")
+    assert models.fit_platt(df, "s", "y", 10.0) == models.Platt(0.0, pytest.approx(math.log(1 / 3)))
+    assert models.fit_platt(df.limit(0), "s", "y", 10.0) == models.Platt(0.0, 0.0)
+
+
+def test_calibration_of_separated_classes(spark):
+    df = spark.createDataFrame([(0.01 * i, int(i > 50)) for i in range(1, 100)], "s double, y int")
+    model = models.fit_platt(df, "s", "y", 100.0)
+    assert model.coefficient > 3 and models.apply_platt(model, df, "s", "p").where("(p > 0.5) <> (y = 1)").count() <= 2
+
+
 def test_type_model_feeds_the_replay(spark, sf_dir, context):
     registry = files.registry_cyclic(testbed.registry(spark, sf_dir).drop("predicted_type"))
     registry = registry.withColumn("split", registry_split(testbed.SPLITS))
