@@ -90,6 +90,26 @@ def running_totals(
     )
 
 
+def carried_lag(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """``value`` of the row before, in ``order``, without one task per key.
+
+    ``block`` cuts a key's rows into ranges of that order. Inside a range the row before is a
+    window's; the first row of a range gets the last value of the nearest earlier range
+    that has rows, handed over in a table of one row per range.
+    """
+    cut = "__block"
+    ranged = df.withColumn(cut, block)
+    inner = Window.partitionBy(*keys, cut).orderBy(*order)
+    lasts = ranged.groupBy(*keys, cut).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    lasts = lasts.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*keys).orderBy(cut))).drop("__last")
+    marked = ranged.withColumns({name: F.lag(value).over(inner), "__first": F.row_number().over(inner) == 1})
+    match = F.lit(True)
+    for k in [*keys, cut]:
+        match = match & F.col(f"m.{k}").eqNullSafe(F.col(f"l.{k}"))
+    carried = F.when(F.col("__first"), F.col("l.__carried")).otherwise(F.col(f"m.{name}"))
+    return marked.alias("m").join(lasts.alias("l"), match).select(*[F.col(f"m.`{c}`") for c in df.columns], carried.alias(name))
+
+
 def running_ids(df: DataFrame, levels: list[str], order: list[Column], name: str) -> DataFrame:
     """1, 2, 3 ... over the whole table in the order of ``levels`` and then ``order``."""
     one = "__one"

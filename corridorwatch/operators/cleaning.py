@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from corridorwatch import vocabulary as V
 from corridorwatch.functions.columns import clip, coerce_numeric, coerce_timestamp
-
-NUMERIC = ["direction_code", "stake", "accident_label", "accident_level", *V.COMPONENTS]
-KEYS = ["segment_id", "bin5", "road_code", "direction_code", "stake", V.RISK]
-
+from corridorwatch.functions.ranking import carried_lag
 
 def typed_panel(text: DataFrame) -> DataFrame:
     """Text cells to typed columns; bad numbers are NULL, bad times drop the row."""
-    df = coerce_timestamp(coerce_numeric(text, NUMERIC), "bin5")
+    df = coerce_timestamp(coerce_numeric(text, V.PANEL_NUMERIC), "bin5")
     integers = ["direction_code", "accident_label", "accident_level"]
     return df.withColumns({c: F.col(c).cast("int") for c in integers}).withColumn(
         "source_row", F.col("source_row").try_cast("long")
@@ -29,7 +26,7 @@ def invalid_event() -> Column:
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    return df.dropna(subset=KEYS)
+    return df.dropna(subset=V.PANEL_REQUIRED)
 
 
 def demote_invalid_events(df: DataFrame) -> DataFrame:
@@ -90,12 +87,18 @@ def grain_duplicates(df: DataFrame) -> DataFrame:
     )
 
 
-def out_of_order_chunks(df: DataFrame, chunk: Column) -> DataFrame:
-    """Ingest chunks whose first time is before the previous chunk's last time."""
-    spans = df.groupBy(chunk.alias("chunk_id")).agg(
+#: Ingest chunks whose order one task looks at.
+CHUNKS_PER_RANGE = 1024
+
+
+def out_of_order_chunks(df: DataFrame, chunk: Column, keys: list[str] | None = None) -> DataFrame:
+    """Ingest chunks whose first time is before the previous chunk's last time, per ``keys``.
+
+    ``chunk`` is a number that rises in reading order; ranges of it are looked at apart.
+    """
+    keys = keys or []
+    spans = df.groupBy(*keys, chunk.alias("chunk_id")).agg(
         F.min("bin5").alias("chunk_min"), F.max("bin5").alias("chunk_max"), F.count(F.lit(1)).alias("chunk_rows")
     )
-    # One row per ingest chunk (500 000 panel rows each), so this window stays small.
-    w = Window.partitionBy(F.lit(0)).orderBy("chunk_id")
-    previous = F.lag("chunk_max").over(w)
-    return spans.withColumn("out_of_order", F.coalesce(F.col("chunk_min") < previous, F.lit(False)))
+    ordered = carried_lag(spans, keys, F.floor(F.col("chunk_id") / CHUNKS_PER_RANGE), ["chunk_id"], "chunk_max", "__previous")
+    return ordered.withColumn("out_of_order", F.coalesce(F.col("chunk_min") < F.col("__previous"), F.lit(False))).drop("__previous")

@@ -9,7 +9,7 @@ from corridorwatch import schemas
 from corridorwatch import vocabulary as V
 from corridorwatch.functions import columns as C
 from corridorwatch.operators import candidates, cleaning, features, labels, profiling, topology
-from corridorwatch.plans import build, staging
+from corridorwatch.plans import build, oracle, staging
 from corridorwatch.plans.registry import query
 from corridorwatch.session import new_path
 from corridorwatch.sources import files, sinks, testbed
@@ -383,6 +383,9 @@ SELECT segment_id, bin5, candidate_source FROM (
 WHERE rn <= CASE candidate_source WHEN 'hard_negative' THEN {0} ELSE {1} END"""
 
 
+oracle.CTES["drawn_candidates"] = f"SELECT c.* FROM context c JOIN ({_SAMPLE.format(600, 200)}) s ON c.segment_id = s.segment_id AND c.bin5 = s.bin5"
+
+
 @query("stratified_sample", _SAMPLE.format(600, 200))
 def stratified_sample(spark, sf):
     df = _labelled(spark, sf)
@@ -493,30 +496,37 @@ _NULLS = [("risk", V.RISK), ("up3", "upstream_mean_300m"), ("down3", "downstream
                count(DISTINCT CASE WHEN target_event_30m = 1 THEN target_event_id END) AS target_event_count,
                count(DISTINCT segment_id) AS segment_count,
                {", ".join(f"avg(CASE WHEN {a} IS NULL THEN 1.0 ELSE 0.0 END) AS null_rate_{c}" for a, c in _NULLS)},
-               count(*) - count(DISTINCT (segment_id, bin5)) AS candidate_grain_duplicates FROM context""",
+               count(*) - count(DISTINCT (segment_id, bin5)) AS candidate_grain_duplicates FROM drawn_candidates""",
     doubles="candidate_positive_rate " + " ".join(f"null_rate_{c}" for _, c in _NULLS),
     integers="candidate_positive_rows",
 )
 def panel_profile(spark, sf):
-    return profiling.panel_profile(staging.context(spark, sf))
+    return profiling.panel_profile(*staging.month_facts(spark, sf))
 
 
 @query(
     "month_summary",
     """SELECT r.*, coalesce(c.candidate_rows, 0) AS candidate_rows, coalesce(c.positive_candidate_rows, 0) AS positive_candidate_rows,
-              coalesce(c.segment_count, 0) AS segment_count, coalesce(e.event_count, 0) AS event_count
+              coalesce(c.segment_count, 0) AS segment_count, coalesce(e.event_count, 0) AS event_count,
+              coalesce(c.duplicates, 0) AS grain_duplicate_rows_in_candidates, coalesce(o.disorder, 0) AS monotonic_chunk_violations
        FROM (SELECT source_month, count(*) AS raw_rows, count(*) FILTER (WHERE off) AS off_month_rows_excluded,
                     count(*) FILTER (WHERE NOT off AND accident_label > 0 AND accident_id = '0') AS invalid_event_labels_excluded,
                     count(DISTINCT CASE WHEN NOT off THEN CAST(bin5 AS DATE) END) AS processed_days
              FROM (SELECT *, strftime(bin5, '%Y-%m') <> source_month AS off FROM raw) GROUP BY source_month) r
        LEFT JOIN (SELECT source_month, count(*) AS candidate_rows, sum(target_event_30m) AS positive_candidate_rows,
-                         count(DISTINCT segment_id) AS segment_count FROM context GROUP BY source_month) c USING (source_month)
+                         count(DISTINCT segment_id) AS segment_count, count(*) - count(DISTINCT (segment_id, bin5)) AS duplicates
+                  FROM drawn_candidates GROUP BY source_month) c USING (source_month)
+       LEFT JOIN (SELECT source_month, count(*) FILTER (WHERE first_bin < before) AS disorder FROM (
+                    SELECT source_month, first_bin, lag(last_bin) OVER (PARTITION BY source_month ORDER BY chunk_id) AS before FROM (
+                      SELECT source_month, source_row // 100 AS chunk_id, min(bin5) AS first_bin, max(bin5) AS last_bin FROM raw GROUP BY ALL))
+                  GROUP BY source_month) o USING (source_month)
        LEFT JOIN (SELECT source_month, count(DISTINCT accident_id) AS event_count FROM accidents GROUP BY source_month) e USING (source_month)""",
     integers="positive_candidate_rows",
 )
 def month_summary(spark, sf):
     events = labels.accident_events(staging.panel(spark, sf))
-    return profiling.month_summary(testbed.raw_panel(spark, sf), staging.context(spark, sf), events)
+    facts, _ = staging.month_facts(spark, sf)
+    return profiling.month_summary(testbed.raw_panel(spark, sf), facts, events, F.floor(F.col("source_row") / 100))
 
 
 @query("distinct_rows", "SELECT DISTINCT road_code, direction_code FROM panel", integers="direction_code")
@@ -572,9 +582,9 @@ def sink_tables(spark, sf):
 @query(
     "sink_summary_json",
     """SELECT count(*) AS candidate_rows, avg(target_event_30m) AS candidate_positive_rate,
-              count(DISTINCT CASE WHEN target_event_30m = 1 THEN target_event_id END) AS target_event_count FROM context""",
+              count(DISTINCT CASE WHEN target_event_30m = 1 THEN target_event_id END) AS target_event_count FROM drawn_candidates""",
     doubles="candidate_positive_rate",
 )
 def sink_summary_json(spark, sf):
-    path = sinks.write_summary_json(profiling.panel_profile(staging.context(spark, sf)), new_path(spark, "summary"))
+    path = sinks.write_summary_json(profiling.panel_profile(*staging.month_facts(spark, sf)), new_path(spark, "summary"))
     return spark.read.schema("candidate_rows long, candidate_positive_rate double, target_event_count long").json(path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridorwatch.session import new_path
-from corridorwatch.operators import dispatch, dispatch_evaluation, labels, models, sites
+from corridorwatch.operators import dispatch, dispatch_evaluation, labels, models, profiling, sites
 from corridorwatch.operators.candidates import stratified_sample
 from corridorwatch.plans import build
 from corridorwatch.sources import testbed
@@ -78,6 +78,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "candidates", make, by="panel_date").drop("panel_date")
 
 
+def month_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of the candidates per month and segment, and the target events per month."""
+    facts = staged(spark, sf_dir, "month_facts", lambda: profiling.month_facts(candidates(spark, sf_dir)))
+    return facts, staged(spark, sf_dir, "month_events", lambda: profiling.month_events(candidates(spark, sf_dir)))
+
+
 def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered sites with calibrated and robust probability."""
 

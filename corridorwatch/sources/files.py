@@ -57,6 +57,10 @@ def scan_registry(spark: SparkSession, path: str, year: int) -> DataFrame:
     return registry_columns(raw, year)
 
 
+#: Registry numbers that one task brings into order.
+IDS_PER_RANGE = 10_000
+
+
 def registry_columns(raw: DataFrame, year: int) -> DataFrame:
     df = raw.select([F.col(f"`{h}`").alias(c) for h, c in V.REGISTRY_HEADERS.items()])
     numbers = [
@@ -73,9 +77,11 @@ def registry_columns(raw: DataFrame, year: int) -> DataFrame:
             "direction_code": lookup(V.DIRECTION_TEXT, F.col("direction")),
         }
     ).withColumn("accident_stake_m", F.col("stake_km") * 1000.0)
-    df = df.where(F.year("occurred_at") == year).withColumn("__day", F.to_date("occurred_at"))
-    numbered = running_ids(df, ["__day"], [F.col("occurred_at"), F.col("registry_id")], "registry_row")
-    return numbered.drop("__day").withColumn("registry_row", F.col("registry_row") - 1)
+    # ranges by day, by time and by number: a crowded day or minute is spread over tasks
+    ranges = {"__day": F.to_date("occurred_at"), "__time": F.col("occurred_at"), "__ids": F.floor(F.col("registry_id") / IDS_PER_RANGE)}
+    df = df.where(F.year("occurred_at") == year).withColumns(ranges)
+    numbered = running_ids(df, list(ranges), [F.col("registry_id")], "registry_row")
+    return numbered.drop(*ranges).withColumn("registry_row", F.col("registry_row") - 1)
 
 
 def registry_cyclic(registry: DataFrame) -> DataFrame:

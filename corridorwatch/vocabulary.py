@@ -22,6 +22,19 @@ TEMPORAL = [
     "risk_change_30m",
     "risk_acceleration",
 ]
+PANEL_NUMERIC = [
+    "direction_code",
+    "stake",
+    "accident_label",
+    "accident_level",
+    "current_risk_probability",
+    "collision_risk_value",
+    "v4_main_dynamic_probability",
+    "v4_static_collision_probability",
+    "v4_main_adaptive_dynamic_weight",
+    "v4_model_accident_probability",
+]
+PANEL_REQUIRED = ["segment_id", "bin5", "road_code", "direction_code", "stake", "v4_model_accident_probability"]
 NEIGHBOUR_CELLS = [
     "upstream_risk_100m",
     "upstream_risk_200m",

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from corridorwatch import schemas
 from corridorwatch import vocabulary as V
 from corridorwatch.config import BuildConfig
+from corridorwatch.functions import ranking
 from corridorwatch.operators import candidates, cleaning, features, labels, topology
 from corridorwatch.plans import build
+from corridorwatch.sources import files
 
 T0 = dt.datetime(2025, 3, 10, 0, 0)
 
@@ -174,3 +176,35 @@ def test_chunked_adjacency_equals_whole_adjacency(spark, chunk_m):
         return sorted(map(str, topology.segment_adjacency(segments, m).collect()))
 
     assert table(chunk_m) == table(1e9)
+
+
+def test_lag_is_carried_over_ranges(spark):
+    """A third of the rows in one range, empty ranges between others, and keys that are null."""
+    rows = [(k, i, i * 7 % 11) for k in ("a", None) for i in [*range(300), 5000, 5001, 90_000]]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = ranking.carried_lag(df, ["k"], F.floor(F.col("i") / 100), ["i"], "v", "before").collect()
+    want, last = {}, {}
+    for k, i, v in rows:
+        want[k, i], last[k] = last.get(k), v
+    assert {(r.k, r.i): r.before for r in got} == want
+
+
+def test_chunks_out_of_order_per_month(spark):
+    at = lambda m: dt.datetime(2025, 9, 1) + dt.timedelta(minutes=m)
+    rows = [("8", 0, at(0)), ("8", 0, at(10)), ("8", 1, at(5)), ("9", 1023, at(9)), ("9", 1024, at(3)), ("9", 3000, at(4))]
+    df = spark.createDataFrame(rows, "source_month string, c long, bin5 timestamp_ntz")
+    got = cleaning.out_of_order_chunks(df, F.col("c"), ["source_month"]).where("out_of_order").collect()
+    assert {(r.source_month, r.chunk_id) for r in got} == {("8", 1), ("9", 1024)}
+
+
+def test_registry_rows_of_one_crowded_day(spark, monkeypatch):
+    """Numbers follow time and id, with a third of the rows at one time."""
+    monkeypatch.setattr(files, "IDS_PER_RANGE", 50)
+    times = ["2025-03-01 00:00:00"] * 300 + [f"2025-0{1 + i % 9}-11 0{i % 10}:00:00" for i in range(600)] + ["2024-01-01 00:00:00", "bad"]
+    numbered = list(enumerate(times))
+    heads = {c: h for h, c in V.REGISTRY_HEADERS.items()}
+    df = spark.createDataFrame([(str(i * 37 % 902), t) for i, t in numbered], "i string, t string")
+    raw = df.select(*[F.col("i").alias(h) if c == "registry_id" else F.col("t").alias(h) if c == "occurred_at" else F.lit(None).cast("string").alias(h) for c, h in heads.items()])
+    got = {r.registry_id: r.registry_row for r in files.registry_columns(raw, 2025).collect()}
+    order = sorted((t, i * 37 % 902) for i, t in numbered if t.startswith("2025"))
+    assert got == {i: n for n, (_, i) in enumerate(order)}
