@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corridorwatch.functions.columns import logit
 from corridorwatch.functions.rows import with_row
+from corridorwatch.functions.selection import exact_medians, exact_modes
 from corridorwatch.session import new_path
 
 MISSING = "__missing_"
@@ -116,9 +117,10 @@ def type_inputs(df: DataFrame, numeric: list[str], categorical: list[str], stats
 
 def type_statistics(train: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """One row: medians, modes, and the categories seen at least twice."""
-    row = train.agg(
-        *[F.median(F.col(c).cast("double")).alias(f"__median_{c}") for c in numeric],
-        *[F.mode(F.col(c).cast("string"), True).alias(f"__mode_{c}") for c in categorical],
+    medians, modes = exact_medians(train, numeric), exact_modes(train, categorical)
+    row = train.sparkSession.range(1).select(
+        *[F.lit(medians[c]).cast("double").alias(f"__median_{c}") for c in numeric],
+        *[F.lit(modes[c]).cast("string").alias(f"__mode_{c}") for c in categorical],
     )
     for c in categorical:
         common = train.groupBy(F.col(c).cast("string").alias("v")).count().where("count >= 2 AND v IS NOT NULL")

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corridorwatch.functions import selection
 from corridorwatch.operators import metrics, multiclass
 
 
@@ -97,3 +98,25 @@ def test_macro_f1_counts_absent_labels_as_zero(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a")], "t string, p string")
     assert multiclass.multiclass_metrics(df, "t", "p", ["a", "b", "c"]).first().macro_f1 == pytest.approx(2 / 3 / 3)
     assert math.isclose(multiclass.multiclass_metrics(df, "t", "p").first().macro_f1, 1 / 3)
+
+
+def test_medians_and_modes_equal_the_aggregates(spark):
+    """Shared values, wide and tiny ranges, even and odd numbers, one value, none, missing ones."""
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_000))
+    df = spark.range(3001).select(
+        (h(1) / 7).alias("a"),
+        F.when(h(2) < 6000, 5.0).otherwise(h(2) * 1.0).alias("b"),
+        F.exp(h(3) / 14.2).alias("c"),
+        F.when(F.col("id") < 10, h(4) * 1e-300).alias("d"),
+        F.lit(3.5).alias("e"),
+        F.lit(None).cast("double").alias("f"),
+        F.when(h(5) % 2 == 0, 1e308).otherwise(-1e308).alias("g"),
+        (h(6) % 5).cast("string").alias("x"),
+        F.when(F.col("id") < 4, (F.col("id") % 2).cast("string")).alias("y"),
+        F.lit(None).cast("string").alias("z"),
+    )
+    numeric, text = list("abcdefg"), list("xyz")
+    for part in (df, df.where("c > 2"), df.limit(0)):
+        want = part.agg(*[F.median(c).alias(c) for c in numeric], *[F.mode(c, True).alias(c) for c in text]).first()
+        got = selection.exact_medians(part, numeric) | selection.exact_modes(part, text)
+        assert got == {c: want[c] for c in [*numeric, *text]}
