@@ -245,44 +245,87 @@ def positive_steps(daily: DataFrame) -> DataFrame:
     )
 
 
+#: Steps that one row of arrays holds.
+STEPS_PER_RANGE = 64
+
+
+def draw_weights(days: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """One row: ``dates`` in order, and per date an array with its weight in every iteration."""
+    drawn = day_draws(days, iterations, seed).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("iteration", "weight"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(iterations - 1))
+    weights = F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    rows = days.join(drawn, "date", "left").select(F.struct("date", weights.alias("w")).alias("r"))
+    ordered = rows.agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return ordered.select(F.transform("r", lambda r: r["date"]).alias("dates"), F.transform("r", lambda r: r["w"]).alias("weights"))
+
+
+def _weighted_ranges(daily: DataFrame, weights: DataFrame, iterations: int) -> DataFrame:
+    """(range, steps): the steps of a range in order, each with arrays ``pos``, ``tie`` and ``neg`` over the iterations."""
+    every = F.sequence(F.lit(0), F.lit(iterations - 1))
+    counted = positive_steps(daily).withColumn("neg", F.col("tie") + F.col("above"))
+    cells = counted.groupBy("step").agg(F.collect_list(F.struct("date", "pos", "tie", "neg")).alias("cells"))
+    placed = with_row(cells, weights).withColumn(
+        "cells", F.transform("cells", lambda c: F.struct(F.array_position("dates", c["date"]).cast("int").alias("d"), c["pos"].alias("pos"), c["tie"].alias("tie"), c["neg"].alias("neg")))
+    )
+
+    def total(name: str) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.transform(every, lambda i: F.aggregate("cells", zero, lambda s, c: s + c[name] * F.get(F.element_at("weights", c["d"]), i)))
+
+    step = F.struct("step", *[total(n).alias(n) for n in ("pos", "tie", "neg")])
+    ranged = placed.select(F.floor(F.col("step") / STEPS_PER_RANGE).alias("range"), step.alias("s"))
+    return ranged.groupBy("range").agg(F.array_sort(F.collect_list("s")).alias("steps"))
+
+
 def bootstrap_samples(df: DataFrame, threshold: float, iterations: int, seed: int) -> DataFrame:
     """PR area, ROC area and F1 of every resample of whole days; one-class draws drop out.
 
     ``df`` has (date, y, score). Rows are first reduced to counts per day and
-    score, then to the steps of the positives; only those are repeated per draw,
-    with the draws as weights.
+    score, then to the steps of the positives. The draws are one weight array per day (days of the
+    test period times iterations), so a step's sums over all resamples are arrays too: what
+    is shuffled are ranges of steps, and one number per range and resample, never rows per draw.
     """
     daily = score_counts(df, ["date"])
-    draws = day_draws(df.select("date").distinct(), iterations, seed)
-    weighted = {c: F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("pos", "tie", "above")}
-    per_step = positive_steps(daily).join(draws, "date").groupBy("iteration", "step").agg(*weighted.values())
-    block = F.floor(F.col("step") / COARSE)
-    steps = running_totals(
-        per_step.withColumns({"__block": block, "neg": F.col("tie") + F.col("above")}),
-        ["iteration"],
-        ["__block"],
-        [F.col("step")],
-        {"pos": "tp", "neg": "fp"},
-    )
-    pos, tp, fp = F.col("pos"), F.col("tp"), F.col("fp")
-    sums = steps.groupBy("iteration").agg(
-        F.sum(pos).alias("p"),
-        F.sum("neg").alias("q"),
-        F.sum(pos * (fp - F.col("tie") / 2.0)).alias("lost"),
-        F.sum(F.when(pos > 0, pos * tp / (tp + fp)).otherwise(0.0)).alias("steps"),
-    )
+    weights = draw_weights(df.select("date").distinct(), iterations, seed)
+    every, zero = F.sequence(F.lit(0), F.lit(iterations - 1)), F.lit(0).cast("long")
+    ranges = _weighted_ranges(daily, weights, iterations)
+
+    def total(name: str) -> Column:
+        return F.transform(every, lambda i: F.aggregate("steps", zero, lambda s, x: s + F.get(x[name], i))).alias(name)
+
+    totals = ranges.select("range", total("pos"), total("neg")).select("range", F.posexplode(F.arrays_zip("pos", "neg")).alias("iteration", "t"))
+    earlier = Window.partitionBy("iteration").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("range", "iteration", *[F.coalesce(F.sum(f"t.{n}").over(earlier), F.lit(0)).alias(n) for n in ("pos", "neg")])
+    starts = starts.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("iteration", "pos", "neg"))).alias("starts"))
+
+    def walk(i: Column) -> Column:
+        at = F.get("starts", i)
+        begin = F.struct(at["pos"].alias("tp"), at["neg"].alias("fp"), zero.alias("p"), zero.alias("q"), F.lit(0.0).alias("lost"), F.lit(0.0).alias("steps"))
+
+        def step(s: Column, x: Column) -> Column:
+            pos, tie, neg = (F.get(x[n], i) for n in ("pos", "tie", "neg"))
+            tp, fp = s["tp"] + pos, s["fp"] + neg
+            gained = F.when(pos > 0, pos * tp / (tp + fp)).otherwise(F.lit(0.0))
+            return F.struct(
+                tp.alias("tp"), fp.alias("fp"), (s["p"] + pos).alias("p"), (s["q"] + neg).alias("q"),
+                (s["lost"] + pos * (fp - tie / 2.0)).alias("lost"), (s["steps"] + gained).alias("steps"),
+            )
+
+        return F.aggregate("steps", begin, step)
+
+    walked = ranges.join(starts, "range").select(F.posexplode(F.transform(every, walk)).alias("iteration", "s"))
+    areas = walked.groupBy("iteration").agg(*[F.sum(f"s.{n}").alias(n) for n in ("p", "q", "lost", "steps")])
     alert = F.col("score") >= threshold
     marks = daily.groupBy("date").agg(
         F.sum("pos").alias("p"),
         F.sum(F.when(alert, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(alert, F.col("neg")).otherwise(0)).alias("fp"),
     )
-    drawn = marks.join(draws, "date").groupBy("iteration").agg(
-        *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("p", "tp", "fp")]
-    )
+    by_date = weights.select(F.inline(F.arrays_zip("dates", "weights"))).select(F.col("dates").alias("date"), F.posexplode("weights").alias("iteration", "weight"))
+    drawn = marks.join(by_date, "date").groupBy("iteration").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("p", "tp", "fp")])
     f1 = _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p"))
     return (
-        sums.where("p > 0 AND q > 0")
+        areas.where("p > 0 AND q > 0")
         .select(
             "iteration",
             (1.0 - F.col("lost") / (F.col("p") * F.col("q"))).alias("roc_auc"),
