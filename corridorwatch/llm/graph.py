@@ -30,13 +30,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Rounds go on until the stars no longer change.
     """
     given = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current, mark = written(given, name), None
+    current, mark = written(given, name, free=True), None
     while True:
         found = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark:
             break
         mark = found
-        current = written(_small_star(_large_star(current).distinct()), name)
+        current = written(_small_star(_large_star(current).distinct()), name, free=True)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -252,7 +252,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
     likely = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
     likely = likely.where((equal >= LEAST_MATCHES) & _possible()).select("u", "v")
     likely = written(likely, f"{name}-likely", free=True)
-    sizes = written(likely.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("slices")), f"{name}-slices")
+    sizes = written(likely.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("slices")), f"{name}-slices", free=True)
     dealt = likely.join(sizes, "v").select("v", F.pmod(F.xxhash64("u"), F.col("slices")).alias("slice"), F.col("u").alias("node"))
     hubs = sizes.select("v", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("v").alias("node"))
     nodes = likely.select(F.col("u").alias("node")).union(sizes.select("v")).distinct()
@@ -278,14 +278,14 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hub = posts.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
     stars = posts.join(hub, "key").where((F.col("node") != F.col("hub.node")) & _compatible(F.col("n"), F.col("hub.n")))
     links = confirm(stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v")), classes, docs, "near-stars")
-    found = written(components(links, "near-components"), "near-components")
+    found = written(components(links, "near-components"), "near-components", free=True)
 
     labelled = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "n", "score", "component")
-    labelled = written(labelled, "near-labelled")
+    labelled = written(labelled, "near-labelled", free=True)
     more = confirm(lists_of_components(labelled, classes), classes, docs, "near-strays")
 
     links = links.unionByName(more)
-    return rows, classes, written(components(links, "near-components"), "near-components")
+    return rows, classes, written(components(links, "near-components"), "near-components", free=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -327,7 +327,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     of_class = classes.select("node", "h1", "h2").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.lower(F.hex("digest")).alias("digest")))
     # one row per class first, so that a group of copies never meets in one task
-    by_class = written(rows.groupBy("h1", "h2").agg(first.alias("first")), "near-firsts")
+    by_class = written(rows.groupBy("h1", "h2").agg(first.alias("first")), "near-firsts", free=True)
     best = by_class.join(of_class, ["h1", "h2"]).groupBy("component").agg(F.min("first").alias("best"))
     stay = best.select(F.col("best.none").alias("__none"), F.coalesce("best.id", F.lit(0)).alias("__id"), F.col("best.digest").alias("__digest"))
     stay = written(stay, "near-stay", free=True)
