@@ -5,7 +5,8 @@ name-operator-value statements (``=``, ``:=``, ``:``, ``=>``) wherever one stand
 the value of another, keeps the literals bound to names (those of a bracket or call too, but
 for what an inner name binds), follows names used as values (also joined with ``+``), and
 scores each literal by the most sensitive name it reaches; literals that score high enough
-become spans of kind ``literal``. Base spans always stay.
+become spans of kind ``literal``. So do the passwords of URLs and the texts of elements with sensitive
+names. Scores go back along the names in one pass. Base spans always stay.
 
 Defined results: a null or empty text has no spans; positions count code points, end
 exclusive; whole texts are read; repeated rows are scanned each; other columns are not
@@ -30,23 +31,32 @@ KINDS = ("assign", "access", "hex", "literal")
 
 MIN_SCORE = 3.0
 
-#: Parts of names and how much they say about the value.
-SENSITIVE = {
+#: What names hold, and how much it says about the value. Long words count anywhere in a name,
+#: short ones only as a part of it, split at case and punctuation.
+ANYWHERE = {
     "password": 3.0,
     "passwd": 3.0,
-    "pwd": 3.0,
     "passphrase": 3.0,
     "secret": 3.0,
     "apikey": 3.0,
     "privatekey": 3.0,
     "accesskey": 3.0,
     "credential": 2.5,
+}
+PARTS = {
+    "pwd": 3.0,
+    "pass": 3.0,
     "token": 2.5,
-    "auth": 1.5,
+    "tokens": 2.5,
     "bearer": 2.0,
+    "auth": 1.5,
     "key": 1.0,
+    "keys": 1.0,
 }
-PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "your", "xxxx", "none", "null", "true", "false", "todo")
+INNOCENT = ("secretary", "secretariat")
+#: Words that stand for a value to come, at the start of a part and as a whole part.
+OPENINGS = ("example", "changeme", "placeholder", "dummy", "your", "xxxx")
+WHOLE = ("none", "null", "true", "false", "todo")
 #: A longer random value holds such a short word by chance, so there it says nothing.
 CHANCE = 400
 
@@ -72,6 +82,11 @@ _BARE = re.compile(r"""[^\s"';,(){}\[\]]++""")
 _CHAIN = re.compile(r"[\x20\t]+(?::=|=>|=(?!=))[\x20\t]*")
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\|\||\?\?|or\b)[\x20\t]*")
 _GAP = re.compile(r"[\s,;+|?]+")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: A value that is filled in elsewhere.
+_TEMPLATE = re.compile(r"\$\{[^}]*\}|\$\([^)]*\)|\$[A-Z_][A-Z0-9_]*|%\([^)]*\)[a-z]|%[A-Z_]+%|%[a-z]|\{\{?[^{}]*\}?\}|<[^<>]*>")
+_URL = re.compile(r"""(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/:@"'<>]*+:([^\s/@"'<>]++)@""")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)[^<>]*+>([^<>]++)</")
 _CLOSED = re.compile(r"\s*(?:[,)}\]]|$)")
 _LINE_END = re.compile(r"[\x20\t]*(?:$|[\n;,)}\]])")
 
@@ -93,16 +108,31 @@ def _entropy(value: str) -> float:
 
 def name_score(name: str) -> float:
     plain = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((s for part, s in SENSITIVE.items() if part in plain), default=0.0)
+    found = [s for word, s in ANYWHERE.items() if word in plain and not any(w in plain for w in INNOCENT)]
+    found += [PARTS[p] for p in (part.lower() for part in _NAME_PART.findall(name)) if p in PARTS]
+    return max(found + [PARTS["pwd"]] * (plain.endswith("pwd") or plain.startswith("pwd")), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """What the literal itself says; far below zero for what cannot be a secret."""
-    if len(value) < 8 or " " in value or value[0] in "<$%{":
-        return -10.0
-    if len(value) <= CHANCE and any(p in value.lower() for p in PLACEHOLDERS):
+def stands_for_other(value: str) -> bool:
+    """Templates, and words that say a value is still to come."""
+    if _TEMPLATE.fullmatch(value):
+        return True
+    parts = [p.lower() for p in re.findall(r"[A-Za-z]+", value)] if len(value) <= CHANCE else []
+    return any(p.startswith(OPENINGS) or p in WHOLE for p in parts)
+
+
+def literal_score(value: str, quoted: bool = False) -> float:
+    """What the literal itself says; far below zero for what cannot be a secret.
+
+    Quoted words with blanks say nothing by themselves: their name alone decides.
+    """
+    if len(value) < 6 or stands_for_other(value):
         return -10.0
+    if any(c.isspace() for c in value):
+        return 0.0 if quoted and len(value) >= 12 else -10.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    if len(value) < 8 and kinds < 3:
+        return -10.0
     return (0.5 if _entropy(value) >= 2.5 else -2.0) + (0.5 if kinds >= 2 else -1.5)
 
 
@@ -220,30 +250,55 @@ class _Reader:
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals whose bound names, directly or through other names, are sensitive."""
     read = _Reader(text)
-    # a name inside brackets (an argument, a key) doesn't replace what a statement of its own has bound
-    bound: dict[str, frozenset[tuple[int, int]]] = {}
-    inner: dict[str, frozenset[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    longest, none = 0, frozenset()
+    # per name the statement that bound it last; a name inside brackets (an argument, a key) doesn't
+    # replace what a statement of its own has bound
+    bound: dict[str, int] = {}
+    inner: dict[str, int] = {}
+    longest, count = 0, len(read.heads)
+    spans: list[list[tuple[int, int, bool]]] = [[] for _ in range(count)]
+    uses: list[list[int]] = [[] for _ in range(count)]
+    scores = [0.0] * count
     known = lambda name: name in bound or name in inner
     for i, m in enumerate(read.heads):
         name = m["name"].lstrip("0123456789.-")
         if not name:
             continue
-        reached = set()
         for start, end, bare in read.items[i]:
             for a, b in _operands(text, start, end, known, longest) if bare else ((start, end),):
                 word = text[a:b] if bare and b - a <= longest else None
                 if word is not None and known(word):
-                    reached |= bound.get(word, none) | inner.get(word, none)
+                    uses[i] += [where[word] for where in (bound, inner) if word in where]
                 elif a < b:
-                    reached.add((a, b))
-        (inner if read.inner[i] else bound)[name] = frozenset(reached)
+                    spans[i].append((a, b, not bare))
+        (inner if read.inner[i] else bound)[name] = i
         longest = max(longest, len(name))
-        if score := name_score(name):
-            for span in reached:
+        scores[i] = name_score(name)
+    # names are used behind the statements that bind them: one pass from the end takes every score back
+    best: dict[tuple[int, int, bool], float] = {}
+    for i in range(count - 1, -1, -1):
+        if score := scores[i]:
+            for span in spans[i]:
                 best[span] = max(best.get(span, 0.0), score)
-    return [("literal", *span) for span, score in best.items() if score + literal_score(text[slice(*span)]) >= MIN_SCORE]
+            for j in uses[i]:
+                scores[j] = max(scores[j], score)
+    return [("literal", a, b) for (a, b, quoted), score in best.items() if score + literal_score(text[a:b], quoted) >= MIN_SCORE]
+
+
+def marked_spans(text: str) -> list[tuple[str, int, int]]:
+    """Passwords of URLs, and texts of elements with sensitive names."""
+    found = []
+    if "://" in text:
+        found += [m.span(1) for m in _URL.finditer(text) if len(m[1]) >= 4 and not stands_for_other(m[1])]
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            start, end = m.span(2)
+            while start < end and text[start].isspace():
+                start += 1
+            while start < end and text[end - 1].isspace():
+                end -= 1
+            if (score := name_score(m[1])) and score + literal_score(text[start:end], True) >= MIN_SCORE:
+                found.append((start, end))
+    return [("literal", a, b) for a, b in found]
 
 
 def _operands(text: str, start: int, end: int, known: Callable[[str], bool], longest: int) -> list[tuple[int, int]]:
@@ -263,8 +318,8 @@ def scan(text: str | None) -> tuple[list, list]:
         return [], []
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = base_spans(text)
-    more = lexed_spans(text) if "=" in text or ":" in text else []
-    return sorted(base, key=order), sorted(base + more, key=order)
+    more = set(lexed_spans(text) if "=" in text or ":" in text else []) | set(marked_spans(text))
+    return sorted(base, key=order), sorted([*base, *more], key=order)
 
 
 def _joined(spans: list) -> str:

@@ -483,3 +483,70 @@ def test_tokens_of_odd_words(text):
     ids, counts = packing.tokenizer(None).encode(pa.array([text, None, text + "x", text]))
     ends = counts.cumsum()
     assert ids[: ends[0]].tolist() == want and counts[1] == 1 and ids[ends[2] :].tolist() == want
+
+
+@pytest.mark.parametrize(
+    "form, value",
+    [
+        ('passphrase = "{}"', "correct horse battery staple"),
+        ('private_key = """{}"""', "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nIBAAKC\n-----END RSA PRIVATE KEY-----"),
+        ('db_pwd = "{}"', "$ecr3tPa55w0rd"),
+        ('db_pwd = "{}"', "%Zx81kQ9mLp02"),
+        ("pwd: {}", "Zx81kQ9"),
+        ("url = postgres://user:{}@host/db", "Zx81kQ9mLp02"),
+        ("see https://al:{}@example.org/x", "hunter2"),
+        ("<pwd>{}</pwd>", "Zx81kQ9mLp02"),
+        ('<cfg><dbPassword kind="x"> {} </dbPassword></cfg>', "Zx81kQ9mLp02"),
+        ('db_pwd = "{}"', "myour1Zx9kQ"),
+        ('dbPwd = "{}"', "Zx81kQ9mLp02"),
+        ('MYSQLPASSPHRASE="{}"', "Zx81kQ9mLp02"),
+    ],
+)
+def test_secrets_of_many_forms(form, value):
+    text = form.format(value)
+    assert secrets.redact(text, secrets.scan(text)[1]) in (form.format("<secret>"), form.replace("pwd: {}", "pwd: <secret>"))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'tokenizer = "word_bpe_49k"', 'author = "Jane.Doe42"', 'keyboard = "Model.M122x"', 'pwd = "${DB_PWD}"', 'pwd = "$DB_PASSWORD"', 'pwd = "%(db_pwd)s"', 'pwd = "{{ vault.pwd }}"',
+        'pwd = "<fill this in>"', 'pwd = "your_password_here"', 'pwd = "changeme123"', 'pwd = "XXXXXXXXXX"', "secretary: Maria.Lopez9", "<title>Zx81kQ9mLp02</title>", "http://host:8080/path@x",
+        "https://user:${PWD}@host/", "note: pass the salt to table 9",
+    ],
+)
+def test_what_is_no_secret(text):
+    assert [s for s in secrets.scan(text)[1] if s[0] == "literal"] == []
+
+
+def test_constants_are_followed_in_linear_time():
+    import time
+
+    def seconds(n):
+        text = "a0 = 'Zx81kQ9mLp02'\n" + "".join(f"a{i} = a{i - 1} + 'q{i}Rt7'\n" for i in range(1, n)) + f"db_pwd = a{n - 1}\n"
+        start = time.process_time()
+        spans = secrets.scan(text)[1]
+        assert any(text[a:b] == "Zx81kQ9mLp02" for k, a, b in spans)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
+
+
+def test_base_columns_against_plain_patterns(table):
+    """Counts and digest of the three base kinds over the whole table, by the contract's wording."""
+    import re
+
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    kinds = [
+        ("assign", re.compile("(" + "|".join(map(letters, ["password", "passwd", "secret", "token", "api_?key"])) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    want = {}
+    for r in table.collect():
+        found = [(m.start(), i, m.end(), k) for i, (k, p, good) in enumerate(kinds) for m in p.finditer(r["text"] or "") if good(m)]
+        text = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+        want[r["doc_id"]] = (*(sum(f[3] == k for f in found) for k, _, _ in kinds), hashlib.sha256(text.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scan_documents(table).collect()}
+    assert got == want
