@@ -287,7 +287,34 @@ def context_features(spark, sf):
     return df.select(*KEY, "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "road_is_s5", "stake_scaled")
 
 
-@query("feature_sets")
+# Where the SQL keeps each feature; those that cannot be missing count every row.
+_KEPT = {
+    **dict.fromkeys(V.COMPONENTS, "risk"),
+    **dict(zip(V.TEMPORAL, ["lag5", "lag10", "lag20", "lag30", "past_mean", "past_max", "past_std", "change5", "change30", "acceleration"])),
+    **dict(zip(V.NEIGHBOUR_CELLS, _CELLS)),
+    **dict(zip(V.SPATIAL_SUMMARY, ["up3", "up3_max", "down3", "down3_max", "nb_mean", "nb_max", "nb_std", "nb_high", "gradient", "contrast", "coherence"])),
+    **dict.fromkeys(V.CONTEXT, "segment_id"),
+}
+_LISTS = {
+    "temporal_only": [V.COMPONENTS, V.TEMPORAL, V.CONTEXT],
+    "spatial_only": [V.COMPONENTS, V.NEIGHBOUR_CELLS, V.SPATIAL_SUMMARY, V.CONTEXT],
+    "no_spatial": [V.COMPONENTS, V.TEMPORAL, V.CONTEXT],
+    "no_temporal": [V.COMPONENTS, V.NEIGHBOUR_CELLS, V.SPATIAL_SUMMARY, V.CONTEXT],
+    "full_teacher": [V.COMPONENTS, V.TEMPORAL, V.NEIGHBOUR_CELLS, V.SPATIAL_SUMMARY, V.CONTEXT],
+    "student": [V.STUDENT],
+    "student_no_spatial": [V.COMPONENTS, V.TEMPORAL, V.CONTEXT],
+    "student_no_temporal": [V.COMPONENTS, V.SPATIAL_SUMMARY, V.CONTEXT],
+}
+_MEMBERS = ", ".join(f"('{model}', {i}, '{f}')" for model, parts in _LISTS.items() for i, f in enumerate(f for part in parts for f in part))
+
+
+@query(
+    "feature_sets",
+    f"""SELECT m.model, m.position, m.feature, c.n, (SELECT count(*) FROM context) AS rows
+        FROM (VALUES {_MEMBERS}) AS m(model, position, feature)
+        JOIN (SELECT unnest([{", ".join(f"'{f}'" for f in _KEPT)}]) AS feature, unnest([{", ".join(f"count({c})" for c in _KEPT.values())}]) AS n FROM context) c USING (feature)""",
+    integers="position",
+)
 def feature_sets(spark, sf):
     """Feature lists per model, with how often each feature is present in the panel."""
     df = staging.context(spark, sf)
