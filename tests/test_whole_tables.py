@@ -24,3 +24,8 @@ def one_day(spark):
 
 def test_negatives_come_from_the_whole_panel(spark, one_day):
     assert entry_module.queries()["negative_sample"](spark, one_day).count() == ROWS
+
+
+@pytest.mark.parametrize("name", ["panel_profile"])
+def test_summaries_count_the_whole_panel(spark, one_day, name):
+    assert entry_module.queries()[name](spark, one_day).first().candidate_rows == ROWS
