@@ -26,6 +26,6 @@ def test_negatives_come_from_the_whole_panel(spark, one_day):
     assert entry_module.queries()["negative_sample"](spark, one_day).count() == ROWS
 
 
-@pytest.mark.parametrize("name", ["panel_profile"])
+@pytest.mark.parametrize("name", ["panel_profile", "sink_summary_json"])
 def test_summaries_count_the_whole_panel(spark, one_day, name):
     assert entry_module.queries()[name](spark, one_day).first().candidate_rows == ROWS
