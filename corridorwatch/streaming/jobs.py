@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -104,88 +106,107 @@ def _millis(moments: pd.Series) -> pd.Series:
     return plain.astype("datetime64[ms]").astype("int64")
 
 
-class SegmentMemory(StatefulProcessor):
-    """Lags, mean and change over the positions of one segment and day, in bin order whatever the order of arrival.
+def _packed(frame: pd.DataFrame) -> bytes:
+    """A frame as one Arrow stream, so that state holds it as one value."""
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value)).read_pandas()
+
 
-    Rows wait in state, sorted by bin, until the watermark has passed their bin: no row that
-    belongs before them can come any more. A timer at the earliest waiting bin releases them.
-    Of rows of one bin the highest risk counts, as in the batch. State holds the waiting
-    rows, which the delay bounds, and the last six values; it goes when the day is over.
+class SegmentMemory(StatefulProcessor):
+    """Lags, mean and change over the positions of each segment and day, in bin order whatever the order of arrival.
+
+    A key is a slice of the segments on one day, so calls and state accesses grow with slices and
+    days, and the rows of a slice are worked on column by column. Rows wait in state until the
+    watermark has passed their bin: no row that belongs before them can come any more. A timer at
+    the earliest waiting bin releases them. Of rows of one bin the highest risk counts, as in the
+    batch. State holds the waiting rows, which the delay bounds, and the last six values of a
+    segment; it goes when the day is over.
     """
 
     SIZE = 6
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "risk double")
-        self.waiting = handle.getListState("waiting", "bin bigint, risk double")
+        self.rows = handle.getValueState("rows", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = dict(self.waiting.get()) if self.waiting.exists() else {}
+        frames = [self._held()] if self.rows.exists() else []
         for batch in rows:
-            for at, risk in zip(_millis(batch["bin5"]).tolist(), batch[V.RISK].tolist()):
-                # a missing risk comes as NaN and gives way to any number
-                if not held.get(at, float("-inf")) >= risk:
-                    held[at] = float(risk)
-        if held:
-            self.waiting.put(sorted(held.items()))
-            self._wake(min(held))
+            fresh = {"segment": batch["segment_id"], "at": _millis(batch["bin5"]), "risk": batch[V.RISK].astype("float64"), "told": False}
+            frames.append(pd.DataFrame(fresh))
+        held = pd.concat(frames, ignore_index=True)
+        # a missing risk comes as NaN and gives way to any number
+        waiting = held[~held["told"]].sort_values("risk", na_position="first", kind="stable")
+        waiting = waiting.drop_duplicates(["segment", "at"], keep="last")
+        if len(waiting):
+            self.rows.update((_packed(pd.concat([held[held["told"]], waiting], ignore_index=True)),))
+            self._wake(int(waiting["at"].min()))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.rows.exists():
+            return
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [row for row in held if row[0] <= watermark]
-        left = held[len(ready) :]
-        if ready:
-            seen = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-            values = pd.Series(seen + [risk for _, risk in ready], dtype="float64")
-            self.recent.put([(float(v),) for v in values.tolist()[-self.SIZE :]])
-            yield self._memory(key, [at for at, _ in ready], values, len(seen))
+        held = self._held()
+        left = held[~held["told"] & (held["at"] > watermark)]
+        known = held[held["told"] | (held["at"] <= watermark)].sort_values(["told", "at"], ascending=[False, True], kind="stable")
+        if not known["told"].all():
+            yield self._memory(key, known)
         end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-        if left:
-            self.waiting.put(left)
-            self._wake(left[0][0])
-        elif watermark < end:
-            self.waiting.clear()
-            self._wake(end)
-        else:
-            self.waiting.clear()
-            self.recent.clear()
+        if left.empty and watermark >= end:
+            self.rows.clear()
+            return
+        recent = known.groupby("segment", sort=False, dropna=False).tail(self.SIZE).assign(told=True)
+        self.rows.update((_packed(pd.concat([recent, left], ignore_index=True)),))
+        self._wake(end if left.empty else int(left["at"].min()))
+
+    def _held(self) -> pd.DataFrame:
+        return _unpacked(self.rows.get()[0])
 
     def _wake(self, at: int) -> None:
         if at not in self.handle.listTimers():
             self.handle.registerTimer(at)
 
-    def _memory(self, key, bins: list[int], values: pd.Series, before: int) -> pd.DataFrame:
+    def _memory(self, key, known: pd.DataFrame) -> pd.DataFrame:
+        """The features of the rows not told yet; rows of a segment come in order, the told ones first."""
+        risk = known.groupby("segment", sort=False, dropna=False)["risk"]
+        past = pd.concat([risk.shift(k) for k in range(self.SIZE)], axis=1)
         out = pd.DataFrame(
             {
-                V.RISK: values,
-                "risk_lag_5m": values.shift(1),
-                "risk_lag_30m": values.shift(self.SIZE),
-                "risk_mean_past_30m": values.rolling(self.SIZE, min_periods=2).mean(),
+                "segment_id": known["segment"],
+                "day": key[1],
+                "bin5": pd.to_datetime(known["at"], unit="ms"),
+                V.RISK: known["risk"],
+                "risk_lag_5m": risk.shift(1),
+                "risk_lag_30m": risk.shift(self.SIZE),
+                "risk_mean_past_30m": past.mean(axis=1).where(past.count(axis=1) >= 2),
             }
         )
         out["risk_change_30m"] = out[V.RISK] - out["risk_lag_30m"]
-        out = out.iloc[before:].reset_index(drop=True)
-        out.insert(0, "segment_id", key[0])
-        out.insert(1, "day", key[1])
-        out.insert(2, "bin5", pd.to_datetime(pd.Series(bins, dtype="int64"), unit="ms"))
-        return out
+        return out[~known["told"]].reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
-def stream_memory(panel: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def stream_memory(panel: DataFrame, delay: str = "10 minutes", slices: int = 128) -> DataFrame:
     """30-minute memory per segment and day, carried across micro-batches.
 
     Rows may arrive in any order within ``delay``; each comes out once the watermark has
-    passed its bin. Needs the RocksDB state store provider.
+    passed its bin. Segments are kept in ``slices`` by their hash: one call serves a slice of a
+    day, whose rows have to fit in a task. Needs the RocksDB state store provider.
     """
     df = _timed(panel.select("segment_id", "bin5", V.RISK), delay)
-    keyed = df.select("segment_id", F.date_format("bin5", "yyyy-MM-dd").alias("day"), "bin5", V.RISK, "event_time")
-    return keyed.groupBy("segment_id", "day").transformWithStateInPandas(
+    part = F.pmod(F.xxhash64("segment_id"), F.lit(slices)).alias("slice")
+    keyed = df.select(part, F.date_format("bin5", "yyyy-MM-dd").alias("day"), "segment_id", "bin5", V.RISK, "event_time")
+    return keyed.groupBy("slice", "day").transformWithStateInPandas(
         statefulProcessor=SegmentMemory(),
         outputStructType=MEMORY_SCHEMA,
         outputMode="Append",
@@ -206,18 +227,25 @@ class SnapshotTop(StatefulProcessor):
         self.best = handle.getListState("best", self.SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = list(self.best.get()) if self.best.exists() else []
+        names = ["score", "segment_id", "payload"]
+        found = pd.DataFrame(list(self.best.get()) if self.best.exists() else [], columns=names)
         closing = None
         for batch in rows:
             closing = int(_millis(batch["event_time"]).iloc[0])
-            found += batch[["score", "segment_id", "payload"]].itertuples(index=False, name=None)
-            found = sorted(found, key=lambda r: (-r[0], r[1]))[: self.n]
-        if found:
-            self.best.put([tuple(r) for r in found])
+            found = self._top(pd.concat([found, self._top(batch[names])]) if len(found) else self._top(batch[names]))
+        if len(found):
+            self.best.put(list(found.itertuples(index=False, name=None)))
         if closing is not None and closing not in self.handle.listTimers():
             self.handle.registerTimer(closing)
         yield from ()
 
+    def _top(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The ``n`` best rows; only those that reach the nth score are sorted."""
+        if len(rows) > self.n:
+            score = rows["score"].fillna(float("-inf"))
+            rows = rows[score >= np.partition(score.to_numpy(), -self.n)[-self.n]]
+        return rows.sort_values(["score", "segment_id"], ascending=[False, True]).head(self.n)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         found = list(self.best.get()) if self.best.exists() else []
         self.best.clear()
@@ -255,7 +283,10 @@ def stream_watchlist(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         top = watchlist_topk(batch, n)
-        top.write.mode("overwrite").parquet(f"{path}/watchlist/batch={batch_id}")
+        ranked = f"{path}/watchlist/batch={batch_id}"
+        top.write.mode("overwrite").parquet(ranked)
+        # from the written rows: another look at the batch would run it again, state included
+        top = batch.sparkSession.read.schema(top.schema).parquet(ranked)
         actions = dispatch_snapshot(top.drop("rank"), ["time"], config)
         actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
 
