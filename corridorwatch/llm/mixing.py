@@ -187,6 +187,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     rows = docs.select(whole, F.xxhash64(*hashed).alias("order"), *keys(F.col(source), F.col(key), F.md5(F.col(text)))).join(times, names)
+    # written as well: the two parts below would each shuffle and sort the texts
+    rows = written(rows, "mix-joined")
     number = F.row_number().over(Window.partitionBy(*names).orderBy("order"))
     once = rows.where(F.col("alike") == 1).withColumn("own", F.col("copies"))
     extra = F.when(number <= F.col("copies") % F.col("alike"), 1).otherwise(0)

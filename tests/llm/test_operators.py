@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corridorwatch.llm import chat, chunks, language, mixing, neardup, neighbours, packing, quality, queries, secrets, substrings
+from corridorwatch.session import new_path
 from oracle_compare import compare, duck
 
 from conftest import SF_DIR
@@ -550,3 +551,16 @@ def test_base_columns_against_plain_patterns(table):
         want[r["doc_id"]] = (*(sum(f[3] == k for f in found) for k, _, _ in kinds), hashlib.sha256(text.encode()).hexdigest())
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scan_documents(table).collect()}
     assert got == want
+
+
+def test_mixed_documents_shuffle_the_texts_once(spark):
+    """The rows joined with their copies are written; what is left reads them, not the documents."""
+    path = new_path(spark, "mix-once")
+    rows = [(i, f"w{i} " * (1 + i % 5), "ab"[i % 2]) for i in range(40)] + [(7, "w7 " * 3, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    mixed = mixing.mixed_documents(docs)
+    assert not [f for f in mixed.inputFiles() if path in f]
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()}
+    found = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert found == {k: v for k, v in copies.items() if v}
