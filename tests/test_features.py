@@ -143,6 +143,19 @@ def test_features_ignore_the_future(spark):
     assert past(rows) == past(changed)
 
 
+def test_context_laid_out_by_day(spark, tmp_path):
+    """The same rows, dealt in ranges of the day by the last shuffle, which the write needs no other for."""
+    rng = random.Random(29)
+    rows = [row(f"s{s}", 5 * b, rng.random(), stake=100 * s, day=d, label=int(rng.random() < 0.1), accident=f"E{s}") for s in range(12) for b in range(8) for d in range(4)]
+    df = frame(spark, rows)
+    plain, dated = build.context_panel(df), build.context_panel(df, day="panel_date")
+    names = plain.columns
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (plain, dated)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") and "rangepartitioning(panel_date" in plans[1]
+    assert sorted(map(str, dated.select(names).collect())) == sorted(map(str, plain.collect()))
+    assert dated.where(F.col("panel_date") != F.to_date("bin5")).isEmpty()
+
+
 def test_sample_sizes_and_strata(spark):
     rng = random.Random(11)
     rows = [row(f"s{i}", 5 * (i % 20), rng.random(), stake=100 * i) for i in range(400)]
