@@ -2,6 +2,7 @@
 
 import json
 import math
+import threading
 from dataclasses import replace
 
 import pytest
@@ -50,6 +51,25 @@ def test_all_models_of_the_study(spark, sf_dir):
     assert gain == pytest.approx(1.0) and 0 < splits <= 4 * 3
 
 
+def test_models_of_the_study_are_fitted_side_by_side(spark, monkeypatch):
+    """Four teachers meet before any of them is done; the results keep the order of their names."""
+    together = threading.Barrier(4)
+
+    def fit(train, features, label, weight, logistic, config, folder):
+        if logistic:
+            together.wait(60)
+        return boosting.Boosted(features, logistic, 0.0, config, folder)
+
+    monkeypatch.setattr(boosting, "boost", fit)
+    row = "segment_id string, split string, target_event_30m int, candidate_source string"
+    rows = spark.createDataFrame([("a", "train", 1, "future_event"), ("b", "train", 0, "random_negative")], row)
+    study = training.train_study(rows, "unused")
+    assert list(study.fitted) == [
+        "temporal_only", "spatial_only", "full_teacher", "no_data_distillation", "distilled_student", "student_no_spatial",
+        "student_no_temporal", "student_no_teacher_kd", "student_no_hard_negative_distillation",
+    ]
+
+
 def _boosting_rows(spark):
     x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
     z = F.pmod(F.xxhash64(F.col("id") + 7), F.lit(1000)) / 1000
