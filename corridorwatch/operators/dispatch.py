@@ -346,7 +346,11 @@ def separated_picks(rows: DataFrame, keys: list[str], capacity: Column, separati
     return top_n_per_group(flat, keys, order, F.col("__n"), ["segment_id"]).drop("rank", "__n")
 
 
-SETTINGS = ["warning_capacity", "patrol_capacity", "emergency_capacity", "minimum_patrol_separation_m"]
+#: The largest value a request may ask for.
+LIMITS = {"warning_capacity": 20, "patrol_capacity": 20, "emergency_capacity": 20, "minimum_patrol_separation_m": 10_000}
+SETTINGS = list(LIMITS)
+#: Parts of a snapshot that meet its requests in tasks of their own.
+SLICES = 32
 
 
 def dispatch_snapshot(rows: DataFrame, keys: list[str], config: DispatchConfig = DEFAULT) -> DataFrame:
@@ -375,25 +379,33 @@ def dispatch_requests(
     number = {name: F.coalesce(F.col(name).cast("string").try_cast("int"), F.lit(d)) for name, d in zip(SETTINGS, defaults)}
     scenario = F.coalesce(F.col("scenario"), F.lit(V.DEFAULT_SCENARIO)).alias("scenario")
     valid = checked.where(F.size("violations") == 0).select(request, *keys, scenario, *[c.alias(f"__{n}") for n, c in number.items()])
-    asked = rows.join(valid, keys)
+    # no request takes more warnings or emergencies than a setting may be: the best rows of a snapshot serve all its requests
+    most = max(LIMITS["warning_capacity"], LIMITS["emergency_capacity"], config.warning_capacity, config.emergency_capacity)
+    top = top_n_per_group(rows, keys, [F.col("score").desc(), F.col("segment_id")], most, ["segment_id"]).drop("rank")
+    # a snapshot's rows meet its requests in slices, so that a large one is spread over tasks
+    sliced = rows.withColumn("__slice", F.pmod(F.xxhash64("segment_id"), F.lit(SLICES)).cast("int"))
+    spread = valid.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    asked = sliced.join(spread, [*keys, "__slice"]).drop("__slice")
     settings = {name: F.col(f"__{name}") for name in SETTINGS}
-    return _allocate(asked, [request, *keys, "scenario"], settings, config), rejected
+    return _allocate(asked, [request, *keys, "scenario"], settings, config, top.join(valid, keys)), rejected
 
 
-def _allocate(rows: DataFrame, keys: list[str], settings: dict[str, Column], config: DispatchConfig) -> DataFrame:
+def _allocate(rows: DataFrame, keys: list[str], settings: dict[str, Column], config: DispatchConfig, top: DataFrame | None = None) -> DataFrame:
+    """Action rows per ``keys``; ``top`` has the rows that warnings and emergencies can be among, where they are known."""
     order = [F.col("score").desc(), F.col("segment_id")]
     columns = [*keys, "road_code", "direction_code", "segment_id", "stake_m", "score"]
-    rows = rows.select(*columns, *[c.alias(f"__{name}") for name, c in settings.items()])
+    chosen = [*columns, *[c.alias(f"__{name}") for name, c in settings.items()]]
+    rows, top = rows.select(*chosen), (rows if top is None else top).select(*chosen)
     limit = {name: F.col(f"__{name}") for name in settings}
 
     def best(part: DataFrame, n: Column) -> DataFrame:
         return top_n_per_group(part, keys, order, n, ["segment_id"]).drop("rank")
 
-    reached = {name: rows.where(F.col("score") >= least) for name, least in (("patrol", config.ranking_threshold), ("emergency", config.emergency_threshold))}
+    reached = rows.where(F.col("score") >= config.ranking_threshold)
     parts = {
-        "warning": best(rows, limit["warning_capacity"]),
-        "patrol": separated_picks(reached["patrol"], keys, limit["patrol_capacity"], limit["minimum_patrol_separation_m"]),
-        "emergency": best(reached["emergency"], limit["emergency_capacity"]),
+        "warning": best(top, limit["warning_capacity"]),
+        "patrol": separated_picks(reached, keys, limit["patrol_capacity"], limit["minimum_patrol_separation_m"]),
+        "emergency": best(top.where(F.col("score") >= config.emergency_threshold), limit["emergency_capacity"]),
     }
     actions = reduce(
         DataFrame.unionByName,
@@ -417,14 +429,8 @@ def snapshot_counts(rows: DataFrame, actions: DataFrame, keys: list[str]) -> Dat
 
 def capacity_violations(configs: DataFrame) -> DataFrame:
     """Names of the settings that are no integer in their allowed range."""
-    limits = {
-        "warning_capacity": 20,
-        "patrol_capacity": 20,
-        "emergency_capacity": 20,
-        "minimum_patrol_separation_m": 10_000,
-    }
     checks = []
-    for name, top in limits.items():
+    for name, top in LIMITS.items():
         number = F.col(name).cast("string").try_cast("int")
         bad = number.isNull() | ~number.between(0, top)
         checks.append(F.when(F.col(name).isNotNull() & bad, F.lit(name)))

@@ -184,6 +184,16 @@ def test_requests_equal_the_sequential_form(spark):
     assert {a.scenario for a in actions.collect()} == {"loss_cost_ratio_5000"}
 
 
+def test_requests_meet_few_rows_per_task(spark):
+    """Warnings are cut to the best rows before they meet the requests; patrols meet them in slices of a snapshot."""
+    table = spark.createDataFrame([("t", "G1", 1, "s", 0.0, 0.9)], "time string, road_code string, direction_code int, segment_id string, stake_m double, score double")
+    asked = spark.createDataFrame([("q", "t", None, None, None, None, None)], "request_id string, time string, scenario string, " + ", ".join(f"{n} string" for n in dispatch.SETTINGS))
+    actions, _ = dispatch.dispatch_requests(table, asked, ["time"])
+    plan = actions._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "__slice" in "".join(line for line in plan.splitlines() if "Join" in line)
+    assert {(a.kind, a.segment_id) for a in actions.collect()} == {("warning", "s"), ("patrol", "s"), ("emergency", "s")}
+
+
 def test_separated_picks_need_no_join(spark):
     table = spark.createDataFrame([("t", "G1", 1, "s", 0.0, 0.9)], "time string, road_code string, direction_code int, segment_id string, stake_m double, score double")
     picks = dispatch.separated_picks(table, ["time"], F.lit(9), F.lit(1000.0))
