@@ -1,6 +1,7 @@
 """Hand-made panels: day bounds, positions, chunks, causality, ties."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -165,6 +166,26 @@ def test_sample_sizes_and_strata(spark):
     assert counts == {"hard_negative": 30, "uncertain_negative": 10, "random_negative": 20}
 
 
+def test_sample_is_ranked_behind_the_last_draw(spark):
+    """The smallest draws of every day and class, days and segments that are null included; only they are ranked at full width."""
+    rng = random.Random(31)
+    rows = [row(rng.choice([None, f"s{i}"]) if i % 50 == 0 else f"s{i}", 5 * (i % 20), rng.random(), day=i % 3) for i in range(600)]
+    rows = [r | {"bin5": None} if i % 7 == 0 else r for i, r in enumerate(rows)]
+    config = BuildConfig(hard_per_day=9, uncertain_per_day=4, random_per_day=70)
+    facts = {"target_event_30m": F.lit(0), "event_guard": F.lit(0)}
+    sample = candidates.stratified_sample(frame(spark, rows).withColumns(facts), config)
+    assert "__last" in sample._jdf.queryExecution().optimizedPlan().toString()
+    groups = {}
+    for r in rows:
+        source, most = ("hard_negative", 9) if r[V.RISK] >= 0.6 else ("uncertain_negative", 4) if r[V.RISK] >= 0.4 else ("random_negative", 70)
+        at = None if r["bin5"] is None else f"{r['bin5']:%Y-%m-%d %H:%M:%S}"
+        draw = hashlib.md5("|".join(x for x in (str(config.seed), r["segment_id"], at) if x is not None).encode()).hexdigest()
+        groups.setdefault((at and at[:10], source, most), []).append((draw, r["segment_id"] or "", at))
+    want = [(s or None, at) for (_, _, most), found in groups.items() for _, s, at in sorted(found, key=lambda x: x[:2])[:most]]
+    got = [(r.segment_id, r.bin5 and f"{r.bin5:%Y-%m-%d %H:%M:%S}") for r in sample.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("direction", ["nearest", "backward"])
 @pytest.mark.parametrize("slot_minutes", [30, 24 * 60])
 def test_as_of_join_equals_brute_force(spark, direction, slot_minutes):
