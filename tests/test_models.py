@@ -14,7 +14,7 @@ from corridorwatch import vocabulary as V
 from corridorwatch.functions.columns import logit
 from corridorwatch.operators import boosting, labels, models
 from corridorwatch.operators.candidates import registry_split
-from corridorwatch.plans import replay, staging, training
+from corridorwatch.plans import queries_models, replay, staging, training
 from corridorwatch.session import new_path
 from corridorwatch.sources import files, testbed
 
@@ -70,6 +70,47 @@ def test_models_of_the_study_are_fitted_side_by_side(spark, monkeypatch):
     ]
 
 
+#: Rounds and depth of every model of the study.
+FULL = {
+    **dict.fromkeys(["temporal_only", "spatial_only", "full_teacher", "no_data_distillation"], (360, 8)),
+    **dict.fromkeys(
+        ["distilled_student", "student_no_spatial", "student_no_temporal", "student_no_teacher_kd", "student_no_hard_negative_distillation"], (96, 5)
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def kept():
+    """What was asked of the fits, and the studies: the queries under test share them."""
+    return {}, {}
+
+
+@pytest.fixture
+def asked(kept, monkeypatch):
+    """The rounds and depth that the registered queries ask of each model; the fits behind them are SMALL."""
+    found, boost = kept[0], boosting.boost
+
+    def small(train, features, label, weight, logistic, config, folder):
+        found[folder.rsplit("/", 1)[-1]] = (config.rounds, config.depth)
+        return boost(train, features, label, weight, logistic, replace(config, **SMALL), folder)
+
+    monkeypatch.setattr(boosting, "boost", small)
+    monkeypatch.setattr(queries_models, "_STUDIES", kept[1])
+    return found
+
+
+@pytest.mark.parametrize(
+    "name, told",
+    [
+        ("fit_student", {"distilled_student"}),
+    ],
+)
+def test_registered_fits_have_all_rounds_and_levels(spark, sf_dir, asked, name, told):
+    rows = getattr(queries_models, name)(spark, sf_dir).collect()
+    assert asked == FULL
+    assert {r.asDict().get("model") for r in rows} == told
+
+
 def _boosting_rows(spark):
     x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
     z = F.pmod(F.xxhash64(F.col("id") + 7), F.lit(1000)) / 1000
