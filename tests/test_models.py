@@ -103,6 +103,7 @@ def asked(kept, monkeypatch):
     "name, told",
     [
         ("fit_student", {"distilled_student"}),
+        ("fit_teacher", {"full_teacher"}),
     ],
 )
 def test_registered_fits_have_all_rounds_and_levels(spark, sf_dir, asked, name, told):
