@@ -104,6 +104,7 @@ def asked(kept, monkeypatch):
     [
         ("fit_student", {"distilled_student"}),
         ("fit_teacher", {"full_teacher"}),
+        ("importance_rank", {None}),
     ],
 )
 def test_registered_fits_have_all_rounds_and_levels(spark, sf_dir, asked, name, told):
