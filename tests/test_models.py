@@ -105,6 +105,7 @@ def asked(kept, monkeypatch):
         ("fit_student", {"distilled_student"}),
         ("fit_teacher", {"full_teacher"}),
         ("importance_rank", {None}),
+        ("score_models", {"stage1_risk", *FULL}),
     ],
 )
 def test_registered_fits_have_all_rounds_and_levels(spark, sf_dir, asked, name, told):
