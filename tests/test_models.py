@@ -106,6 +106,7 @@ def asked(kept, monkeypatch):
         ("fit_teacher", {"full_teacher"}),
         ("importance_rank", {None}),
         ("score_models", {"stage1_risk", *FULL}),
+        ("training_history", set(FULL)),
     ],
 )
 def test_registered_fits_have_all_rounds_and_levels(spark, sf_dir, asked, name, told):
